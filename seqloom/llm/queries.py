@@ -5,21 +5,138 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqloom.llm.near_dup import near_duplicate_classes
+from seqloom.llm import chat, decontaminate, html_text, line_dedup, near_dup, packing, quality, toxicity, url_filter, warc
+from seqloom.llm._scratch import new_path, table
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its class (the least doc_id of the group) and whether it stays."""
-    return near_duplicate_classes(_read(spark, sf_dir, "documents"))
+    return near_dup.near_duplicate_classes(_read(spark, sf_dir, "documents"))
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(_read(spark, sf_dir, "pages"))
+
+
+def op3_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, with the benchmark items they contain."""
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, and of one more, read back from the rendered form."""
+    text = "\\### Assistant: </turn> ok"
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(chat.format_log(rows.unionByName(more)))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities and flags of every document."""
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    chain = toxicity.train_chain(docs, labels, {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
+    return toxicity.score(docs, chain)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, packed into sequences of 4096 tokens."""
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to web archives and read back by the merged index."""
+    folder = new_path(spark, "warc")
+    runs = warc.write_archives(_read(spark, sf_dir, "pages"), folder)
+    index = table(warc.merge_index(runs), "index")
+    return warc.read_archives(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base features and verdict of every document."""
+    return quality.quality_verdicts(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated lines."""
+    return line_dedup.drop_duplicate_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+#: The list of op10 comes from the pages: of each host, and of some of its parts, dated entries.
+URL_LIST = """
+SELECT host AS pattern, 'block' AS action, CAST(1704067200 + (length(host) * 11 % 120) * 86400 AS BIGINT) AS since FROM hosts
+UNION ALL SELECT host, 'allow', CAST(1704067200 + (length(host) * 11 % 120 + 60) * 86400 AS BIGINT) FROM hosts
+UNION ALL SELECT host, 'remove', CAST(1704067200 + (length(host) * 11 % 120 + 200) * 86400 AS BIGINT) FROM hosts
+UNION ALL SELECT concat(host, '/en'), 'block', CAST(1704067200 + 40 * 86400 AS BIGINT) FROM hosts
+UNION ALL SELECT concat(host, '/en'), 'remove', CAST(1704067200 + 300 * 86400 AS BIGINT) FROM hosts
+UNION ALL SELECT 'example.net', 'block', CAST(1704067200 + 90 * 86400 AS BIGINT)
+UNION ALL SELECT 'example.net', 'remove', CAST(1704067200 + 150 * 86400 AS BIGINT)
+UNION ALL SELECT 'org', 'allow', CAST(1704067200 + 10 * 86400 AS BIGINT)
+"""
+_FETCHED = "CAST(1704067200 + (page_id * 7919) % 31536000 AS BIGINT)"
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture with the list entry that held for it when it was fetched."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", F.expr(_FETCHED).alias("fetched_at"))
+    hosts = pages.select(F.lower(F.regexp_extract("url", r"^\w+://([^/:?#]*)", 1)).alias("host")).where("host <> ''").distinct()
+    return url_filter.evaluate_captures(pages, spark.sql(f"WITH hosts AS (SELECT * FROM {{hosts}}) {URL_LIST}", hosts=hosts))
+
+
+_OP10_SQL = f"""
+WITH captures AS (SELECT page_id, url, {_FETCHED} AS fetched_at FROM pages),
+hosts AS (SELECT DISTINCT lower(regexp_extract(url, '^\\w+://([^/:?#]*)', 1)) AS host FROM captures WHERE lower(regexp_extract(url, '^\\w+://([^/:?#]*)', 1)) <> ''),
+entries AS ({URL_LIST}),
+intervals AS (
+  SELECT pattern, action, since, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until
+  FROM (SELECT pattern, since, max(action) AS action FROM entries GROUP BY pattern, since)
+),
+parts AS (
+  SELECT DISTINCT url, string_split(lower(regexp_extract(url, '^\\w+://([^/:?#]*)', 1)), '.') AS labels,
+         list_filter(string_split(regexp_extract(url, '^\\w+://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS segments
+  FROM captures WHERE url IS NOT NULL
+),
+keys AS (
+  SELECT url, unnest(list_concat(
+    list_transform(range(1, len(labels) + 1), lambda i: {{'pattern': array_to_string(labels[len(labels) - i + 1:], '.'), 'rank': i}}),
+    list_transform(range(1, len(segments) + 1), lambda i: {{'pattern': array_to_string(labels, '.') || '/' || array_to_string(segments[:i], '/'), 'rank': len(labels) + i}})), recursive := true)
+  FROM parts
+),
+ranked AS (
+  SELECT c.url, c.fetched_at, i.pattern, i.since, i.action,
+         row_number() OVER (PARTITION BY c.url, c.fetched_at ORDER BY k.rank DESC) AS n
+  FROM (SELECT DISTINCT url, fetched_at FROM captures) c JOIN keys k ON k.url = c.url
+  JOIN intervals i ON i.pattern = k.pattern AND i.since <= c.fetched_at AND (i.until IS NULL OR c.fetched_at < i.until) AND i.action <> 'remove'
+)
+SELECT c.page_id, c.url, c.fetched_at, r.pattern AS matched_pattern, r.since AS matched_since, r.action
+FROM captures c LEFT JOIN ranked r ON r.url = c.url AND r.fetched_at = c.fetched_at AND r.n = 1
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_main_text": op2_main_text,
+    "op3_contaminated": op3_contaminated,
+    "op4_chat_format": op4_chat_format,
+    "op5_toxicity": op5_toxicity,
+    "op6_packing": op6_packing,
+    "op7_warc": op7_warc,
+    "op8_quality": op8_quality,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_url_filter": _OP10_SQL,
+}
