@@ -66,7 +66,39 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base features and verdict of every document."""
-    return quality.quality_verdicts(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    found = quality.quality_verdicts(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return found.withColumn("rejected_by", F.array_join("rejected_by", ","))
+
+
+def _op8_sql() -> str:
+    """Base features by lists and windows; cutoffs by the binomial sum of each (stratum, rule, cutoff)."""
+    rules = [(r, f"CAST({a} AS DOUBLE) / {b}", sorted(c)) for r, (a, b, c) in quality.RULES.items()]
+    tests = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, CAST({c} AS DOUBLE) AS cutoff, count(*) AS n, count(*) FILTER (WHERE {x} > {c}) AS k FROM good GROUP BY stratum" for r, x, cs in rules for c in cs)
+    over = ", ".join(f"CASE WHEN {x} > (SELECT cutoff FROM cutoffs c WHERE c.stratum = f.stratum AND c.rule = '{r}') THEN '{r}' END" for r, x, _ in rules)
+    risk = quality.RISK / len(rules)
+    space = r"[\x20\x09-\x0D]"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(lang, 'unknown') AS stratum FROM documents),
+words AS (SELECT r, list_filter(regexp_split_to_array(text, '{space}+'), lambda w: w <> '') AS ws FROM docs),
+windows AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS w FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM words WHERE len(ws) > 8)),
+repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM repeated) GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{space[1:]}')) AS ls FROM docs),
+features AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM (
+    SELECT doc_id, stratum, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+           len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+    FROM docs JOIN words USING (r) JOIN lines USING (r) LEFT JOIN covered USING (r))),
+good AS (SELECT * FROM features WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+tests AS ({tests}),
+cutoffs AS (
+  SELECT stratum, rule, min(cutoff) AS cutoff FROM tests
+  WHERE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk}))))
+        <= {quality.ERROR} / ((SELECT count(DISTINCT stratum) FROM good) * {sum(len(c) for _, _, c in rules)})
+  GROUP BY stratum, rule),
+judged AS (SELECT *, concat_ws(',', {over}) AS rejected_by FROM features f)
+SELECT stratum, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by, NOT base_failed AND rejected_by = '' AS kept FROM judged
+"""
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,5 +170,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_quality": _op8_sql(),
     "op10_url_filter": _OP10_SQL,
 }
