@@ -1,70 +1,59 @@
 """From buckets of candidates to classes, without emitting all pairs of a group.
 
-`linked_pairs` verifies each bucket's members against its least member. Where all link, the bucket
-is settled: its members are connected already, and further pairs would change no class. The rows
-that don't link are then paired with every other member of their bucket, so no candidate pair that
-could join two classes stays unseen. `components` turns the links into classes.
+`classes` verifies each bucket's members against its least member and takes the connected components
+of these links. A bucket whose members are all in one component is settled, since further pairs
+would change no class. In the others, the members of other components than the least one's, the
+loose ones, are verified against their nearest members of other components in the order of `info`
+(the length first), over and over until that joins no more classes. The work is in proportion to the
+members, however large a bucket grows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm._scratch import small, table
 
+#: Members before and after a loose one that are compared with it in a round.
+NEIGHBOURS = 8
 
-def linked_pairs(
-    members: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    plausible: Callable[[Column, Column], Column],
-    name: str,
-) -> DataFrame:
-    """Verified links `(a, b)` between members of common buckets.
 
-    members: `(bucket, id, info)`; info is a struct for `plausible(info_a, info_b)`, a cheap
-        necessary condition that prunes pairs inside the joins.
-    verify: takes distinct pairs `(a, b, info_a, info_b)`, returns `(a, b, linked)`.
+def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], info: DataFrame, name: str, known: DataFrame | None = None) -> DataFrame:
+    """`(id, component)` of every member that is linked to another; a component is named by its least id.
 
-    Empty members give no links. Repeated rows and ties count once.
+    members: distinct `(bucket, id)`. verify: takes distinct pairs `(a, b)`, a < b, and returns those that are
+    linked. info: `(id, info)`, by whose order the neighbours of loose rows are chosen. known: further
+    links `(a, b)`. Empty members give no rows.
     """
-    heads = (
-        members.groupBy("bucket")
-        .agg(F.min(F.struct("id", "info")).alias("head"), F.min("id").alias("least"), F.max("id").alias("last"))
-        .where("least < last")
-        .select("bucket", F.col("head.id").alias("a"), F.col("head.info").alias("info_a"))
-    )
-    star = table(
-        members.join(heads, "bucket")
-        .where(F.col("id") > F.col("a"))
-        .select("bucket", "a", F.col("id").alias("b"), "info_a", F.col("info").alias("info_b")),
-        f"{name}-star",
-    )
-    pairs = star.select("a", "b", "info_a", "info_b").where(plausible(F.col("info_a"), F.col("info_b"))).distinct()
-    links = table(verify(pairs).where("linked").select("a", "b"), f"{name}-links")
-
-    loose = star.join(links, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("loose"), F.col("info_b").alias("info_l"))
-    loose = table(loose, f"{name}-loose")
-    n = loose.count()
-    if not n:
-        return links
-    others = star.join(small(loose.select("bucket").distinct(), n), "bucket", "left_semi").select("bucket", F.col("b").alias("id"), F.col("info_b").alias("info"))
-    rest = (
-        loose.join(others, "bucket")
-        .where((F.col("id") != F.col("loose")) & plausible(F.col("info_l"), F.col("info")))
-        .select(
-            F.least("loose", "id").alias("a"),
-            F.greatest("loose", "id").alias("b"),
-            F.when(F.col("loose") < F.col("id"), F.col("info_l")).otherwise(F.col("info")).alias("info_a"),
-            F.when(F.col("loose") < F.col("id"), F.col("info")).otherwise(F.col("info_l")).alias("info_b"),
+    groups = members.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a < b")
+    groups = table(groups, f"{name}-groups")
+    heads = groups.where("n > 2").select("bucket", "a")
+    star = table(members.join(small(heads, heads.count()), "bucket").where("id > a").select("bucket", "a", F.col("id").alias("b")), f"{name}-star")
+    pairs = star.select("a", "b").unionByName(groups.where("n = 2").select("a", "b")).distinct()
+    links = table(verify(pairs), f"{name}-links")
+    found = table(components(links if known is None else links.unionByName(known), name), f"{name}-found")
+    while True:
+        of = lambda c, to, f=found: f.select(F.col("id").alias(c), F.col("component").alias(to))
+        placed = (
+            star.join(of("a", "p"), "a", "left")
+            .join(of("b", "q"), "b", "left")
+            .select("bucket", F.col("b").alias("id"), F.coalesce("p", "a").alias("head"), F.coalesce("q", "b").alias("component"))
         )
-        .distinct()
-        .join(links, ["a", "b"], "left_anti")
-    )
-    more = table(verify(rest).where("linked").select("a", "b"), f"{name}-more")
-    return links.unionByName(more)
+        open_buckets = table(placed.where("head <> component").select("bucket").distinct(), f"{name}-open")
+        here = placed.join(open_buckets, "bucket", "left_semi").join(info, "id")
+        order = Window.partitionBy("bucket").orderBy("info", "id")
+        near = [f(F.struct("id", "component"), k).over(order) for f in (F.lag, F.lead) for k in range(1, NEIGHBOURS + 1)]
+        near = here.select("id", "head", "component", F.array(*near).alias("near")).where("head <> component")
+        other = F.filter("near", lambda x: x["component"] != F.col("component"))
+        pairs = near.select("id", F.explode(other).alias("x")).select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
+        links = table(verify(pairs), f"{name}-links")
+        if not links.limit(1).count():
+            return found
+        both = links.unionByName(found.select(F.col("component").alias("a"), F.col("id").alias("b")))
+        found = table(components(both, name), f"{name}-found")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
