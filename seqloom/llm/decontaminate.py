@@ -29,28 +29,33 @@ UNITS = (
     "year years cent cents dollar dollars euro euros percent degree degrees meter meters metre metres kilometer kilometers kilometre "
     "kilometres mph kph watt watts volt volts joule joules newton newtons hz khz mhz ghz kb mb gb tb bytes bits"
 ).split()
-_TOKEN = r"[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*|[.!?\n]"
+_WORD = r"[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*"
+_TOKEN = _WORD + r"|[.!?\n]"
 _ENDS = (".", "!", "?", "\n")
+#: A text without a match has no numbers, and so no units; the other one finds every text that may have names.
+_MAY_COUNT = r"[0-9]|\b(?:" + "|".join(NUMBER_WORDS) + r")\b"
+_MAY_NAME = r"[\p{L}\p{M}\p{N}][^\p{L}\p{M}\p{N}.!?\n]+\p{Lu}\p{Ll}|\p{N}\p{Lu}\p{Ll}"
+
+
+def _number(low: Column) -> Column:
+    """Of lower-case tokens: ASCII digits, which alone sort between 0 and :, and number words."""
+    return (low >= "0") & (low < ":") | low.isin(*NUMBER_WORDS)
 
 
 def _marked(text: Column) -> Column:
-    """array<struct<kind, low>>: kind w(ord), n(umber), u(nit) or p(roper name)."""
+    """array<struct<kind, low>> of a text's words: kind w(ord), n(umber), u(nit) or p(roper name)."""
 
     def mark(tokens: Column) -> Column:
-        digit = lambda t: (t >= "0") & (t < ":")  # noqa: E731  of these tokens only numbers lie between
-
         def one(t: Column, i: Column) -> Column:
-            return let(
-                F.lower(t),
-                lambda low: F.struct(
-                    F.when(t.isin(*_ENDS), ".")
-                    .when(digit(t) | low.isin(*NUMBER_WORDS) | t.rlike(r"^\p{N}"), "n")
-                    .when(low.isin(*UNITS) & let(F.get(tokens, i - 1), lambda p: digit(p) | F.lower(p).isin(*NUMBER_WORDS)), "u")
-                    .when((t != low) & (i > 0) & ~F.get(tokens, i - 1).isin(*_ENDS) & t.rlike(r"^\p{Lu}\p{Ll}+$"), "p")
-                    .otherwise("w")
-                    .alias("kind"),
-                    low.alias("low"),
-                ),
+            low, before = F.lower(t), F.get(tokens, i - 1)
+            return F.struct(
+                F.when(t.isin(*_ENDS), ".")
+                .when(_number(low), "n")
+                .when(low.isin(*UNITS) & F.coalesce(_number(F.lower(before)), F.lit(False)), "u")
+                .when((t != low) & (i > 0) & ~before.isin(*_ENDS) & t.rlike(r"^\p{Lu}\p{Ll}+$"), "p")
+                .otherwise("w")
+                .alias("kind"),
+                low.alias("low"),
             )
 
         return F.filter(F.transform(tokens, one), lambda x: x["kind"] != ".")
@@ -58,33 +63,41 @@ def _marked(text: Column) -> Column:
     return let(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), mark)
 
 
-def _canonical(marked: Column, names: bool) -> Column:
-    slot = lambda x: F.when(x["kind"] == "n", "<num>").when(x["kind"] == "u", "<unit>")
-    if names:
-        return F.transform(marked, lambda x: F.xxhash64(slot(x).when(x["kind"] == "p", "<name>").otherwise(x["low"])))
-    return F.transform(marked, lambda x: F.xxhash64(slot(x).otherwise(x["low"])))
+def _slots_hashed(text: Column) -> Column:
+    """Hashes of a text's words, numbers and units as slots, names as words."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+    slow = lambda ts: F.transform(
+        ts,
+        lambda t, i: F.xxhash64(F.when(_number(t), "<num>").when(t.isin(*UNITS) & F.coalesce(_number(F.get(ts, i - 1)), F.lit(False)), "<unit>").otherwise(t)),
+    )
+    return F.when(F.lower(text).rlike(_MAY_COUNT), let(tokens, slow)).otherwise(F.transform(tokens, lambda t: F.xxhash64(t)))
+
+
+def _names_hashed(text: Column) -> Column:
+    """The same with names as slots."""
+    slot = lambda x: F.when(x["kind"] == "n", "<num>").when(x["kind"] == "u", "<unit>").when(x["kind"] == "p", "<name>").otherwise(x["low"])
+    return F.transform(_marked(text), lambda x: F.xxhash64(slot(x)))
 
 
-def _windows(marked: Column, window: int) -> Column:
+def _windows(text: Column, window: int) -> Column:
     """array<struct<at, hash>> of a text's windows, both ways where it has names; at counts from 0."""
 
     def each(hashes: Column) -> Column:
         return F.when(
             F.size(hashes) >= window,
-            F.transform(F.sequence(F.lit(0), F.size(hashes) - window), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i + 1, window)).alias("hash"))),
+            F.transform(F.sequence(F.lit(0), F.size(hashes) - window), lambda i: F.struct(i.alias("at"), F.xxhash64(*(F.get(hashes, i + k) for k in range(window))).alias("hash"))),
         ).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
 
-    def both(m: Column) -> Column:
-        plain = let(_canonical(m, False), each)
-        named = F.array_except(let(_canonical(m, True), each), plain)
-        return F.when(F.exists(m, lambda x: x["kind"] == "p"), F.concat(plain, named)).otherwise(plain)
+    def both(plain: Column) -> Column:
+        named = F.filter(let(_names_hashed(text), each), lambda x, i: x["hash"] != F.get(plain, i)["hash"])
+        return F.when(text.rlike(_MAY_NAME), F.concat(plain, named)).otherwise(plain)
 
-    return let(marked, both)
+    return let(let(_slots_hashed(text), each), both)
 
 
 def _words(rows: DataFrame, key: str) -> DataFrame:
     """`(key, at, kind, low)` of every word of `rows (key, text)`."""
-    return rows.select(key, F.posexplode(_marked(F.col("text"))).alias("at", "x")).select(key, "at", "x.kind", "x.low")
+    return rows.select(key, F.posexplode_outer(_marked(F.col("text"))).alias("at", "x")).where("at IS NOT NULL").select(key, "at", "x.kind", "x.low")
 
 
 def contaminated(
@@ -113,9 +126,9 @@ def contaminated(
     keys = None
     for size in sizes:
         part = (
-            items.select("item", _marked(F.col("text")).alias("m"))
+            items.select("item", "text", _marked(F.col("text")).alias("m"))
             .where(F.size("m") >= window if size == window else F.size("m") == size)
-            .select("item", "m", F.lit(size).alias("size"), F.explode(_windows(F.col("m"), size)).alias("w"))
+            .select("item", "m", F.lit(size).alias("size"), F.explode(_windows(F.col("text"), size)).alias("w"))
             .where(F.size(literal) >= LITERAL * size)
             .select("item", "size", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"))
         )
@@ -127,7 +140,8 @@ def contaminated(
     for size in sizes:
         here = small(keys.where(F.col("size") == size).select("item", "size", "item_at", "hash"), n_keys)
         part = (
-            docs.select("doc", F.explode(_windows(_marked(F.col("text")), size)).alias("w"))
+            # an outer explode: for the inner one the optimizer would compute the windows again in a filter
+            docs.select("doc", F.explode_outer(_windows(F.col("text"), size)).alias("w"))
             .select("doc", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"))
             .join(here, "hash")
             .select("doc", "item", (F.col("at") - F.col("item_at")).alias("offset"), "item_at", "size")
