@@ -52,7 +52,8 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(F.array_sort(pairs), repeats))
 
     def windows(hashed: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(hashed) - (window - 1)), lambda i: F.xxhash64(F.slice(hashed, i, window)))
+        # by place: slice() would copy the whole array for every window
+        each = F.transform(F.sequence(F.lit(0), F.size(hashed) - window), lambda i: F.xxhash64(*(F.get(hashed, i + k) for k in range(window))))
         return F.when(F.size(hashed) <= window, F.lit(0)).otherwise(let(each, counted))
 
     return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
