@@ -401,6 +401,26 @@ def related_top(spark, sf_dir):
     return align.related(align.symmetric(_sim(spark), _motifs(spark)), 3)
 
 
+_TOP = "top AS (SELECT * FROM (SELECT i, row_number() OVER (PARTITION BY i ORDER BY r DESC, j) AS rank, j FROM both_ways) WHERE rank <= 3)"
+
+
+@query(_with("SELECT a.i, CAST(a.rank AS INTEGER) AS row_rank, CAST(b.rank AS INTEGER) AS column_rank, v.r FROM top a JOIN top b ON a.i = b.i JOIN both_ways v ON v.i = a.j AND v.j = b.j", f"{_FULL}, {_TOP}"))
+def related_matrix(spark, sf_dir):
+    return align.related_matrix(align.symmetric(_sim(spark), _motifs(spark)), 3)
+
+
+@query(_with("SELECT i, j, r, CAST(round(r / (SELECT max(r) FROM both_ways) * 100) AS INTEGER) AS percent FROM both_ways", _FULL))
+def heat_percent(spark, sf_dir):
+    return align.heat_percent(align.symmetric(_sim(spark), _motifs(spark)))
+
+
+@query()
+def leaf_order(spark, sf_dir):
+    rows = cluster.linkage(_sim(spark), _motifs(spark)).orderBy("step").collect()  # one row per motif
+    order = cluster.leaf_order(len(rows) + 1, [(r.a, r.b, r.height, r.size) for r in rows])
+    return spark.createDataFrame(list(enumerate(order)), "place int, motif int")
+
+
 @query()
 def linkage(spark, sf_dir):
     return cluster.linkage(_sim(spark), _motifs(spark))
