@@ -279,9 +279,8 @@ def main_text(
         .cogroup(here.groupBy("host", "shard"))
         .applyInArrow(_kept(min_run), "row long, unique string, repeated long")
     )
+    # only rows with undecided text are joined; the others' texts aren't shuffled
+    joined = rows.where(F.size("undecided") > 0).join(unique, "row", "left").select("page_id", "url", "marked", "unique", "repeated")
+    plain = rows.where(F.size("undecided") == 0).select("page_id", "url", "marked", F.lit(None).cast("string").alias("unique"), F.lit(0).cast("long").alias("repeated"))
     text = F.coalesce("marked", "unique", F.lit(""))
-    return (
-        rows.drop("undecided")
-        .join(unique, "row", "left")
-        .select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.coalesce("repeated", F.lit(0)).cast("long").alias("repeated_words"))
-    )
+    return joined.unionByName(plain).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.coalesce("repeated", F.lit(0)).cast("long").alias("repeated_words"))
