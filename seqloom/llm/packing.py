@@ -13,6 +13,7 @@ task holds one group, whatever the size of the corpus.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,14 +28,15 @@ GROUP_TOKENS = 4_000_000
 LINEAR = 1.0
 QUADRATIC = 1 / 12288  # 6 * a model width of 2048
 END_ID = 2
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
 
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, equal to the tokenizer's.
 
     The tokenizer drops white space and never joins across it, so each stretch between spaces is
-    encoded once and remembered.
+    encoded once and remembered. It lowers case letter by letter and parts a word from the marks after
+    it, so ASCII stretches are looked up in lower case, and a word apart from its closing marks.
     """
 
     def __init__(self, path: str):
@@ -45,7 +47,27 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        """All texts in one call; each is a word of its own to the tokenizer, and tokens carry its number."""
+        if not texts:
+            return []
+        found = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        data = np.array(found.ids, "<u4").tobytes()
+        ends = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(texts) + 1))
+        return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, ...]:
+        low = word.lower() if word.isascii() and "<" not in word else word  # < may begin a special token
+        core = low.rstrip(".,;:!?")
+        letters = core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha())
+        return (core, low[len(core) :]) if core != low and letters else (low,)
+
+    def _learn(self, words: set[str]) -> None:
+        parts = {w: self._parts(w) for w in words}
+        new = list({p for ps in parts.values() for p in ps} - self.known.keys())
+        self.known.update(zip(new, self._encode(new), strict=True))
+        for w, ps in parts.items():
+            self.known[w] = b"".join(map(self.known.__getitem__, ps))
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.known) > CACHED_WORDS:
@@ -53,8 +75,7 @@ class WordEncoder:
         for i in range(0, len(texts), 200):
             # str.split() also parts at U+001C to U+001F, which the tokenizer doesn't take for spaces
             parts = [[t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts[i : i + 200]]
-            new = list({w for words in parts for w in words} - self.known.keys())
-            self.known.update(zip(new, self._encode(new), strict=True))
+            self._learn({w for words in parts for w in words} - self.known.keys())
             for words in parts:
                 yield b"".join(map(self.known.__getitem__, words))
 
