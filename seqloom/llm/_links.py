@@ -4,29 +4,42 @@
 of these links. A bucket whose members are all in one component is settled, since further pairs
 would change no class. In the others, the members of other components than the least one's, the
 loose ones, are verified against their nearest members of other components in the order of `info`
-(the length first), over and over until that joins no more classes. The work is in proportion to the
-members, however large a bucket grows.
+(the length first), over and over until that joins no more classes. These rounds only save work:
+in the end every pair of a bucket whose members are in different components is verified, except
+those that `plausible` or their lengths rule out, so classes are those of an exhaustive comparison.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm._scratch import small, table
 
-#: Members before and after a loose one that are compared with it in a round.
+#: Members before and after a loose one that are compared with it in a round, before the rest is.
 NEIGHBOURS = 8
 
 
-def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], info: DataFrame, name: str, known: DataFrame | None = None) -> DataFrame:
+def classes(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    info: DataFrame,
+    name: str,
+    known: DataFrame | None = None,
+    *,
+    similarity: float,
+    plausible: Callable[[Column, Column], Column],
+) -> DataFrame:
     """`(id, component)` of every member that is linked to another; a component is named by its least id.
 
     members: distinct `(bucket, id)`. verify: takes distinct pairs `(a, b)`, a < b, and returns those that are
-    linked. info: `(id, info)`, by whose order the neighbours of loose rows are chosen. known: further
-    links `(a, b)`. Empty members give no rows.
+    linked. info: `(id, info)`, structs with the length `n` first, by whose order the neighbours of loose rows
+    are chosen. known: further links `(a, b)`. Of linked members, the shorter one has `similarity` of the
+    longer one's length at least, and `plausible` of their infos, the shorter one's first, is true. Empty
+    members give no rows.
     """
     groups = members.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a < b")
     groups = table(groups, f"{name}-groups")
@@ -43,17 +56,38 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], info:
             .select("bucket", F.col("b").alias("id"), F.coalesce("p", "a").alias("head"), F.coalesce("q", "b").alias("component"))
         )
         open_buckets = table(placed.where("head <> component").select("bucket").distinct(), f"{name}-open")
-        here = placed.join(open_buckets, "bucket", "left_semi").join(info, "id")
+        here = table(placed.join(open_buckets, "bucket", "left_semi").join(info, "id"), f"{name}-here")
         order = Window.partitionBy("bucket").orderBy("info", "id")
         near = [f(F.struct("id", "component"), k).over(order) for f in (F.lag, F.lead) for k in range(1, NEIGHBOURS + 1)]
         near = here.select("id", "head", "component", F.array(*near).alias("near")).where("head <> component")
         other = F.filter("near", lambda x: x["component"] != F.col("component"))
         pairs = near.select("id", F.explode(other).alias("x")).select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
         links = table(verify(pairs), f"{name}-links")
-        if not links.limit(1).count():
-            return found
+        done = not links.limit(1).count()
+        if done:
+            links = table(verify(_rest(here, similarity, plausible)), f"{name}-links")
         both = links.unionByName(found.select(F.col("component").alias("a"), F.col("id").alias("b")))
         found = table(components(both, name), f"{name}-found")
+        if done:
+            return found
+
+
+def _rest(here: DataFrame, similarity: float, plausible: Callable[[Column, Column], Column]) -> DataFrame:
+    """All pairs `(a, b)` of `here (bucket, id, component, info)` in a bucket but not in a component that may be linked.
+
+    Lengths fall into ranges by powers of a ratio a little below `similarity`, so those of linked members
+    lie in one range or in adjacent ones, and a bucket is dealt out by them. A pair of several buckets
+    comes from the least one.
+    """
+    here = here.join(here.groupBy("id").agg(F.collect_set("bucket").alias("all")), "id")
+    ratio = -math.log(similarity - 0.01) if similarity > 0.02 else math.inf
+    at = F.floor(F.log(F.greatest(F.col("info.n"), F.lit(1)).cast("double")) / F.lit(ratio))
+    short = here.select("bucket", at.alias("range"), F.col("id").alias("x"), F.col("component").alias("p"), F.col("info").alias("i"), F.col("all").alias("all_x"))
+    long = here.select("bucket", F.explode(F.array(at, at - 1)).alias("range"), F.col("id").alias("y"), F.col("component").alias("q"), F.col("info").alias("j"), F.col("all").alias("all_y"))
+    before = (F.col("i.n") < F.col("j.n")) | (F.col("i.n") == F.col("j.n")) & (F.col("x") < F.col("y"))
+    may = before & (F.col("p") != F.col("q")) & plausible(F.col("i"), F.col("j"))
+    may &= F.array_min(F.array_intersect("all_x", "all_y")) == F.col("bucket")
+    return short.join(long, ["bucket", "range"]).where(may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:

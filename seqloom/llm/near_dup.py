@@ -26,6 +26,8 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 28
 PICKS = 3
+#: Counters of a text's words by their hashes, which bound the words that two texts share.
+COUNTERS = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,7 +140,10 @@ def _sketched(k: int, sketches: int, picks: int):
             values = [order_minhash(flat[i:j], k, sketches, picks) for i, j in zip(ends[:-1], ends[1:], strict=True)]
             sizes = np.cumsum([0, *map(len, values)]).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *values]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(np.diff(ends), pa.int32()), column], ["id", "text_hash", "n_words", "sketches"])
+            counts = [np.bincount((flat[i:j] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            bag = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([np.empty(0, np.int64), *counts]).astype(np.int32)), COUNTERS).cast(pa.list_(pa.int32()))
+            columns = {"id": batch.column("id"), "text_hash": batch.column("text_hash"), "n_words": pa.array(np.diff(ends), pa.int32()), "bag": bag, "sketches": column}
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -177,7 +182,7 @@ def near_duplicate_classes(
     sketched = table(
         rows.select("id", F.coalesce(F.md5("text"), F.concat(F.lit("null "), F.col("id").cast("string"))).alias("text_hash"), plain.alias("plain"))
         .select("id", "text_hash", tokens.alias("tokens"))
-        .mapInArrow(_sketched(words, sketches, picks), "id long, text_hash string, n_words int, sketches array<long>"),
+        .mapInArrow(_sketched(words, sketches, picks), "id long, text_hash string, n_words int, bag array<int>, sketches array<long>"),
         "omh-sketches",
     )
     texts = sketched.where("id IS NOT NULL").groupBy("text_hash").agg(F.min("id").alias("first"))
@@ -191,8 +196,8 @@ def near_duplicate_classes(
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = table(pairs, "omh-pairs")
         ids = table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "omh-ids")
-        held = rows.where("text IS NOT NULL").join(small(ids, ids.count()), "id", "left_semi").select("id", plain.alias("words"))
-        held = table(held.groupBy("id").agg(F.min("words").alias("words")), "omh-texts")
+        held = rows.where("text IS NOT NULL").join(small(ids, ids.count()), "id", "left_semi").select("id", F.struct(F.md5("text"), plain.alias("words")).alias("x"))
+        held = table(held.groupBy("id").agg(F.min("x").alias("x")).select("id", "x.words"), "omh-texts")
         sides = pairs.join(held.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a")
         sides = sides.join(held.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b")
         return sides.select("a", "b", "words_a", "words_b").mapInArrow(_verified(similarity), "a long, b long")
@@ -201,8 +206,16 @@ def near_duplicate_classes(
     same_id = sketched.where("id IS NOT NULL").join(texts, "text_hash").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     several = sketched.where("id IS NOT NULL").groupBy("id").agg(F.min("text_hash").alias("x"), F.max("text_hash").alias("y")).where("x <> y").select("id")
     known = same_id.join(several.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
-    info = sketched.where("id IS NOT NULL").groupBy("id").agg(F.min("n_words").alias("info"))
-    found = classes(members, verify, info, "omh", known)
+    # of several texts the one with the least hash, as in verify
+    info = sketched.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("text_hash", F.struct(F.col("n_words").alias("n"), "bag").alias("info"))).alias("x")).select("id", "x.info")
+
+    def plausible(short, long):
+        """The bounds of `alike`, by counters instead of words."""
+        most = F.floor(F.lit(1 - similarity) * long["n"] + 1e-9)
+        shared = sum(F.least(F.get(short["bag"], F.lit(i)), F.get(long["bag"], F.lit(i))) for i in range(COUNTERS))
+        return (long["n"] - short["n"] <= most) & (long["n"] - shared <= most)
+
+    found = classes(members, verify, info, "omh", known, similarity=similarity, plausible=plausible)
     first = texts.join(found, texts["first"] == found["id"], "left").select("text_hash", F.coalesce("component", "first").alias("class_id"))
     return (
         sketched.select("id", "text_hash")
