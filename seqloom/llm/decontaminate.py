@@ -6,6 +6,10 @@ document, once with names as slots and once with names as words. Matches are gat
 item and offset between them; where slots were filled anew, the same benchmark value has to
 correspond to the same document value throughout, and the other way round. A document is
 contaminated by an item if the accepted matches cover 13 of the item's words, or all of a shorter item.
+
+With `every_window`, as in the query and the pipeline, windows of exact words are joined besides, so
+verbatim copies are found however many numbers, units and names they hold, and windows poor in literal
+words count as templates where a richer one matches at the same offset.
 """
 
 from __future__ import annotations
@@ -79,18 +83,27 @@ def _names_hashed(text: Column) -> Column:
     return F.transform(_marked(text), lambda x: F.xxhash64(slot(x)))
 
 
-def _windows(text: Column, window: int) -> Column:
-    """array<struct<at, hash>> of a text's windows, both ways where it has names; at counts from 0."""
+def _exact_hashed(text: Column) -> Column:
+    """Hashes of a text's words, all of them as words."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)), lambda t: F.xxhash64(t))
+
+
+def _each(hashes: Column, window: int) -> Column:
+    """array<struct<at, hash>> of the windows of a text's hashed words; at counts from 0."""
+    return F.when(
+        F.size(hashes) >= window,
+        F.transform(F.sequence(F.lit(0), F.size(hashes) - window), lambda i: F.struct(i.alias("at"), F.xxhash64(*(F.get(hashes, i + k) for k in range(window))).alias("hash"))),
+    ).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
+
 
-    def each(hashes: Column) -> Column:
-        return F.when(
-            F.size(hashes) >= window,
-            F.transform(F.sequence(F.lit(0), F.size(hashes) - window), lambda i: F.struct(i.alias("at"), F.xxhash64(*(F.get(hashes, i + k) for k in range(window))).alias("hash"))),
-        ).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
+def _windows(text: Column, window: int, exact: bool = False) -> Column:
+    """The windows of a text, both ways where it has names; with `exact`, those of its words where it has numbers, too."""
+    each = lambda hashes: _each(hashes, window)
 
     def both(plain: Column) -> Column:
-        named = F.filter(let(_names_hashed(text), each), lambda x, i: x["hash"] != F.get(plain, i)["hash"])
-        return F.when(text.rlike(_MAY_NAME), F.concat(plain, named)).otherwise(plain)
+        other = lambda hashes: F.filter(let(hashes, each), lambda x, i: x["hash"] != F.get(plain, i)["hash"])
+        out = F.when(text.rlike(_MAY_NAME), F.concat(plain, other(_names_hashed(text)))).otherwise(plain)
+        return F.when(F.lower(text).rlike(_MAY_COUNT), F.concat(out, other(_exact_hashed(text)))).otherwise(out) if exact else out
 
     return let(let(_slots_hashed(text), each), both)
 
@@ -110,11 +123,13 @@ def contaminated(
     item_text_col: str = "text",
     window: int = WINDOW,
     covered: int = COVERED,
+    every_window: bool = False,
 ) -> DataFrame:
     """`(<id_col>, item_id, matched_words, item_words, slots, reparameterised)` for each contaminated pair.
 
     Items shorter than a window are compared as one window of their own length. Null texts and ids
     take no part; rows of one id are one document, repeated items one item. Whole texts are read.
+    Without `every_window`, windows with fewer than `LITERAL` literal words take no part.
     """
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
@@ -122,41 +137,50 @@ def contaminated(
     lengths = words.groupBy("item").agg((F.max("at") + 1).alias("item_words"))
     short = lengths.where(F.col("item_words") < window).select("item_words").distinct()
     sizes = sorted([window, *(r[0] for r in short.collect())])  # fewer than `window` numbers
-    literal = F.filter(F.slice("m", F.col("w.at") + 1, F.col("size")), lambda x: x["kind"] == "w")
+    literal = lambda kinds: F.size(F.filter(F.slice("m", F.col("w.at") + 1, F.col("size")), lambda x: x["kind"].isin(*kinds)))
+    #: windows, the kinds of words that stay words in them, whether all do
+    ways = [(lambda text, size: _windows(text, size), "w", False)]
+    if every_window:
+        ways = [(lambda text, size, h=h: _each(h(text), size), kinds, h is _exact_hashed) for h, kinds in ((_slots_hashed, "wp"), (_names_hashed, "w"), (_exact_hashed, "wpnu"))]
     keys = None
     for size in sizes:
-        part = (
-            items.select("item", "text", _marked(F.col("text")).alias("m"))
-            .where(F.size("m") >= window if size == window else F.size("m") == size)
-            .select("item", "m", F.lit(size).alias("size"), F.explode(_windows(F.col("text"), size)).alias("w"))
-            .where(F.size(literal) >= LITERAL * size)
-            .select("item", "size", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"))
-        )
-        keys = part if keys is None else keys.unionByName(part)
+        for windows, kinds, exact in ways:
+            part = (
+                items.select("item", "text", _marked(F.col("text")).alias("m"))
+                .where(F.size("m") >= window if size == window else F.size("m") == size)
+                .select("item", "m", F.lit(size).alias("size"), F.explode(windows(F.col("text"), size)).alias("w"))
+                .withColumn("n_literal", literal(kinds))
+                .where(F.col("n_literal") >= (1 if every_window else LITERAL * size))
+                .select("item", "size", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), F.lit(exact).alias("exact"), (F.col("n_literal") >= LITERAL * size).alias("rich"), (literal("w") >= LITERAL * size).alias("strict"))
+            )
+            keys = part if keys is None else keys.unionByName(part)
     keys = table(keys.distinct(), "item-windows")
     n_keys = keys.count()
 
     found = None
     for size in sizes:
-        here = small(keys.where(F.col("size") == size).select("item", "size", "item_at", "hash"), n_keys)
+        here = small(keys.where(F.col("size") == size).select("item", "size", "item_at", "hash", "exact", "rich", "strict"), n_keys)
         part = (
             # an outer explode: for the inner one the optimizer would compute the windows again in a filter
-            docs.select("doc", F.explode_outer(_windows(F.col("text"), size)).alias("w"))
+            docs.select("doc", F.explode_outer(_windows(F.col("text"), size, every_window)).alias("w"))
             .select("doc", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"))
             .join(here, "hash")
-            .select("doc", "item", (F.col("at") - F.col("item_at")).alias("offset"), "item_at", "size")
+            .select("doc", "item", (F.col("at") - F.col("item_at")).alias("offset"), "item_at", "size", "exact", "rich", "strict")
         )
         found = part if found is None else found.unionByName(part)
     matches = table(found.distinct(), "windows-found")
 
-    places = matches.select("doc", "item", "offset", F.explode(F.sequence("item_at", F.col("item_at") + F.col("size") - 1)).alias("at")).distinct()
+    # rich templates are judged alone, too, first without names as literal words, so that others beside them only add
+    judged = F.when(F.col("exact"), F.array(F.lit("exact"))).when(F.col("strict"), F.array(F.lit("strict"), F.lit("rich"), F.lit("all"))).when(F.col("rich"), F.array(F.lit("rich"), F.lit("all"))).otherwise(F.array(F.lit("all")))
+    matches = matches.withColumn("way", F.explode(judged))
+    places = matches.select("doc", "item", "offset", "way", "rich", F.explode(F.sequence("item_at", F.col("item_at") + F.col("size") - 1)).alias("at")).distinct()
     ids = table(matches.select("doc").distinct(), "docs-found")
     theirs = _words(docs.join(small(ids, ids.count()), "doc", "left_semi"), "doc").select("doc", F.col("at").alias("doc_at"), F.col("low").alias("doc_low")).distinct()
     slots = (
         places.join(small(words.where("kind <> 'w'"), words.count()), ["item", "at"])
         .withColumn("doc_at", F.col("at") + F.col("offset"))
         .join(theirs, ["doc", "doc_at"])
-        .groupBy("doc", "item", "offset")
+        .groupBy("doc", "item", "offset", "way")
         .agg(
             F.countDistinct("at").alias("slots"),
             F.countDistinct("kind", "low").alias("values"),
@@ -165,9 +189,9 @@ def contaminated(
             F.max((F.col("low") != F.col("doc_low")).cast("int")).alias("changed"),
         )
     )
-    covers = places.groupBy("doc", "item", "offset").agg(F.collect_set("at").alias("at"))  # an item's words at most
-    accepted = covers.join(slots, ["doc", "item", "offset"], "left").where(
-        F.col("slots").isNull() | (F.col("changed") == 0) | ((F.col("couples") == F.col("values")) & (F.col("couples") == F.col("doc_values")))
+    covers = places.groupBy("doc", "item", "offset", "way").agg(F.collect_set("at").alias("at"), F.max("rich").alias("rich"))  # an item's words at most
+    accepted = covers.join(slots, ["doc", "item", "offset", "way"], "left").where(
+        F.col("rich") & (F.col("slots").isNull() | (F.col("changed") == 0) | ((F.col("couples") == F.col("values")) & (F.col("couples") == F.col("doc_values"))))
     )
     return (
         accepted.select("doc", "item", "slots", "changed", F.explode("at").alias("at"))

@@ -33,7 +33,7 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents, with the benchmark items they contain."""
-    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), every_window=True)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

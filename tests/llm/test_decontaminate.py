@@ -57,3 +57,18 @@ def test_whole_table_equals_brute_force(spark, sf):
                 want.add((x.doc_id, item))
     got = {(x.doc_id, x.item_id) for x in op3_contaminated(spark, sf).collect()}
     assert want <= got and len(got - want) <= 0.1 * len(want) + 1
+
+
+def test_items_dense_in_slots_are_found_verbatim(spark):
+    numbers, names = "12 13 14 15 16 17 18 19 20", "Alice Smith and Bob Jones met Carol White in Paris on Monday"
+    edge = "Add 12 km 15 kg 7 and 9 then tell the class which of them is the larger"
+    items = [(1, numbers), (2, names), (3, edge)]
+    docs = [(1, f"So: {numbers}."), (2, f"They say {names} again."), (3, "21 22 23 24 25 26 27 28 29"), (4, f"Now {edge}"), (5, "So " + edge.replace("12", "31").replace(" 9", " 8"))]
+    assert set(found(spark, docs, items, every_window=True)) == {(1, 1), (2, 2), (4, 3), (5, 3)}
+    assert (1, 1) not in found(spark, docs, items)
+
+
+def test_poor_windows_do_not_undo_rich_ones(spark):
+    item = ITEM + " He notes 4 kg 16 cm 4 lb then"
+    doc = item.replace("Maria", "Zoe").replace("120", "77").replace("4 kg 16 cm 4 lb", "5 kg 16 cm 8 lb")
+    assert set(found(spark, [(1, doc)], [(1, item)])) == set(found(spark, [(1, doc)], [(1, item)], every_window=True)) == {(1, 1)}
