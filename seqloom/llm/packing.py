@@ -13,12 +13,14 @@ task holds one group, whatever the size of the corpus.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +30,19 @@ GROUP_TOKENS = 4_000_000
 LINEAR = 1.0
 QUADRATIC = 1 / 12288  # 6 * a model width of 2048
 END_ID = 2
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 800_000
+TEXTS_AT_ONCE = 2000
+_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 
 
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, equal to the tokenizer's.
 
-    The tokenizer drops white space and never joins across it, so each stretch between spaces is
-    encoded once and remembered. It lowers case letter by letter and parts a word from the marks after
-    it, so ASCII stretches are looked up in lower case, and a word apart from its closing marks.
+    The tokenizer drops white space and never joins across it, so the distinct stretches between spaces
+    of some thousand texts are looked up, and each text's ids are gathered from theirs. The tokenizer
+    lowers case letter by letter and parts a word from the marks after it, so ASCII stretches are learnt
+    in lower case, and a word apart from its closing marks. After every `CACHED_WORDS` words that were
+    learnt or met anew, those that were not met since the last time are forgotten.
     """
 
     def __init__(self, path: str):
@@ -45,6 +51,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         """All texts in one call; each is a word of its own to the tokenizer, and tokens carry its number."""
@@ -52,32 +59,61 @@ class WordEncoder:
             return []
         found = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
         data = np.array(found.ids, "<u4").tobytes()
-        ends = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(texts) + 1))
+        ends = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(texts) + 1))).tolist()
         return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     @staticmethod
     def _parts(word: str) -> tuple[str, ...]:
         low = word.lower() if word.isascii() and "<" not in word else word  # < may begin a special token
         core = low.rstrip(".,;:!?")
+        if core == low:
+            return (low,)
         letters = core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha())
-        return (core, low[len(core) :]) if core != low and letters else (low,)
+        return (core, low[len(core) :]) if letters else (low,)
 
-    def _learn(self, words: set[str]) -> None:
-        parts = {w: self._parts(w) for w in words}
-        new = list({p for ps in parts.values() for p in ps} - self.known.keys())
-        self.known.update(zip(new, self._encode(new), strict=True))
+    def _learn(self, words: list[str]) -> None:
+        """Adds distinct `words` to the known ones."""
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = [w for w in words if w not in known]
+        again = {w: older[w] for w in new if w in older}
+        known.update(again)
+        parts = {w: self._parts(w) for w in new if w not in again}
+        pieces = list({p for ps in parts.values() for p in ps if p not in known})
+        known.update(zip(pieces, self._encode(pieces), strict=True))
         for w, ps in parts.items():
-            self.known[w] = b"".join(map(self.known.__getitem__, ps))
+            if len(ps) > 1 or ps[0] != w:
+                known[w] = b"".join(map(known.__getitem__, ps))
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        for i in range(0, len(texts), 200):
-            # str.split() also parts at U+001C to U+001F, which the tokenizer doesn't take for spaces
-            parts = [[t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts[i : i + 200]]
-            self._learn({w for words in parts for w in words} - self.known.keys())
-            for words in parts:
-                yield b"".join(map(self.known.__getitem__, words))
+        for i in range(0, len(texts), TEXTS_AT_ONCE):
+            # splitting also parts at U+001C to U+001F, which the tokenizer doesn't take for spaces
+            odd = {k: t for k, t in enumerate(texts[i : i + TEXTS_AT_ONCE]) if _ODD_SPACE.search(t)}
+            lists = pc.utf8_split_whitespace(pa.array(["" if k in odd else t for k, t in enumerate(texts[i : i + TEXTS_AT_ONCE])], pa.large_string()))
+            met = lists.flatten().dictionary_encode()
+            words = met.dictionary.to_pylist()
+            self._learn([*words, *odd.values()])
+            each = [self.known[w] for w in words]
+            sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+            starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(each), "<u4")
+            at = met.indices.to_numpy()
+            n = sizes[at]
+            ends = np.cumsum(n)
+            ids = flat[np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+            cuts = np.r_[0, ends][lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                yield self.known[odd[k]] if k in odd else ids[a:b].tobytes()
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this Python process, so that the tasks of a worker share what it knows."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
@@ -144,7 +180,7 @@ def _packed(path: str, end_id: int, capacity: int, group_tokens: int, linear: fl
     schema = _PIECES if with_ids else pa.schema(list(_PIECES)[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+        words, end = encoder(path), np.array([end_id], "<u4").tobytes()
         docs: list[int | None] = []
         ids: list[bytes] = []
         size, first = 0, TaskContext.get().partitionId() << 32
@@ -172,7 +208,7 @@ def _packed(path: str, end_id: int, capacity: int, group_tokens: int, linear: fl
 
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            for doc, data in zip(batch.column("id").to_pylist(), encoder.batch(texts), strict=True):
+            for doc, data in zip(batch.column("id").to_pylist(), words.batch(texts), strict=True):
                 docs.append(doc)
                 ids.append(data + end)
                 size += len(data) // 4 + 1
