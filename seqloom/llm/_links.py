@@ -1,12 +1,10 @@
 """From buckets of candidates to classes, without emitting all pairs of a group.
 
-`classes` verifies each bucket's members against its least member and takes the connected components
-of these links. A bucket whose members are all in one component is settled, since further pairs
-would change no class. In the others, the members of other components than the least one's, the
-loose ones, are verified against their nearest members of other components in the order of `info`
-(the length first), over and over until that joins no more classes. These rounds only save work:
-in the end every pair of a bucket whose members are in different components is verified, except
-those that `plausible` or their lengths rule out, so classes are those of an exhaustive comparison.
+`classes` verifies members against the least members of their buckets, in three steps: each against the
+least of its heads; one pair of any two components that are left; the other pairs of different components.
+A bucket whose members are all in one component is settled, since further pairs would change no class. Of
+the other buckets every pair of members in different components is verified, except those that `plausible`
+or their lengths rule out, so classes are those of an exhaustive comparison of each bucket.
 """
 
 from __future__ import annotations
@@ -14,80 +12,102 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm._scratch import small, table
+from seqloom.llm._scratch import BROADCAST_KEYS, discard, small, table
 
-#: Members before and after a loose one that are compared with it in a round, before the rest is.
-NEIGHBOURS = 8
+
+def shared(members: DataFrame, name: str) -> DataFrame:
+    """The `members (bucket, id, ...)` that are not alone in their bucket; only bucket numbers are shuffled to find them."""
+    buckets = table(members.groupBy("bucket").count().where("count > 1").select("bucket"), f"{name}-buckets")
+    return table(members.join(small(buckets, buckets.count(), BROADCAST_KEYS), "bucket", "left_semi"), f"{name}-members")
 
 
 def classes(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    info: DataFrame,
+    info: DataFrame | None,
     name: str,
     known: DataFrame | None = None,
     *,
     similarity: float,
     plausible: Callable[[Column, Column], Column],
+    prepare: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """`(id, component)` of every member that is linked to another; a component is named by its least id.
 
-    members: distinct `(bucket, id)`. verify: takes distinct pairs `(a, b)`, a < b, and returns those that are
-    linked. info: `(id, info)`, structs with the length `n` first, by whose order the neighbours of loose rows
-    are chosen. known: further links `(a, b)`. Of linked members, the shorter one has `similarity` of the
-    longer one's length at least, and `plausible` of their infos, the shorter one's first, is true. Empty
-    members give no rows.
+    members: distinct `(bucket, id)`, or `(bucket, id, info)`: then no pair is verified that its infos rule out.
+    verify: takes distinct pairs `(a, b)`, a < b, and returns those that are linked. prepare: called before, once,
+    with the distinct ids (column `id`) that any later pair is made of. info: `(id, info)` where
+    members have none. Infos are structs with the length `n`. known: further links `(a, b)`. Of
+    linked members, the shorter one has `similarity` of the longer one's length at least, and `plausible` of their
+    infos, the shorter one's first, is true. Empty members give no rows.
     """
-    groups = members.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a < b")
-    groups = table(groups, f"{name}-groups")
-    heads = groups.where("n > 2").select("bucket", "a")
-    star = table(members.join(small(heads, heads.count()), "bucket").where("id > a").select("bucket", "a", F.col("id").alias("b")), f"{name}-star")
-    pairs = star.select("a", "b").unionByName(groups.where("n = 2").select("a", "b")).distinct()
-    links = table(verify(pairs), f"{name}-links")
-    found = table(components(links if known is None else links.unionByName(known), name), f"{name}-found")
-    while True:
-        of = lambda c, to, f=found: f.select(F.col("id").alias(c), F.col("component").alias(to))
-        placed = (
-            star.join(of("a", "p"), "a", "left")
-            .join(of("b", "q"), "b", "left")
-            .select("bucket", F.col("b").alias("id"), F.coalesce("p", "a").alias("head"), F.coalesce("q", "b").alias("component"))
-        )
-        open_buckets = table(placed.where("head <> component").select("bucket").distinct(), f"{name}-open")
-        here = table(placed.join(open_buckets, "bucket", "left_semi").join(info, "id"), f"{name}-here")
-        order = Window.partitionBy("bucket").orderBy("info", "id")
-        near = [f(F.struct("id", "component"), k).over(order) for f in (F.lag, F.lead) for k in range(1, NEIGHBOURS + 1)]
-        near = here.select("id", "head", "component", F.array(*near).alias("near")).where("head <> component")
-        other = F.filter("near", lambda x: x["component"] != F.col("component"))
-        pairs = near.select("id", F.explode(other).alias("x")).select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
-        links = table(verify(pairs), f"{name}-links")
-        done = not links.limit(1).count()
-        if done:
-            links = table(verify(_rest(here, similarity, plausible)), f"{name}-links")
-        both = links.unionByName(found.select(F.col("component").alias("a"), F.col("id").alias("b")))
-        found = table(components(both, name), f"{name}-found")
-        if done:
+    may_link = lambda i, j: F.when(i["n"] <= j["n"], plausible(i, j)).otherwise(plausible(j, i))
+    carried = "info" in members.columns
+    head = [F.min(F.struct("id", "info")).alias("head")] if carried else [F.min("id").alias("a")]
+    groups = members.groupBy("bucket").agg(*head, F.max("id").alias("last"), F.count("*").alias("n"))
+    groups = table((groups.select("bucket", F.col("head.id").alias("a"), F.col("head.info").alias("info_a"), "last", "n") if carried else groups).where("a < last"), f"{name}-groups")
+    star = members.join(small(groups, groups.count()), "bucket").where("id > a")
+    if carried:
+        star = star.withColumn("may", may_link(F.col("info"), F.col("info_a"))).where("n > 2 OR may")
+        star = table(star.select("bucket", "a", F.col("id").alias("b"), "n", "may", "info"), f"{name}-star")
+    else:
+        star = table(star.select("bucket", "a", F.col("id").alias("b"), "n", F.lit(True).alias("may")), f"{name}-star")
+    if prepare:
+        prepare(star.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    pairs = table(star.where("may").select("a", "b").distinct(), f"{name}-pairs")
+
+    def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+        """The components with more links; `found` itself if there are none."""
+        links = table(links, f"{name}-links")
+        if not links.limit(1).count():
             return found
+        return table(components(links.unionByName(found.select(F.col("component").alias("a"), F.col("id").alias("b"))), name), f"{name}-found")
+
+    def placed(of: DataFrame, found: DataFrame) -> DataFrame:
+        """`of (a, b)` with their components p and q."""
+        out = of.join(found.select(F.col("id").alias("a"), F.col("component").alias("p")), "a", "left").join(found.select(F.col("id").alias("b"), F.col("component").alias("q")), "b", "left")
+        return out.select("a", "b", F.coalesce("p", "a").alias("p"), F.coalesce("q", "b").alias("q"))
+
+    def apart(of: DataFrame, found: DataFrame) -> DataFrame:
+        return placed(of, found).where("p <> q")
+
+    # a member against the least of its heads, one pair of any two components, and then the rest of the pairs
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = table(verify(first), f"{name}-links")
+    found = table(components(links if known is None else links.unionByName(known), name), f"{name}-found")
+    others = table(apart(pairs.join(first, ["a", "b"], "left_anti"), found), f"{name}-others")
+    one = table(_one_each(others), f"{name}-one")
+    found = merged(found, verify(one))
+    found = merged(found, verify(apart(others.select("a", "b").join(one, ["a", "b"], "left_anti"), found).select("a", "b")))
+    star = star.where("n > 2")  # the only pair of a smaller bucket has been verified
+    heads = table(placed(star.select("a", "b").distinct(), found), f"{name}-heads")
+    open_buckets = table(star.join(heads.where("p <> q"), ["a", "b"], "left_semi").select("bucket").distinct(), f"{name}-open")
+    here = star.join(open_buckets, "bucket", "left_semi").join(heads, ["a", "b"]).select("bucket", F.col("b").alias("id"), F.col("q").alias("component"), *(["info"] if carried else []))
+    here = table(here if carried else here.join(info, "id"), f"{name}-here")
+    return merged(found, verify(_rest(here, similarity, plausible)))
+
+
+def _one_each(pairs: DataFrame) -> DataFrame:
+    """Of `pairs (a, b, p, q)` the least pair `(a, b)` of any two components p and q."""
+    return pairs.groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.min(F.struct("a", "b")).alias("x")).select("x.a", "x.b")
 
 
 def _rest(here: DataFrame, similarity: float, plausible: Callable[[Column, Column], Column]) -> DataFrame:
     """All pairs `(a, b)` of `here (bucket, id, component, info)` in a bucket but not in a component that may be linked.
 
     Lengths fall into ranges by powers of a ratio a little below `similarity`, so those of linked members
-    lie in one range or in adjacent ones, and a bucket is dealt out by them. A pair of several buckets
-    comes from the least one.
+    lie in one range or in adjacent ones, and a bucket is dealt out by them.
     """
-    here = here.join(here.groupBy("id").agg(F.collect_set("bucket").alias("all")), "id")
     ratio = -math.log(similarity - 0.01) if similarity > 0.02 else math.inf
     at = F.floor(F.log(F.greatest(F.col("info.n"), F.lit(1)).cast("double")) / F.lit(ratio))
-    short = here.select("bucket", at.alias("range"), F.col("id").alias("x"), F.col("component").alias("p"), F.col("info").alias("i"), F.col("all").alias("all_x"))
-    long = here.select("bucket", F.explode(F.array(at, at - 1)).alias("range"), F.col("id").alias("y"), F.col("component").alias("q"), F.col("info").alias("j"), F.col("all").alias("all_y"))
+    short = here.select("bucket", at.alias("range"), F.col("id").alias("x"), F.col("component").alias("p"), F.col("info").alias("i"))
+    long = here.select("bucket", F.explode(F.array(at, at - 1)).alias("range"), F.col("id").alias("y"), F.col("component").alias("q"), F.col("info").alias("j"))
     before = (F.col("i.n") < F.col("j.n")) | (F.col("i.n") == F.col("j.n")) & (F.col("x") < F.col("y"))
     may = before & (F.col("p") != F.col("q")) & plausible(F.col("i"), F.col("j"))
-    may &= F.array_min(F.array_intersect("all_x", "all_y")) == F.col("bucket")
-    return short.join(long, ["bucket", "range"]).where(may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return short.join(long, ["bucket", "range"]).where(may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -113,7 +133,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             .unionByName(lows.select("hi", F.col("m").alias("lo")))
             .distinct()
         )
-        now = table(step, f"{name}-edges")
+        before, now = now, table(step, f"{name}-edges")
+        discard(before)
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if seen == mark:
             break

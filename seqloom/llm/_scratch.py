@@ -5,12 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of narrow (a few numbers) data that are broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 200_000
+#: The same for rows of a single number.
+BROADCAST_KEYS = 1_000_000
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def folder(spark: SparkSession) -> str:
@@ -31,12 +35,23 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
+def discard(df: DataFrame) -> None:
+    """Delete the files of a `table` that nothing reads any more."""
+    path = _paths.pop(df, None)
+    if path:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(session.sessionState().newHadoopConf()).delete(where, True)
+
+
+def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, marked for broadcast where its counted rows are few enough."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= most else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

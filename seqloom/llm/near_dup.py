@@ -2,11 +2,13 @@
 
 A document's k-mers are its runs of five words, each labelled with how often it has occurred so
 far. Under each of `sketches` hash functions the `picks` smallest labelled k-mers are taken and put
-back in text order; the ordered tuple is a sketch. Two documents become candidates if one sketch
-agrees, and are linked if the edit similarity of their word sequences, 1 - distance / longer
-length, is `similarity` or more. With 28 sketches of 3 picks, a pair that shares 0.8 of its k-mers
-becomes a candidate with a probability of 1 - 1e-8, one that shares 0.6 with 0.999, 0.5 with 0.976,
-0.1 with 0.03. Raise `picks` with the corpus: each further pick divides chance meetings by ten or so.
+back in text order; the ordered tuple is a sketch. A text of up to `SHORT` words, of whose few k-mers one
+edit can change all, has sketches of runs of two words besides. Two documents become candidates if one
+sketch agrees, and are linked if the edit similarity of their word sequences, 1 - distance / longer
+length, is `similarity` or more. With 48 sketches of 2 picks a pair that shares a part s of its k-mers
+becomes a candidate with a probability of 1 - (1 - s * s) ** 48: 1 - 1e-21 for 0.8, 0.999 for 0.37, 0.86 for
+0.2, 0.11 for 0.05. Where every fifth word is replaced at random, which is the edit similarity of 0.8, s is 0.2;
+where every tenth is, s is 0.42. Raise `picks` with the corpus: each further pick divides chance meetings by ten or so.
 """
 
 from __future__ import annotations
@@ -19,15 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm._links import classes
-from seqloom.llm._scratch import small, table
+from seqloom.llm._links import classes, shared
+from seqloom.llm._scratch import BROADCAST_KEYS, let, small, table
 
 WORDS = 5
 SIMILARITY = 0.8
-SKETCHES = 28
-PICKS = 3
-#: Counters of a text's words by their hashes, which bound the words that two texts share.
-COUNTERS = 16
+SKETCHES = 48
+PICKS = 2
+#: Texts of up to so many words have sketches of shorter k-mers besides.
+SHORT, SHORT_WORDS, SHORT_SKETCHES = 40, 2, 16
+#: Counters of a text's words by their hashes, which bound the words that two texts share. Seven lie in a long, each of
+#: eight bits below a spare one; one that is full counts for any number.
+COUNTERS, LANES, FULL = 126, 7, 255
+_SPARE = sum(1 << 9 * i + 8 for i in range(LANES))
+_EVEN = sum(511 << 18 * i for i in range(3))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,7 +63,7 @@ def labelled_kmers(tokens: np.ndarray, k: int) -> np.ndarray:
     return np.where(seen > 0, _mixed(h + seen * _ODD), h)
 
 
-def order_minhash(tokens: np.ndarray, k: int, sketches: int, picks: int) -> np.ndarray:
+def order_minhash(tokens: np.ndarray, k: int, sketches: int, picks: int, first_seed: int = 1) -> np.ndarray:
     """One 64-bit value per sketch; none for a text without words."""
     if not len(tokens):
         return np.empty(0, np.uint64)
@@ -65,7 +72,7 @@ def order_minhash(tokens: np.ndarray, k: int, sketches: int, picks: int) -> np.n
     out = []
     step = max(1, 2_000_000 // len(h))
     for s in range(0, sketches, step):
-        seeds = np.arange(s, min(s + step, sketches), dtype=np.uint64) + np.uint64(1)
+        seeds = np.arange(s, min(s + step, sketches), dtype=np.uint64) + np.uint64(first_seed)
         x = _mixed(h[None, :] ^ (seeds * _ODD)[:, None])
         at = np.sort(np.argpartition(x, picks - 1, axis=1)[:, :picks], axis=1)
         value = seeds
@@ -130,19 +137,27 @@ def alike(a: list, b: list, similarity: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def _sketched(k: int, sketches: int, picks: int):
+def _sketched(k: int, sketches: int, picks: int, similarity: float):
+    # the longer text of a pair whose shorter one is short has this many words at most
+    short = SHORT / similarity if similarity else np.inf
+
+    def values_of(tokens: np.ndarray) -> np.ndarray:
+        found = order_minhash(tokens, k, sketches, picks)
+        return np.r_[found, order_minhash(tokens, SHORT_WORDS, SHORT_SKETCHES, picks, 1 << 32)] if len(tokens) <= short else found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
             lists = batch.column("tokens")
             flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             ends = np.cumsum(np.r_[0, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)])
-            values = [order_minhash(flat[i:j], k, sketches, picks) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            values = [values_of(flat[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
             sizes = np.cumsum([0, *map(len, values)]).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *values]).view(np.int64)))
             counts = [np.bincount((flat[i:j] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) for i, j in zip(ends[:-1], ends[1:], strict=True)]
-            bag = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([np.empty(0, np.int64), *counts]).astype(np.int32)), COUNTERS).cast(pa.list_(pa.int32()))
-            columns = {"id": batch.column("id"), "text_hash": batch.column("text_hash"), "n_words": pa.array(np.diff(ends), pa.int32()), "bag": bag, "sketches": column}
+            bag = np.minimum(np.concatenate([np.empty(0, np.int64), *counts]), FULL).reshape(-1, LANES) @ (1 << 9 * np.arange(LANES))
+            bags = pa.FixedSizeListArray.from_arrays(pa.array(bag, pa.int64()), COUNTERS // LANES).cast(pa.list_(pa.int64()))
+            columns = {"id": batch.column("id"), "text_hash": batch.column("text_hash"), "n_words": pa.array(np.diff(ends), pa.int32()), "bag": bags, "sketches": column}
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -182,40 +197,56 @@ def near_duplicate_classes(
     sketched = table(
         rows.select("id", F.coalesce(F.md5("text"), F.concat(F.lit("null "), F.col("id").cast("string"))).alias("text_hash"), plain.alias("plain"))
         .select("id", "text_hash", tokens.alias("tokens"))
-        .mapInArrow(_sketched(words, sketches, picks), "id long, text_hash string, n_words int, bag array<int>, sketches array<long>"),
+        .mapInArrow(_sketched(words, sketches, picks, similarity), "id long, text_hash string, n_words int, bag array<long>, sketches array<long>"),
         "omh-sketches",
     )
     texts = sketched.where("id IS NOT NULL").groupBy("text_hash").agg(F.min("id").alias("first"))
+    info = F.struct(F.col("n_words").alias("n"), "bag")
     members = (
         sketched.where("id IS NOT NULL")
         .join(texts.select(F.col("first").alias("id"), "text_hash"), ["id", "text_hash"], "left_semi")
-        .select("id", F.explode("sketches").alias("bucket"))
-        .distinct()
+        .select("id", info.alias("info"), F.explode("sketches").alias("bucket"))
     )
+    members = shared(members, "omh").distinct()  # rows that are repeated
+
+    held = {}
+
+    def prepare(ids: DataFrame) -> None:
+        """Words of all documents that are ever compared, once."""
+        ids = table(ids, "omh-ids")
+        words_of = rows.where("text IS NOT NULL").join(small(ids, ids.count(), BROADCAST_KEYS), "id", "left_semi").select("id", F.struct(F.md5("text"), plain.alias("words")).alias("x"))
+        held["words"] = table(words_of.groupBy("id").agg(F.min("x").alias("x")).select("id", "x.words"), "omh-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = table(pairs, "omh-pairs")
-        ids = table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "omh-ids")
-        held = rows.where("text IS NOT NULL").join(small(ids, ids.count()), "id", "left_semi").select("id", F.struct(F.md5("text"), plain.alias("words")).alias("x"))
-        held = table(held.groupBy("id").agg(F.min("x").alias("x")).select("id", "x.words"), "omh-texts")
-        sides = pairs.join(held.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a")
-        sides = sides.join(held.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b")
+        sides = pairs.join(held["words"].select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a")
+        sides = sides.join(held["words"].select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b")
         return sides.select("a", "b", "words_a", "words_b").mapInArrow(_verified(similarity), "a long, b long")
 
     # rows of one id with several texts are one document
+    # (verify takes the text with the least hash)
     same_id = sketched.where("id IS NOT NULL").join(texts, "text_hash").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     several = sketched.where("id IS NOT NULL").groupBy("id").agg(F.min("text_hash").alias("x"), F.max("text_hash").alias("y")).where("x <> y").select("id")
     known = same_id.join(several.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
-    # of several texts the one with the least hash, as in verify
-    info = sketched.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("text_hash", F.struct(F.col("n_words").alias("n"), "bag").alias("info"))).alias("x")).select("id", "x.info")
 
     def plausible(short, long):
         """The bounds of `alike`, by counters instead of words."""
         most = F.floor(F.lit(1 - similarity) * long["n"] + 1e-9)
-        shared = sum(F.least(F.get(short["bag"], F.lit(i)), F.get(long["bag"], F.lit(i))) for i in range(COUNTERS))
-        return (long["n"] - short["n"] <= most) & (long["n"] - shared <= most)
 
-    found = classes(members, verify, info, "omh", known, similarity=similarity, plausible=plausible)
+        def fewer(x, y):
+            """The lesser of each two counters, by their spare bits."""
+            more = x.bitwiseOR(F.lit(_SPARE)) - y
+            more = more.bitwiseAND(F.lit(_SPARE))
+            return x.bitwiseXOR(x.bitwiseXOR(y).bitwiseAND(more - F.shiftrightunsigned(more, 8)))
+
+        counters = F.zip_with(short["bag"], long["bag"], fewer)
+        full = F.exists(counters, lambda x: (x + F.lit(_SPARE >> 8)).bitwiseAND(F.lit(_SPARE)) != 0)
+        pairs = F.aggregate(counters, F.lit(0).cast("long"), lambda n, x: n + x.bitwiseAND(F.lit(_EVEN)) + F.shiftrightunsigned(x, 9).bitwiseAND(F.lit(_EVEN)) + F.shiftrightunsigned(x, 54))
+        words_shared = let(pairs, lambda x: sum(F.shiftrightunsigned(x, 18 * i).bitwiseAND(F.lit((1 << 18) - 1)) for i in range(3)))
+        fits = long["n"] - short["n"] <= most
+        return F.when(fits, (long["n"] - words_shared <= most) | full).otherwise(False)
+
+    found = classes(members, verify, None, "omh", known, similarity=similarity, plausible=plausible, prepare=prepare)
     first = texts.join(found, texts["first"] == found["id"], "left").select("text_hash", F.coalesce("component", "first").alias("class_id"))
     return (
         sketched.select("id", "text_hash")

@@ -15,3 +15,15 @@ def test_pairs_beyond_the_neighbours_are_verified(spark):
     allowed = spark.createDataFrame(sorted(links), "a long, b long")
     found = _links.classes(members, lambda pairs: pairs.join(allowed, ["a", "b"]), info, "test", similarity=0.8, plausible=lambda x, y: x["n"] * 5 >= y["n"] * 4)
     assert {x.id: x.component for x in found.collect()} == dict.fromkeys(ids, 1000)
+
+
+def test_links_of_a_large_bucket_are_all_found(spark):
+    """Sixty members, each linked to the one thirty places on only."""
+    members = spark.createDataFrame([(7, i) for i in range(60)], "bucket long, id long")
+    info = spark.createDataFrame([(i, 100) for i in range(60)], "id long, n int").select("id", F.struct("n").alias("info"))
+    allowed = spark.createDataFrame([(i, i + 30) for i in range(30)], "a long, b long")
+    for carried in (members, members.join(info, "id")):
+        asked = []
+        found = _links.classes(carried, lambda pairs: pairs.join(allowed, ["a", "b"]), info, "test", similarity=0.8, plausible=lambda x, y: F.lit(True), prepare=asked.append)
+        assert {x.id: x.component for x in found.collect()} == {i: i % 30 for i in range(60)}
+        assert {x.id for x in asked[0].collect()} == set(range(60))

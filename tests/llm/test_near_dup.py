@@ -91,3 +91,52 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns
     assert sorted(str(x.doc_id) for x in kept.collect()) == ["1", "2", "None"]
     assert near_duplicate_classes(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [8, 12, 20, 45, 100, 400])
+@pytest.mark.parametrize("rate", [0.05, 0.13, 0.18])
+def test_sketches_find_edited_texts(n, rate):
+    """Of pairs that alignment links, words replaced at random, nine in ten share a sketch, short texts included."""
+    import numpy as np
+
+    from seqloom.llm import near_dup
+
+    np.seterr(over="ignore")
+    r = random.Random(n)
+
+    def sketches(words):
+        tokens = np.array(words, np.uint64)
+        found = set(order_minhash(tokens, near_dup.WORDS, near_dup.SKETCHES, near_dup.PICKS).tolist())
+        short = len(words) <= near_dup.SHORT / near_dup.SIMILARITY
+        return found | (set(order_minhash(tokens, near_dup.SHORT_WORDS, near_dup.SHORT_SKETCHES, near_dup.PICKS, 1 << 32).tolist()) if short else set())
+
+    hits = linked = 0
+    while linked < 100:
+        a = [r.randrange(1, 10**9) for _ in range(n)]
+        b = [x if r.random() > rate else r.randrange(1, 10**9) for x in a]
+        if alike(a, b, 0.8):
+            linked += 1
+            hits += bool(sketches(a) & sketches(b))
+    assert hits >= 85
+
+
+def test_very_long_texts(spark):
+    r = random.Random(4)
+    words = [f"w{r.randrange(5000)}" for _ in range(60_000)]
+    near = [w if r.random() > 0.05 else "other" for w in words]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(r.sample(words, len(words))))]
+    got = {x.doc_id: x.class_id for x in near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_counters_never_rule_out_a_link(spark):
+    """Packed counters, full ones too, bound the shared words from above; unlike texts are told apart by them."""
+    r = random.Random(6)
+    rows = []
+    for n in (5, 40, 300, 20_000):
+        base = [r.choice(("w", "v", "the")) + str(r.randrange(400)) for _ in range(n)]
+        rows += [(" ".join(base), " ".join(w if r.random() > 0.15 else "x" for w in base)) for _ in range(2)]
+    rows += [("a " * 90_000, "a " * 88_000 + "b " * 2000)]
+    docs = [(2 * i + k, t) for i, pair in enumerate(rows) for k, t in enumerate(pair)]
+    got = {x.doc_id: x.class_id for x in near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(len(rows)))
