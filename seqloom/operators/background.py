@@ -1,9 +1,10 @@
 """Background regions with the GC content of the targets.
 
-Candidates come in rounds: each draws a fixed multiple of what is still missing, from a hash of seed,
-round and number; contigs are equally likely, whatever their length. Those that touch a target, hold
-too many N or match no bin's GC are rejected, and each bin takes its first ones. After `rounds` the
-shortfall is reported, not looped for.
+Candidates come in rounds: each draws a multiple, which doubles from round to round, of what is still
+missing, from a hash of seed, round and number; contigs are equally likely, whatever their length. Those
+that touch a target, hold too many N or match the GC of no bin that lacks any are rejected. One that
+matches several such bins is dealt to one of them by its number, and each bin takes its first ones. After
+`rounds` the shortfall is reported, not looped for.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import gc_count, letter_count
-from seqloom.operators.gc import bin_profile, gc_bins, gc_tolerance, mean_length
-from seqloom.operators.intervals import extract_sequences, without_overlap
+from seqloom.operators.gc import bin_profile, gc_bins, gc_tolerance, global_rank, mean_length
+from seqloom.operators.intervals import chunk_contigs, extract_from_chunks, extract_sequences, without_overlap
+
+#: Contigs are cut into pieces of so many bases before candidates are taken from them.
+CHUNK = 1 << 16
 
 
 def candidates(contigs: DataFrame, n: int, length: int, seed: int, round_no: int) -> DataFrame:
@@ -35,20 +39,26 @@ def candidates(contigs: DataFrame, n: int, length: int, seed: int, round_no: int
     return placed.select("cand_id", "chrom", F.pmod("_at", F.col("size") - length).alias("st"), (F.pmod("_at", F.col("size") - length) + length).alias("en"))
 
 
-def accept(found: DataFrame, targets: DataFrame, contigs: DataFrame, profile: DataFrame, tolerance: float, length: int, n_share: float) -> DataFrame:
-    """`(bin, cand_id, chrom, st, en, seq)`: candidates that pass all tests, in every bin whose GC they match."""
+def accept(found: DataFrame, targets: DataFrame, chunks: DataFrame, lacking: list[tuple[int, float]], tolerance: float, length: int, n_share: float) -> DataFrame:
+    """`(bin, cand_id, chrom, st, en, seq)`: candidates that pass all tests, each in one of the bins `lacking (bin, gc)` whose GC it matches."""
     free = without_overlap(found, targets)
     placed = free.select(F.col("cand_id").alias("interval_id"), "chrom", (F.col("st") + 1).alias("st"), (F.col("en") + 2).alias("en"))
-    seqs = extract_sequences(placed, contigs).select(F.col("interval_id").alias("cand_id"), "chrom", (F.col("st") - 1).alias("st"), (F.col("en") - 2).alias("en"), "seq")
+    seqs = extract_from_chunks(placed, chunks, CHUNK, length + 1).select(F.col("interval_id").alias("cand_id"), "chrom", (F.col("st") - 1).alias("st"), (F.col("en") - 2).alias("en"), "seq")
     clean = seqs.where(letter_count(F.col("seq"), "N") <= int(n_share * length)).withColumn("gc", F.round(gc_count(F.col("seq")) / F.lit(length), 6))
-    return clean.join(F.broadcast(profile.select("bin", "bin_gc")), F.abs(F.col("gc") - F.col("bin_gc")) <= tolerance)  # one row per bin
+    bins = F.array(*(F.struct(F.lit(b).alias("bin"), F.lit(gc).alias("gc")) for b, gc in lacking))
+    fits = clean.withColumn("_fits", F.filter(bins, lambda b: F.abs(F.col("gc") - b["gc"]) <= tolerance)).where(F.size("_fits") > 0)
+    dealt = F.get("_fits", F.pmod("cand_id", F.size("_fits")).cast("int"))["bin"]
+    return fits.select(dealt.alias("bin"), "cand_id", "chrom", "st", "en", "seq")
 
 
-def select_background(accepted: DataFrame, need: DataFrame) -> DataFrame:
-    """The first candidates of each bin, by number, each used in one bin only: the least that takes it."""
-    one = accepted.withColumn("_b", F.row_number().over(Window.partitionBy("cand_id").orderBy("bin"))).where("_b = 1").drop("_b")
-    ranked = one.withColumn("_r", F.row_number().over(Window.partitionBy("bin").orderBy("cand_id")))
-    return ranked.join(F.broadcast(need.select("bin", "need")), "bin").where("_r <= need").drop("_r", "need")
+def first_of_bins(accepted: DataFrame, counts: dict[int, int], lack: dict[int, int]) -> DataFrame:
+    """The first candidates of each bin, by number, as many as it lacks; ranked over all bins at once, as one bin may hold most rows."""
+    last, before = {}, 0
+    for b in sorted(counts):
+        last[b] = before + lack.get(b, 0)
+        before += counts[b]
+    most = F.create_map(*(F.lit(x) for pair in last.items() for x in pair))
+    return global_rank(accepted, ["bin", "cand_id"]).where(F.col("_rank") <= most[F.col("bin")]).drop("_rank")
 
 
 def random_background(
@@ -59,27 +69,35 @@ def random_background(
     bins: int = 10,
     n_share: float = 0.5,
     seed: int = 0,
-    rounds: int = 4,
+    rounds: int = 6,
     oversample: int = 20,
 ) -> tuple[DataFrame, DataFrame]:
-    """Background `(bin, cand_id, chrom, st, en, seq)` and the shortfall `(bin, need, found)` for targets `(interval_id, chrom, st, en)`."""
+    """Background `(bin, cand_id, chrom, st, en, seq)` and the shortfall `(bin, need, found)` for targets `(interval_id, chrom, st, en)`.
+
+    Each bin needs `ratio` times its targets, rounded up. No targets, or no contig longer than they are, give no background.
+    """
+    spark = contigs.sparkSession
     seqs = extract_sequences(targets, contigs).persist()
-    binned = gc_bins(seqs, bins)
-    profile = bin_profile(binned).persist()
+    profile = bin_profile(gc_bins(seqs, bins)).orderBy("bin").collect()  # one row per bin
     length = mean_length(seqs).first()[0] or 0
     tolerance = gc_tolerance(seqs, bins).first()["tolerance"] or 0.0
-    need = profile.select("bin", F.ceil(F.col("n") * ratio).cast("long").alias("need"))
-    total = need.agg(F.sum("need")).first()[0] or 0
-    pool = None
+    seqs.unpersist()
+    sizes = contigs.select("chrom", "size").persist()
+    chunks = chunk_contigs(contigs, CHUNK, length + 1).persist()
+    need = {r["bin"]: math.ceil(r["n"] * ratio) for r in profile}
+    lack, numbered = dict(need), 0
+    chosen = spark.createDataFrame([], "bin int, cand_id long, chrom string, st long, en long, seq string")
     for k in range(rounds):
-        if pool is not None:
-            have = pool.groupBy("bin").count()
-            short = need.join(have, "bin", "left").agg(F.sum(F.greatest(F.col("need") - F.coalesce("count", F.lit(0)), F.lit(0)))).first()[0] or 0
-            if not short:
-                break
-        drawn = candidates(contigs, math.ceil(total * oversample), length, seed, k).withColumn("cand_id", F.col("cand_id") + k * total * oversample)
-        part = accept(drawn, targets, contigs, profile, tolerance, length, n_share)
-        pool = (part if pool is None else pool.unionByName(part)).persist()
-    chosen = select_background(pool, need)
-    report = need.join(chosen.groupBy("bin").agg(F.count("*").alias("found")), "bin", "left").select("bin", "need", F.coalesce("found", F.lit(0)).alias("found"))
+        n = math.ceil(sum(lack.values()) * oversample * 2**k)
+        if not n:
+            break
+        drawn = candidates(sizes, n, length, seed, k).withColumn("cand_id", F.col("cand_id") + numbered)
+        lacking = [(r["bin"], r["bin_gc"]) for r in profile if lack[r["bin"]]]
+        accepted = accept(drawn, targets, chunks, lacking, tolerance, length, n_share).persist()
+        counts = {r["bin"]: r["count"] for r in accepted.groupBy("bin").count().collect()}  # one row per bin
+        numbered += n
+        if counts:
+            chosen = chosen.unionByName(first_of_bins(accepted, counts, lack))
+            lack = {b: max(0, x - counts.get(b, 0)) for b, x in lack.items()}
+    report = spark.createDataFrame([(b, x, x - lack[b]) for b, x in need.items()], "bin int, need long, found long")
     return chosen, report

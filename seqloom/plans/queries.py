@@ -155,13 +155,43 @@ def background_candidates(spark, sf_dir):
     return background.candidates(fx.contigs(spark, sf_dir), 2000, 75, 3, 0)
 
 
-@query()
+def _background_sql(body: str, rounds: int = 6, oversample: int = 20, seed: int = 1) -> str:
+    """`body` after `need (bin, bin_gc, need)` and the chosen ones of each round, as `chosen (bin, cand_id, chrom, st, en, seq)`."""
+    draw = lambda k, what: f"CAST(concat('0x', substr(md5(concat('{seed}:{k}:{what}:', id)), 1, 12)) AS BIGINT)"
+    steps = [
+        """,
+need AS MATERIALIZED (SELECT CAST(bin AS INTEGER) AS bin, round((sum(n_gc) + 0.1) / (sum(length(seq)) + 0.1), 6) AS bin_gc, count(*) AS need FROM binned GROUP BY ALL),
+whole AS MATERIALIZED (SELECT CAST(floor(sum(length(seq)) / count(*)) AS BIGINT) AS len, round((max(gc) - min(gc)) / 20, 6) AS tolerance FROM binned),
+places AS MATERIALIZED (SELECT chrom, seq, size, row_number() OVER (ORDER BY chrom) - 1 AS n, count(*) OVER () AS many FROM contigs, whole WHERE size > len)"""
+    ]
+    chosen = []
+    for k in range(rounds):
+        found = " UNION ALL ".join(f"SELECT bin FROM chosen{j}" for j in range(k)) or "SELECT 0 AS bin WHERE false"
+        numbered = " + ".join(["0", *(f"(SELECT n FROM drawn{j})" for j in range(k))])
+        steps.append(f""",
+lack{k} AS MATERIALIZED (SELECT bin, bin_gc, need - count(f.bin) AS lack FROM need LEFT JOIN ({found}) f USING (bin) GROUP BY bin, bin_gc, need),
+drawn{k} AS MATERIALIZED (SELECT CAST(sum(lack) * {oversample * 2**k} AS BIGINT) AS n FROM lack{k}),
+placed{k} AS MATERIALIZED (SELECT id + {numbered} AS cand_id, chrom, {draw(k, "start")} % (size - len) AS st, {draw(k, "start")} % (size - len) + len AS en, seq, len, tolerance
+  FROM (SELECT unnest(range((SELECT n FROM drawn{k}))) AS id) JOIN places ON n = {draw(k, "contig")} % many, whole),
+cut{k} AS (SELECT cand_id, chrom, st, en, substr(seq, st + 1, len + 1) AS seq, len, tolerance FROM placed{k} c WHERE NOT EXISTS (SELECT 1 FROM peaks p WHERE {_OVERLAP})),
+clean{k} AS (SELECT *, round((2 * length(seq) - length(replace(seq, 'G', '')) - length(replace(seq, 'C', ''))) / len, 6) AS gc FROM cut{k}
+  WHERE length(seq) - length(replace(seq, 'N', '')) <= floor(len * 0.5)),
+fits{k} AS (SELECT c.*, bin, lack, row_number() OVER (PARTITION BY cand_id ORDER BY bin) - 1 AS place, count(*) OVER (PARTITION BY cand_id) AS bins
+  FROM clean{k} c JOIN lack{k} ON lack > 0 AND abs(gc - bin_gc) <= tolerance),
+ranked{k} AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY cand_id) AS r FROM fits{k} WHERE place = cand_id % bins),
+chosen{k} AS MATERIALIZED (SELECT bin, cand_id, chrom, st, en, seq FROM ranked{k} WHERE r <= lack)""")
+        chosen.append(f"SELECT * FROM chosen{k}")
+    steps.append(f",\nchosen AS ({' UNION ALL '.join(chosen)})\n")
+    return sql("SELECT 1").replace("SELECT 1\n", "".join(steps).lstrip("\n") + body)
+
+
+@query(_background_sql("SELECT bin, cand_id, chrom, st, en, seq FROM chosen"))
 def background_select(spark, sf_dir):
     chosen, _ = background.random_background(fx.peaks(spark, sf_dir), fx.contigs(spark, sf_dir), seed=1)
     return chosen
 
 
-@query()
+@query(_background_sql("SELECT bin, need, count(c.bin) AS found FROM need LEFT JOIN chosen c USING (bin) GROUP BY bin, need"))
 def background_shortfall(spark, sf_dir):
     _, report = background.random_background(fx.peaks(spark, sf_dir), fx.contigs(spark, sf_dir), seed=1)
     return report
