@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat, decontaminate, html_text, line_dedup, near_dup, packing, quality, toxicity, url_filter, warc
+from seqloom.llm import chat, decontaminate, html_text, importance, line_dedup, mixing, near_dup, packing, prefix_trie, quality, toxicity, url_filter, warc
 from seqloom.llm._scratch import new_path, table
 
 
@@ -156,6 +156,125 @@ SELECT c.page_id, c.url, c.fetched_at, r.pattern AS matched_pattern, r.since AS
 FROM captures c LEFT JOIN ranked r ON r.url = c.url AND r.fetched_at = c.fetched_at AND r.n = 1
 """
 
+
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and score towards the benchmark texts, and the rank of the drawn ones."""
+    return importance.importance_sample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned crc32 of a string's UTF-8 bytes, byte by byte with `steps.list` of a one-row table in scope."""
+    octets = f"list_transform(range(1, 2 * strlen({text}), 2), lambda i: CAST(concat('0x', substr(hex(encode({text})), i, 2)) AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(steps.list[xor(c & 255, b) + 1], c >> 8), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+
+
+#: What the low byte of a crc32 adds in one step.
+_CRC_STEPS = """steps AS MATERIALIZED (SELECT list(x ORDER BY i) AS list FROM (
+  SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END, i) AS x FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def _op11_sql() -> str:
+    x, words = importance, r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    split = lambda rows: f"(SELECT *, regexp_extract_all(translate(coalesce(text, ''), '{x.UPPER}', '{x.LOWER}'), {words}) AS ws FROM {rows})"
+    return f"""
+WITH {_CRC_STEPS},
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, ws FROM {split("documents")}),
+target AS (SELECT unnest(ws) AS w FROM {split("benchmark")}),
+words AS (SELECT r, unnest(ws) AS w FROM docs),
+hashed AS MATERIALIZED (SELECT w, {_crc32_sql("w")} % {x.BUCKETS} AS bucket FROM (SELECT w FROM words UNION SELECT w FROM target), steps),
+s AS (SELECT bucket, count(*) AS n FROM words JOIN hashed USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM target JOIN hashed USING (w) GROUP BY bucket),
+gains AS MATERIALIZED (
+  SELECT b AS bucket, CAST(floor({x.SCALE} * ln(CAST((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + {x.BUCKETS}) AS DOUBLE)
+    / CAST((coalesce(s.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + {x.BUCKETS}) AS DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range({x.BUCKETS})) AS b) LEFT JOIN s ON s.bucket = b LEFT JOIN t ON t.bucket = b),
+sums AS (SELECT r, CAST(sum(gain) AS BIGINT) AS total FROM words JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, n_features, weight, weight + CAST(floor(-{x.SCALE} * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, CASE WHEN len(ws) > 0 THEN (total - ((total % len(ws)) + len(ws)) % len(ws)) // len(ws) ELSE 0 END AS weight,
+          CAST(concat('0x', substr(sha256(concat('{x.SEED}:', doc_id)), 1, 8)) AS BIGINT) AS h FROM docs LEFT JOIN sums USING (r))),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {x.LEAST_WORDS} ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE n_features >= {x.LEAST_WORDS}) OVER () AS enough FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {x.LEAST_WORDS} AND place <= {x.PERCENT} * enough // 100 THEN place END AS rank FROM placed
+"""
+
+
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it."""
+    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _op12_sql() -> str:
+    x = mixing
+    seats = "(SELECT CAST(floor({0} * sum(size) / {1} + 0.5) AS BIGINT) FROM sized)".format(x.SHARE, x.BLOCK)
+    return f"""
+WITH sized AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         substr(md5(concat('{x.SEED}:', doc_id, ':', md5(coalesce(text, '')))), 1, 16) AS h FROM documents),
+sources AS MATERIALIZED (
+  SELECT *, [{", ".join(map(str, x.WEIGHTS))}][(no - 1) % {len(x.WEIGHTS)} + 1] AS weight, {x.MOST_REPEATS} * source_size AS most
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM sized GROUP BY source)),
+stops AS (
+  SELECT no, weight, most, row_number() OVER (ORDER BY most / weight, no) AS place,
+         (CAST({x.SHARE} AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(most) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS unit
+  FROM sources WINDOW before AS (ORDER BY most / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS MATERIALIZED (
+  SELECT *, least(weight * (SELECT arg_min(unit, place) FROM stops WHERE unit * weight <= most), CAST(most AS DOUBLE)) AS target FROM sources),
+quotas AS MATERIALIZED (
+  SELECT no, count(*) AS quota FROM (SELECT no, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, no, k) AS place FROM (SELECT no, target, unnest(range({seats})) AS k FROM targets WHERE target > 0))
+  WHERE place <= {seats} GROUP BY no),
+dealt AS MATERIALIZED (
+  SELECT r, s.doc_id, s.size, t.no, t.source_size, t.target, h, CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) % greatest(CAST(ceil(t.source_size / {x.SHARD_WORDS}) AS BIGINT), 1) AS shard
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+cells AS MATERIALIZED (SELECT no, shard, CAST(sum(size) AS BIGINT) AS words, CAST(ceil(sum(size) / {x.BLOCK}) AS BIGINT) AS blocks, coalesce(any_value(quota), 0) AS seats FROM dealt LEFT JOIN quotas USING (no) GROUP BY no, shard HAVING sum(size) > 0),
+given AS (
+  SELECT no, shard, count(*) AS quota FROM (SELECT no, shard, seats, row_number() OVER (PARTITION BY no ORDER BY CAST(words AS DOUBLE) / (2 * k + 1) DESC, shard, k) AS place FROM (SELECT *, unnest(range(seats)) AS k FROM cells))
+  WHERE place <= seats GROUP BY no, shard),
+runs AS (
+  SELECT no, shard, words, blocks, least(coalesce(quota, 0), {x.MOST_REPEATS} * blocks) // blocks AS repeats, least(coalesce(quota, 0), {x.MOST_REPEATS} * blocks) % blocks AS extra,
+         CAST(concat('0x', substr(md5(concat('{x.SEED}:run:', no, ':', shard)), 1, 12)) AS BIGINT) % blocks AS first FROM cells LEFT JOIN given USING (no, shard)),
+laid AS (SELECT *, CAST(sum(size) OVER (PARTITION BY no, shard ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS last FROM dealt),
+cut AS (
+  SELECT doc_id, size, source_size, target, last - size AS start, last, coalesce(repeats, 0) AS repeats, coalesce(first, 0) * {x.BLOCK} AS a, least((first + extra) * {x.BLOCK}, words) AS b, (first + extra - blocks) * {x.BLOCK} AS c
+  FROM laid LEFT JOIN runs USING (no, shard)),
+parts AS (
+  SELECT *, coalesce(greatest(least(last, b) - greatest(start, a), 0), 0) AS tail, coalesce(greatest(least(last, c) - start, 0), 0) AS head FROM cut)
+SELECT doc_id, size, source_size, target, CAST(repeats * size + tail + head AS BIGINT) AS taken FROM parts
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations with shared starts."""
+    return prefix_trie.conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
+def _op13_sql() -> str:
+    return f"""
+WITH {_CRC_STEPS},
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         {{'k': md5(concat(strlen(coalesce(role, '')), ':', role, text)), 'n': CAST(strlen(coalesce(text, '')) AS BIGINT)}} AS t FROM conversations WHERE conv_id IS NOT NULL),
+convs AS MATERIALIZED (SELECT conv_id, list(t ORDER BY i) AS ts FROM turns GROUP BY conv_id),
+hashed AS (SELECT conv_id, ts, {_crc32_sql("CAST(conv_id AS VARCHAR)")} % {prefix_trie.MOST_SHARED + 1} AS h FROM convs, steps),
+rebuilt AS MATERIALIZED (
+  SELECT c.conv_id, list_concat(coalesce(b.ts, [])[1:h], c.ts[h + 1:]) AS ts FROM hashed c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 5),
+prefixes AS MATERIALIZED (
+  SELECT conv_id, d AS depth, len(ts) = d AS ends, array_to_string(list_transform(ts[1:d], lambda x: x.k), ' ') AS path,
+         CASE WHEN d > 0 THEN array_to_string(list_transform(ts[1:d - 1], lambda x: x.k), ' ') END AS above, CASE WHEN d > 0 THEN ts[d].n ELSE 0 END AS bytes
+  FROM (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS d FROM rebuilt)),
+nodes AS MATERIALIZED (
+  SELECT path, depth, any_value(above) AS above, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM prefixes GROUP BY path, depth),
+children AS (SELECT above AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+whole AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (path, depth)),
+above AS (
+  SELECT array_to_string(string_split(path, ' ')[1:d], ' ') AS path, d AS depth, (n_convs - 1) * bytes AS saved, n_children = 0 AS leaf
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM whole)),
+sums AS (SELECT path, depth, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE leaf) AS n_leaves FROM above GROUP BY path, depth)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM whole n JOIN sums USING (path, depth) LEFT JOIN whole p ON p.path = n.above AND p.depth = n.depth - 1
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_main_text": op2_main_text,
@@ -167,9 +286,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_importance": op11_importance,
+    "op12_mixture": op12_mixture,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_quality": _op8_sql(),
     "op10_url_filter": _OP10_SQL,
+    "op11_importance": _op11_sql(),
+    "op12_mixture": _op12_sql(),
+    "op13_prefix_trie": _op13_sql(),
 }

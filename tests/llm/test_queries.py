@@ -8,7 +8,7 @@ from seqloom.llm.queries import ORACLE_SQL, QUERIES
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
 def test_equals_sql(spark, folder, name):
     db = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "benchmark", "conversations"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     want, got = db.sql(ORACLE_SQL[name]), QUERIES[name](spark, folder)
     assert sorted(got.columns) == sorted(want.columns)
