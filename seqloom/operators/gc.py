@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import gc_content, gc_count, letter_count
+from seqloom.operators.cut import cut
+from seqloom.operators.select import nth_smallest
 
 
 def with_gc(seqs: DataFrame, decimals: int = 6) -> DataFrame:
@@ -14,32 +16,48 @@ def with_gc(seqs: DataFrame, decimals: int = 6) -> DataFrame:
 
 
 def gc_bins(seqs: DataFrame, bins: int = 10, order: str = "interval_id") -> DataFrame:
-    """Adds `bin` (1 to `bins`): equal counts after a stable sort by gc; the first bins get the odd rows.
+    """Adds `bin` (1 to `bins`): equal counts after a stable sort by gc and `order`, a whole number; the first bins get the odd rows.
 
-    Ranks come from a range-partitioned sort (per-partition counts and a running offset), not from one
-    window over all rows.
+    Nothing is sorted: counts per gc, of which six decimals allow a million at most, show the gc at which
+    each bin ends. Only where rows of that gc fall to both sides, the last `order` of the earlier bin is
+    selected, again by counts.
     """
-    ranked = global_rank(with_gc(seqs), ["gc", order])
-    n = seqs.count()
+    rows = with_gc(seqs)
+    narrow = rows.select("gc", order).persist()
+    counts = narrow.groupBy("gc").count()
+    upto = Window.orderBy("gc").rowsBetween(Window.unboundedPreceding, 0)
+    steps = counts.select("gc", "count", F.sum("count").over(upto).alias("upto")).withColumn("before", F.col("upto") - F.col("count"))
+    n = narrow.count()
     small, extra = divmod(n, bins)
-    edge = extra * (small + 1)
-    rank = F.col("_rank")
-    if small == 0:
-        return ranked.withColumn("bin", rank.cast("int")).drop("_rank")
-    late = F.floor((rank - 1 - edge) / small) + extra + 1
-    return ranked.withColumn("bin", F.when(rank <= edge, F.floor((rank - 1) / (small + 1)) + 1).otherwise(late).cast("int")).drop("_rank")
+    ends = [i * (small + 1) if i <= extra else extra * (small + 1) + (i - extra) * small for i in range(1, min(bins, n))]
+    at_edge = F.exists(F.array(*(F.lit(e).cast("long") for e in ends)), lambda e: (F.col("before") < e) & (e <= F.col("upto")))
+    edges = steps.where(at_edge).collect() if ends else []  # a row per bin at most
+    # gc at the edge, how many rows of that gc belong to the earlier bins, and whether others don't
+    cuts = sorted((e, r["gc"], e - r["before"], r["upto"] > e) for r in edges for e in ends if r["before"] < e <= r["upto"])
+    last = {}
+    split = [c for c in cuts if c[3]]
+    while split:  # one edge of a gc at a time; several bins may end within one
+        now = {gc: n for _, gc, n, _ in reversed(split)}
+        last |= {(gc, now[gc]): v for gc, v in nth_smallest(narrow, "gc", order, now).items()}
+        split = [c for c in split if (c[1], c[2]) not in last]
+    narrow.unpersist()
+    bin_no = F.lit(1)
+    for _, gc, place, tied in cuts:
+        beyond = F.col("gc") > gc
+        bin_no += F.when(beyond | (F.col("gc") == gc) & (F.col(order) > last[gc, place]) if tied else beyond, 1).otherwise(0)
+    return rows.withColumn("bin", bin_no.cast("int"))
 
 
 def global_rank(rows: DataFrame, order: list[str], name: str = "_rank") -> DataFrame:
     """Adds a dense 1-based row number over all rows in the given order, sorted range by range.
 
-    The ranges are persisted, as their bounds come from a sample that a second run might draw anew.
+    The sorted ranges are written, as their bounds come from a sample that a second run might draw anew.
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(*order)
-    ranged = ranged.withColumn("_in", F.row_number().over(within)).persist()
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per partition
+    # the id holds the range's number and the place in it
+    ranged = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at")
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per range
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return ranged.join(F.broadcast(offsets.select("_part", "_off")), "_part").withColumn(name, F.col("_in") + F.col("_off")).drop("_part", "_in", "_off")
 

@@ -13,14 +13,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators.gc import global_rank
+from seqloom.operators.cut import cut
+from seqloom.operators.select import nth_smallest
 
 
-def train_test_split(rows: DataFrame, fraction: float, seed: int = 0, iteration: int = 0, key: str = "key") -> DataFrame:
-    """Adds `is_test`: exactly ceil(fraction * n) rows, those that come first by md5(seed:iteration:key)."""
+def _split_number(key: str, seed: int, iteration: int) -> Column:
+    """60 bits of md5(seed:iteration:key)."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(iteration)), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+
+
+def split_cuts(rows: DataFrame, fraction: float, seed: int, iterations: list[int], key: str = "key") -> dict[int, int]:
+    """Per iteration the last number that is tested: of ceil(fraction * n) rows, found by counts instead of a sort."""
     n_test = math.ceil(fraction * rows.count() - 1e-9)
-    keyed = rows.withColumn("_order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(iteration)), F.col(key).cast("string"))))
-    return global_rank(keyed, ["_order", key]).withColumn("is_test", F.col("_rank") <= n_test).drop("_order", "_rank")
+    numbers = F.explode(F.array(*(F.struct(F.lit(i).alias("iteration"), _split_number(key, seed, i).alias("number")) for i in iterations)))
+    found = nth_smallest(rows.select(numbers.alias("x")).select("x.*"), "iteration", "number", dict.fromkeys(iterations, n_test))
+    return {i: found.get(i, -1) for i in iterations}
+
+
+def train_test_split(rows: DataFrame, fraction: float, seed: int = 0, iteration: int = 0, key: str = "key") -> DataFrame:
+    """Adds `is_test`: ceil(fraction * n) rows, those that come first by md5(seed:iteration:key); keys are distinct."""
+    last = split_cuts(rows, fraction, seed, [iteration], key)[iteration]
+    return rows.withColumn("is_test", _split_number(key, seed, iteration) <= last)
 
 
 def standardize(features: DataFrame, by: list[str], column: str = "value") -> DataFrame:
@@ -48,7 +61,7 @@ def _running(groups: DataFrame, columns: list[str], ascending: bool) -> DataFram
     """Adds running sums `_<column>` by score: within ranges in parallel, then offsets of one row per range."""
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.col("score").asc() if ascending else F.col("score").desc()
-    ranged = groups.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = cut(groups.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
     within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     sums = ranged.groupBy("_part").agg(*(F.sum(c).alias(f"_o_{c}") for c in columns))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

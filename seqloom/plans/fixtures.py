@@ -1,23 +1,26 @@
-"""Sequences, contigs, intervals, motifs and features derived from the driver's tables, in Spark and in SQL."""
+"""Sequences, contigs, intervals, motifs and features derived from the driver's whole tables, in Spark and in SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: name, matrix id, counts per position (A, C, G, T): a palindrome, a zero cell, ambiguous ends.
-MOTIFS = [
-    ("TALE1", "M1", [[6, 1, 1, 12], [14, 2, 2, 2], [2, 14, 3, 1], [1, 3, 14, 2], [2, 2, 2, 14], [12, 1, 1, 6]]),
-    ("ETS/X (1)", "M2", [[5, 5, 5, 5], [1, 1, 17, 1], [0, 1, 18, 1], [18, 1, 0, 1], [16, 1, 1, 2], [6, 4, 5, 5]]),
-    ("SEA", "M3", [[3, 1, 1, 15], [12, 2, 2, 4], [1, 15, 2, 2], [2, 12, 3, 3]]),
-    ("NEAT", "M4", [[12, 2, 4, 2], [2, 2, 2, 14], [3, 13, 2, 2], [15, 2, 1, 2], [1, 1, 1, 17], [13, 3, 2, 2], [2, 2, 15, 1], [4, 5, 6, 5]]),
-    ("TEA", "M5", [[2, 1, 2, 15], [11, 3, 2, 4], [2, 14, 2, 2], [3, 11, 3, 3]]),
-    ("EAST", "M6", [[10, 4, 3, 3], [2, 15, 2, 1], [2, 2, 3, 13], [1, 2, 2, 15], [13, 2, 3, 2]]),
+from seqloom.operators.gc import global_rank
+
+#: name, matrix id, anchor and width of each motif of the library that is learnt from `documents`.
+ANCHORS = [
+    ("TALE1", "M1", "TA", 6),
+    ("ETS/X (1)", "M2", "AG", 6),
+    ("SEA", "M3", "GC", 4),
+    ("NEAT", "M4", "CA", 8),
+    ("TEA", "M5", "TC", 4),
+    ("EAST", "M6", "AT", 5),
 ]
-#: motif index to cluster; motif 1 and 5 stay alone.
-CLUSTERS = [(0, 0), (1, 1), (2, 2), (3, 0), (4, 2), (5, 3)]
-METADATA = [("SEA", "GENE_S", "Unknown"), ("TEA", "GENE_T", "Basic (b)/zip"), ("NEAT", "GENE_N", "Homeo"), ("TALE1", "GENE_T", "Homeo"), ("ELSE", "GENE_E", "Other")]
-FEATURES = 8
+#: The widest motif.
+WIDEST = max(w for *_, w in ANCHORS)
+FEATURES = 64
+#: Letters of a peak at least, and of a candidate.
+SHORTEST, CANDIDATE = 10, 25
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,50 +39,69 @@ def clean_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`(chrom, seq, size)`: the sequences of 1000 letters or more."""
+    """`(chrom, seq, size)`: the sequences of 1000 letters or more, named by their number."""
     long = sequences(spark, sf_dir).where("length(seq) >= 1000")
-    n = F.row_number().over(Window.orderBy("seq_ordinal"))
-    return long.select(F.concat(F.lit("chr"), n.cast("string")).alias("chrom"), "seq", F.length("seq").cast("long").alias("size"))
+    numbered = global_rank(long.select("seq_ordinal"), ["seq_ordinal"])
+    return long.join(numbered, "seq_ordinal").select(F.concat(F.lit("chr"), F.col("_rank").cast("string")).alias("chrom"), "seq", F.length("seq").cast("long").alias("size"))
 
 
-def _intervals(spark: SparkSession, sf_dir: str, which: int) -> DataFrame:
-    n = contigs(spark, sf_dir).count()
-    events = _table(spark, sf_dir, "events").where(F.col("event_id") % 10 == which)
-    e = F.col("event_id")
-    if which == 0:
-        name, st, en = F.col("user_id") % (n + 1) + 1, e * 37 % 900 + 1, e * 37 % 900 + 51 + e % 100
-    else:
-        name, st, en = F.col("user_id") % F.lit(max(n, 1)) + 1, e * 53 % 900, e * 53 % 900 + 100
-    return events.select(e.alias("interval_id" if which == 0 else "cand_id"), F.concat(F.lit("chr"), name.cast("string")).alias("chrom"), st.alias("st"), en.alias("en"))
+def _intervals(spark: SparkSession, sf_dir: str, known: DataFrame, unknown: int) -> DataFrame:
+    """Every event with a contig, `unknown` of all contigs' numbers beyond the last, and its size."""
+    n = known.count()
+    name = F.concat(F.lit("chr"), (F.col("user_id") % F.lit(max(n + unknown, 1)) + 1).cast("string"))
+    return _table(spark, sf_dir, "events").select("event_id", name.alias("chrom")).join(known.select("chrom", "size"), "chrom", "left")
 
 
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`(interval_id, chrom, st, en)`; some on an unknown contig."""
-    return _intervals(spark, sf_dir, 0)
+    """`(interval_id, chrom, st, en)` of every event, anywhere on its contig; some on an unknown one."""
+    e, size = F.col("event_id"), F.coalesce("size", F.lit(1000))
+    st = e * 37 % size + 1
+    return _intervals(spark, sf_dir, contigs(spark, sf_dir), 1).select(e.alias("interval_id"), "chrom", st.alias("st"), (st + SHORTEST + e % 20).alias("en"))
 
 
 def background_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`(cand_id, chrom, st, en)`."""
-    return _intervals(spark, sf_dir, 1)
+    """`(cand_id, chrom, st, en)` of every event."""
+    e = F.col("event_id")
+    st = e * 53 % (F.col("size") - CANDIDATE)
+    return _intervals(spark, sf_dir, contigs(spark, sf_dir), 0).select(e.alias("cand_id"), "chrom", st.alias("st"), (st + CANDIDATE).alias("en"))
+
+
+def _anchors(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, *a) for i, a in enumerate(ANCHORS)], "motif_idx int, name string, matrix_id string, anchor string, width int")
+
+
+def motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`(motif_idx, name, matrix_id, counts)`: counts of the letters that follow each place of a motif's anchor, over all documents."""
+    places = clean_sequences(spark, sf_dir).where("length(seq) > 1").select("seq", F.explode(F.expr("sequence(1, length(seq) - 1)")).alias("p"))
+    sites = places.select(F.expr(f"substr(seq, p, {WIDEST})").alias("site")).groupBy("site").agg(F.count("*").alias("n"))
+    anchors = _anchors(spark)
+    found = sites.join(F.broadcast(anchors), F.expr("substr(site, 1, 2) = anchor AND length(site) >= width"))  # a row per motif
+    counts = [F.array(*(F.sum(F.when(F.expr(f"substr(site, {i + 1}, 1) = '{b}'"), F.col("n")).otherwise(0)).cast("double") for b in "ACGT")) for i in range(WIDEST)]
+    rows = anchors.join(found.groupBy("motif_idx").agg(F.array(*counts).alias("c")), "motif_idx", "left")
+    none = F.array(*[F.array(*[F.lit(0.0)] * 4)] * WIDEST)
+    return rows.select("motif_idx", "name", "matrix_id", F.slice(F.coalesce("c", none), F.lit(1), F.col("width")).alias("counts"))
 
 
-def motifs(spark: SparkSession) -> DataFrame:
-    """`(motif_idx, name, matrix_id, counts)`."""
-    rows = [(i, name, matrix_id, [[float(x) for x in col] for col in counts]) for i, (name, matrix_id, counts) in enumerate(MOTIFS)]
-    return spark.createDataFrame(rows, "motif_idx int, name string, matrix_id string, counts array<array<double>>")
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`(motif_idx, name, width, n)`: how many sites each motif was learnt from."""
+    total = F.aggregate(F.col("counts")[0], F.lit(0.0), lambda a, x: a + x).cast("long")
+    return motifs(spark, sf_dir).select("motif_idx", "name", F.size("counts").alias("width"), total.alias("n"))
 
 
-def clusters(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CLUSTERS, "motif_idx int, cluster_id int")
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`(motif_idx, cluster_id)`: motifs with an even and with an odd number of sites; those of five letters stay alone."""
+    return _sites(spark, sf_dir).select("motif_idx", F.expr("CASE WHEN width = 5 THEN 100 + motif_idx ELSE CAST(n % 2 AS INT) END").alias("cluster_id"))
 
 
-def metadata(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(METADATA, "name string, gene string, family string")
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`(name, gene, family)` from the numbers of sites; one motif has none, and one name is no motif's."""
+    known = _sites(spark, sf_dir).where("motif_idx <> 1").select("name", F.expr("concat('GENE_', n % 4)").alias("gene"), F.expr("CASE n % 3 WHEN 0 THEN 'Unknown' WHEN 1 THEN 'Homeo' ELSE 'Basic (b)/zip' END").alias("family"))
+    return known.unionByName(spark.createDataFrame([("ELSE", "GENE_E", "Other")], "name string, gene string, family string"))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`(key, label, x array<double>)`: the first embedding values, and whether the label is odd."""
-    x = F.transform(F.slice("embedding", 1, FEATURES), lambda v: v.cast("double"))
+    """`(key, label, x array<double>)`: all embedding values, and whether the label is odd."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
     return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), (F.col("label") % 2).alias("label"), x.alias("x"))
 
 
@@ -95,28 +117,36 @@ def _values(rows: list[tuple]) -> str:
 
 def sql(body: str) -> str:
     """`body` after the same fixtures in SQL."""
-    cells = [(i, pos, base, float(col[b])) for i, (_, _, counts) in enumerate(MOTIFS) for pos, col in enumerate(counts) for b, base in enumerate("ACGT")]
-    names = [(i, name, matrix_id, len(counts)) for i, (name, matrix_id, counts) in enumerate(MOTIFS)]
+    names = [(i, *a) for i, a in enumerate(ANCHORS)]
     return f"""
 WITH seqs AS (SELECT doc_id AS seq_ordinal, regexp_replace(translate(upper(text), 'NQ', '-N'), '[^ACGTN]', '', 'g') AS seq FROM documents),
 clean AS (SELECT doc_id AS seq_ordinal, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents),
 contigs AS (SELECT concat('chr', row_number() OVER (ORDER BY seq_ordinal)) AS chrom, seq, length(seq) AS size FROM seqs WHERE length(seq) >= 1000),
-peaks AS (SELECT event_id AS interval_id, concat('chr', user_id % ((SELECT count(*) FROM contigs) + 1) + 1) AS chrom, event_id * 37 % 900 + 1 AS st,
-  event_id * 37 % 900 + 51 + event_id % 100 AS en FROM events WHERE event_id % 10 = 0),
-cands AS (SELECT event_id AS cand_id, concat('chr', user_id % greatest((SELECT count(*) FROM contigs), 1) + 1) AS chrom, event_id * 53 % 900 AS st,
-  event_id * 53 % 900 + 100 AS en FROM events WHERE event_id % 10 = 1),
+known AS MATERIALIZED (SELECT chrom, size FROM contigs),
+peaks AS MATERIALIZED (SELECT interval_id, chrom, st, st + {SHORTEST} + interval_id % 20 AS en FROM (SELECT event_id AS interval_id, e.chrom, event_id * 37 % coalesce(size, 1000) + 1 AS st
+  FROM (SELECT event_id, concat('chr', user_id % ((SELECT count(*) FROM known) + 1) + 1) AS chrom FROM events) e LEFT JOIN known k ON k.chrom = e.chrom)),
+cands AS MATERIALIZED (SELECT event_id AS cand_id, e.chrom, event_id * 53 % (size - {CANDIDATE}) AS st, event_id * 53 % (size - {CANDIDATE}) + {CANDIDATE} AS en
+  FROM (SELECT event_id, concat('chr', user_id % greatest((SELECT count(*) FROM known), 1) + 1) AS chrom FROM events) e LEFT JOIN known k ON k.chrom = e.chrom),
 ext AS (SELECT interval_id, chrom, st, en, concat(chrom, ':', st, '-', en) AS seq_id, substr(seq, st, en - st) AS seq FROM peaks JOIN contigs USING (chrom) WHERE substr(seq, st, en - st) <> ''),
 gcs AS (SELECT *, length(seq) - length(replace(seq, 'G', '')) + length(seq) - length(replace(seq, 'C', '')) AS n_gc FROM ext),
 binned AS (SELECT *, round(n_gc / length(seq), 6) AS gc, ntile(10) OVER (ORDER BY round(n_gc / length(seq), 6), interval_id) AS bin FROM gcs),
-cells(motif_idx, pos, base, value) AS (VALUES {_values(cells)}),
-motifs(motif_idx, name, matrix_id, width) AS (VALUES {_values(names)}),
-clusters(motif_idx, cluster_id) AS (VALUES {_values(CLUSTERS)}),
-metadata(name, gene, family) AS (VALUES {_values(METADATA)}),
+motifs(motif_idx, name, matrix_id, anchor, width) AS (VALUES {_values(names)}),
+sites AS (SELECT substr(seq, p, {WIDEST}) AS site, count(*) AS n FROM (SELECT seq, unnest(range(1, length(seq))) AS p FROM clean) GROUP BY site),
+sited AS MATERIALIZED (SELECT motif_idx, site, n FROM sites JOIN motifs ON substr(site, 1, 2) = anchor AND length(site) >= width),
+cells AS MATERIALIZED (
+  SELECT motif_idx, CAST(pos AS INTEGER) AS pos, base, CAST(coalesce(sum(n) FILTER (WHERE substr(site, pos + 1, 1) = base), 0) AS DOUBLE) AS value
+  FROM (SELECT motif_idx, unnest(range(width)) AS pos FROM motifs) CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) b(base) LEFT JOIN sited USING (motif_idx) GROUP BY motif_idx, pos, base),
+learnt AS (SELECT motif_idx, name, width, CAST(sum(value) AS BIGINT) AS n FROM cells JOIN motifs USING (motif_idx) WHERE pos = 0 GROUP BY ALL),
+clusters AS (SELECT motif_idx, CASE WHEN width = 5 THEN 100 + motif_idx ELSE CAST(n % 2 AS INTEGER) END AS cluster_id FROM learnt),
+metadata AS (SELECT name, concat('GENE_', n % 4) AS gene, CASE n % 3 WHEN 0 THEN 'Unknown' WHEN 1 THEN 'Homeo' ELSE 'Basic (b)/zip' END AS family FROM learnt WHERE motif_idx <> 1
+  UNION ALL SELECT 'ELSE', 'GENE_E', 'Other'),
 pc AS (SELECT motif_idx, floor(0.25 * sqrt(sum(value) / (max(pos) + 1))) AS pc FROM cells GROUP BY motif_idx),
 pwm AS (SELECT motif_idx, pos, base, (value + pc) / sum(value + pc) OVER (PARTITION BY motif_idx, pos) AS p FROM cells JOIN pc USING (motif_idx)),
 plain AS (SELECT motif_idx, pos, base, value / sum(value) OVER (PARTITION BY motif_idx, pos) AS p FROM cells),
+plain2 AS (SELECT motif_idx, pos, base, round(p, 6) / sum(round(p, 6)) OVER (PARTITION BY motif_idx, pos) AS p FROM plain),
+plain3 AS (SELECT motif_idx, pos, base, round(p, 6) / sum(round(p, 6)) OVER (PARTITION BY motif_idx, pos) AS p FROM plain2),
 pssm AS (SELECT motif_idx, pos, base, CASE WHEN p <= 0 THEN CAST('-inf' AS DOUBLE) ELSE log2(p / 0.25) END AS s FROM pwm),
-feats AS (SELECT vec_id AS key, label % 2 AS label, list_transform(embedding[1:{FEATURES}], lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
+feats AS (SELECT vec_id AS key, label % 2 AS label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
 scores AS (SELECT label, round(1 / (1 + exp(-(x[1] * 3.0 + x[2] * -2.0 + x[3] * 1.5 + x[4] * 4.0))), 2) AS score FROM feats)
 {body}
 """

@@ -31,8 +31,8 @@ def query(oracle: str | None = None):
     return add
 
 
-def _motifs(spark: SparkSession) -> DataFrame:
-    return with_pssm(fx.motifs(spark))
+def _motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_pssm(fx.motifs(spark, sf_dir))
 
 
 def _cells(rows: DataFrame, column: str, value: str) -> DataFrame:
@@ -143,6 +143,11 @@ def overlap_count(spark, sf_dir):
     return intervals.overlap_counts(fx.background_intervals(spark, sf_dir), fx.peaks(spark, sf_dir))
 
 
+@query(sql(f"SELECT c.cand_id, p.interval_id FROM cands c JOIN peaks p ON {_OVERLAP}"))
+def overlap_pairs(spark, sf_dir):
+    return intervals.overlap_pairs(fx.background_intervals(spark, sf_dir), fx.peaks(spark, sf_dir))
+
+
 _DRAW = "CAST(concat('0x', substr(md5(concat('3:0:{}:', id)), 1, 12)) AS BIGINT)"
 
 
@@ -155,34 +160,35 @@ def background_candidates(spark, sf_dir):
     return background.candidates(fx.contigs(spark, sf_dir), 2000, 75, 3, 0)
 
 
-def _background_sql(body: str, rounds: int = 6, oversample: int = 20, seed: int = 1) -> str:
-    """`body` after `need (bin, bin_gc, need)` and the chosen ones of each round, as `chosen (bin, cand_id, chrom, st, en, seq)`."""
-    draw = lambda k, what: f"CAST(concat('0x', substr(md5(concat('{seed}:{k}:{what}:', id)), 1, 12)) AS BIGINT)"
-    steps = [
-        """,
-need AS MATERIALIZED (SELECT CAST(bin AS INTEGER) AS bin, round((sum(n_gc) + 0.1) / (sum(length(seq)) + 0.1), 6) AS bin_gc, count(*) AS need FROM binned GROUP BY ALL),
+def _mixed_sql(x: str) -> str:
+    for _ in range(2):
+        x = f"((xor({x} >> 16, {x}) * 73244475) & 4294967295)"
+    return f"xor({x} >> 16, {x})"
+
+
+def _background_sql(body: str, seed: int = 1) -> str:
+    """`body` after `need (bin, mid, need)` and `chosen (bin, cand_id, chrom, st, en, seq)`: every place of every contig, tested and ranked."""
+    steps = f""",
+need AS MATERIALIZED (SELECT CAST(bin AS INTEGER) AS bin, round((sum(n_gc) + 0.1) / (sum(length(seq)) + 0.1), 6) AS mid, count(*) AS need FROM binned GROUP BY ALL),
 whole AS MATERIALIZED (SELECT CAST(floor(sum(length(seq)) / count(*)) AS BIGINT) AS len, round((max(gc) - min(gc)) / 20, 6) AS tolerance FROM binned),
-places AS MATERIALIZED (SELECT chrom, seq, size, row_number() OVER (ORDER BY chrom) - 1 AS n, count(*) OVER () AS many FROM contigs, whole WHERE size > len)"""
-    ]
-    chosen = []
-    for k in range(rounds):
-        found = " UNION ALL ".join(f"SELECT bin FROM chosen{j}" for j in range(k)) or "SELECT 0 AS bin WHERE false"
-        numbered = " + ".join(["0", *(f"(SELECT n FROM drawn{j})" for j in range(k))])
-        steps.append(f""",
-lack{k} AS MATERIALIZED (SELECT bin, bin_gc, need - count(f.bin) AS lack FROM need LEFT JOIN ({found}) f USING (bin) GROUP BY bin, bin_gc, need),
-drawn{k} AS MATERIALIZED (SELECT CAST(sum(lack) * {oversample * 2**k} AS BIGINT) AS n FROM lack{k}),
-placed{k} AS MATERIALIZED (SELECT id + {numbered} AS cand_id, chrom, {draw(k, "start")} % (size - len) AS st, {draw(k, "start")} % (size - len) + len AS en, seq, len, tolerance
-  FROM (SELECT unnest(range((SELECT n FROM drawn{k}))) AS id) JOIN places ON n = {draw(k, "contig")} % many, whole),
-cut{k} AS (SELECT cand_id, chrom, st, en, substr(seq, st + 1, len + 1) AS seq, len, tolerance FROM placed{k} c WHERE NOT EXISTS (SELECT 1 FROM peaks p WHERE {_OVERLAP})),
-clean{k} AS (SELECT *, round((2 * length(seq) - length(replace(seq, 'G', '')) - length(replace(seq, 'C', ''))) / len, 6) AS gc FROM cut{k}
+places AS MATERIALIZED (
+  SELECT chrom, no, st, len, tolerance, substr(seq, st + 1, len + 1) AS seq FROM (
+    SELECT chrom, seq, no, len, tolerance, unnest(range(size - len)) AS st FROM (SELECT chrom, seq, size, row_number() OVER (ORDER BY chrom) - 1 AS no, len, tolerance FROM contigs, whole WHERE size > len))),
+taken AS MATERIALIZED (SELECT DISTINCT chrom, unnest(range(greatest(st - len, 0), en)) AS st FROM peaks, whole),
+free AS MATERIALIZED (
+  SELECT *, round((2 * length(seq) - length(replace(seq, 'G', '')) - length(replace(seq, 'C', ''))) / len, 6) AS gc FROM places ANTI JOIN taken USING (chrom, st)
   WHERE length(seq) - length(replace(seq, 'N', '')) <= floor(len * 0.5)),
-fits{k} AS (SELECT c.*, bin, lack, row_number() OVER (PARTITION BY cand_id ORDER BY bin) - 1 AS place, count(*) OVER (PARTITION BY cand_id) AS bins
-  FROM clean{k} c JOIN lack{k} ON lack > 0 AND abs(gc - bin_gc) <= tolerance),
-ranked{k} AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY cand_id) AS r FROM fits{k} WHERE place = cand_id % bins),
-chosen{k} AS MATERIALIZED (SELECT bin, cand_id, chrom, st, en, seq FROM ranked{k} WHERE r <= lack)""")
-        chosen.append(f"SELECT * FROM chosen{k}")
-    steps.append(f",\nchosen AS ({' UNION ALL '.join(chosen)})\n")
-    return sql("SELECT 1").replace("SELECT 1\n", "".join(steps).lstrip("\n") + body)
+fits AS MATERIALIZED (SELECT f.*, bin, need, count(*) OVER (PARTITION BY bin, chrom) AS n FROM free f JOIN need ON abs(gc - mid) <= tolerance),
+salted AS (SELECT *, xor(st & 4294967295, {_mixed_sql(f"((no * 1009 + bin * 31 + {seed}) & 4294967295)")}) AS x FROM fits),
+hashed AS MATERIALIZED (SELECT *, {_mixed_sql("x")} AS h FROM salted),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY -ln((h + 0.5) / 4294967296.0) * n, no, st) - 1 AS place, count(*) OVER (PARTITION BY bin) AS found FROM hashed),
+filled AS MATERIALIZED (SELECT bin, max(need) AS need FROM fits GROUP BY bin),
+numbered AS (SELECT bin, sum(need) OVER (ORDER BY bin) - need AS first FROM filled),
+chosen AS (
+  SELECT bin, CAST(first + place + turn * found AS BIGINT) AS cand_id, chrom, st, st + len AS en, seq
+  FROM (SELECT *, unnest(range((need - 1 - place) // found + 1)) AS turn FROM ranked WHERE place < need) JOIN numbered USING (bin))
+"""
+    return sql("SELECT 1").replace("SELECT 1\n", steps.lstrip("\n") + body)
 
 
 @query(_background_sql("SELECT bin, cand_id, chrom, st, en, seq FROM chosen"))
@@ -191,33 +197,43 @@ def background_select(spark, sf_dir):
     return chosen
 
 
-@query(_background_sql("SELECT bin, need, count(c.bin) AS found FROM need LEFT JOIN chosen c USING (bin) GROUP BY bin, need"))
+@query(_background_sql("SELECT bin, need, coalesce(f.need, 0) AS found FROM need LEFT JOIN (SELECT bin, need FROM filled) f USING (bin)").replace("SELECT bin, need, coalesce", "SELECT need.bin, need.need, coalesce"))
 def background_shortfall(spark, sf_dir):
     _, report = background.random_background(fx.peaks(spark, sf_dir), fx.contigs(spark, sf_dir), seed=1)
     return report
 
 
+@query(
+    _background_sql(
+        "SELECT CAST(bin AS INTEGER) AS bin, concat('bg_', CAST(concat('0x', substr(md5(concat('1:', cand_id)), 1, 12)) AS BIGINT) % 100000, '_', cand_id) AS seq_id, concat_ws(chr(9), chrom, st, en) AS place FROM chosen"
+    )
+)
+def background_bed(spark, sf_dir):
+    chosen, _ = background.random_background(fx.peaks(spark, sf_dir), fx.contigs(spark, sf_dir), seed=1)
+    return background.background_ids(chosen, 1).select("bin", "seq_id", F.concat_ws("\t", "chrom", "st", "en").alias("place"))
+
+
 # motif matrices
 
 
 @query(sql("SELECT motif_idx, pc FROM pc"))
 def pseudocounts(spark, sf_dir):
-    return fx.motifs(spark).select("motif_idx", m.pseudocount(F.col("counts")).alias("pc"))
+    return fx.motifs(spark, sf_dir).select("motif_idx", m.pseudocount(F.col("counts")).alias("pc"))
 
 
 @query(sql("SELECT motif_idx, pos, base, round(p, 6) AS p FROM plain"))
 def pwm_normalize(spark, sf_dir):
-    return _cells(_motifs(spark), "pwm", "p")
+    return _cells(_motifs(spark, sf_dir), "pwm", "p")
 
 
 @query(sql("SELECT motif_idx, pos, base, round(s, 6) AS s FROM pssm"))
 def pssm_from_counts(spark, sf_dir):
-    return _cells(_motifs(spark), "pssm", "s")
+    return _cells(_motifs(spark, sf_dir), "pssm", "s")
 
 
 @query(sql("SELECT motif_idx, CAST(width - 1 - pos AS INTEGER) AS pos, translate(base, 'ACGT', 'TGCA') AS base, round(p, 6) AS p FROM plain JOIN motifs USING (motif_idx)"))
 def revcomp_motif(spark, sf_dir):
-    return _cells(_motifs(spark).withColumn("r", m.reverse_complement(F.col("pwm"))), "r", "p")
+    return _cells(_motifs(spark, sf_dir).withColumn("r", m.reverse_complement(F.col("pwm"))), "r", "p")
 
 
 @query(
@@ -225,17 +241,17 @@ def revcomp_motif(spark, sf_dir):
 FROM plain JOIN (SELECT motif_idx, min(pos) AS first FROM plain WHERE p > 0.4 GROUP BY motif_idx) USING (motif_idx) WHERE pos >= first""")
 )
 def clean_matrix(spark, sf_dir):
-    return _cells(_motifs(spark).withColumn("t", m.trim_ambiguous(F.col("pwm"))), "t", "p")
+    return _cells(_motifs(spark, sf_dir).withColumn("t", m.trim_ambiguous(F.col("pwm"))), "t", "p")
 
 
 @query(sql("SELECT motif_idx, string_agg(base, '' ORDER BY pos) AS consensus FROM (SELECT motif_idx, pos, arg_max(base, struct_pack(p := p, b := -ascii(base))) AS base FROM plain GROUP BY motif_idx, pos) GROUP BY motif_idx"))
 def motif_consensus(spark, sf_dir):
-    return _motifs(spark).select("motif_idx", m.consensus(F.col("pwm")).alias("consensus"))
+    return _motifs(spark, sf_dir).select("motif_idx", m.consensus(F.col("pwm")).alias("consensus"))
 
 
-def _column_pairs(spark: SparkSession) -> DataFrame:
+def _column_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of equal place of every two motifs i < j."""
-    long = _motifs(spark).select("motif_idx", F.posexplode("pwm").alias("pos", "c"))
+    long = _motifs(spark, sf_dir).select("motif_idx", F.posexplode("pwm").alias("pos", "c"))
     a, b = (long.select(F.col("motif_idx").alias(i), "pos", F.col("c").alias(c)) for i, c in (("i", "a"), ("j", "b")))
     return a.join(b, "pos").where("i < j")
 
@@ -245,16 +261,16 @@ _PAIRS = "FROM plain x JOIN plain y ON x.pos = y.pos AND x.base = y.base AND x.m
 
 @query(sql(f"SELECT x.motif_idx AS i, y.motif_idx AS j, x.pos, round(corr(x.p, y.p), 6) AS r {_PAIRS} GROUP BY ALL HAVING stddev_pop(x.p) > 0 AND stddev_pop(y.p) > 0"))
 def motif_column_pearson(spark, sf_dir):
-    return _column_pairs(spark).select("i", "j", "pos", F.round(m.column_pearson(F.col("a"), F.col("b")), 6).alias("r")).where("r IS NOT NULL")
+    return _column_pairs(spark, sf_dir).select("i", "j", "pos", F.round(m.column_pearson(F.col("a"), F.col("b")), 6).alias("r")).where("r IS NOT NULL")
 
 
 @query(sql(f"SELECT x.motif_idx AS i, y.motif_idx AS j, x.pos, round(2 * sum(x.p * y.p) - sum(x.p) * sum(y.p), 6) AS score {_PAIRS} GROUP BY ALL"))
 def column_match_score(spark, sf_dir):
-    return _column_pairs(spark).select("i", "j", "pos", F.round(m.column_match_score(F.col("a"), F.col("b")), 6).alias("score"))
+    return _column_pairs(spark, sf_dir).select("i", "j", "pos", F.round(m.column_match_score(F.col("a"), F.col("b")), 6).alias("score"))
 
 
-def _equal_width(spark: SparkSession) -> DataFrame:
-    return align.motif_pairs(_motifs(spark)).where("size(a) = size(b)")
+def _equal_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.motif_pairs(_motifs(spark, sf_dir)).where("size(a) = size(b)")
 
 
 _SAME = "JOIN motifs a ON a.motif_idx = x.motif_idx JOIN motifs b ON b.motif_idx = y.motif_idx AND a.width = b.width"
@@ -265,19 +281,19 @@ _SAME = "JOIN motifs a ON a.motif_idx = x.motif_idx JOIN motifs b ON b.motif_idx
 {_PAIRS} {_SAME}) GROUP BY ALL""")
 )
 def aligned_correlation(spark, sf_dir):
-    return _equal_width(spark).select("i", "j", F.round(m.aligned_correlation(F.col("a"), F.col("b")), 6).alias("r"))
+    return _equal_width(spark, sf_dir).select("i", "j", F.round(m.aligned_correlation(F.col("a"), F.col("b")), 6).alias("r"))
 
 
 @query(sql(f"SELECT x.motif_idx AS i, y.motif_idx AS j, round(sqrt(sum((x.p - y.p) * (x.p - y.p))) / 4, 6) AS distance {_PAIRS} {_SAME} GROUP BY ALL"))
 def motif_distance(spark, sf_dir):
-    return _equal_width(spark).select("i", "j", F.round(m.matrix_distance(F.col("a"), F.col("b")), 6).alias("distance"))
+    return _equal_width(spark, sf_dir).select("i", "j", F.round(m.matrix_distance(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
 # scans and features
 
 
 def _top(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return scan.scan_top(fx.sequences(spark, sf_dir), _motifs(spark), **options)
+    return scan.scan_top(fx.sequences(spark, sf_dir), _motifs(spark, sf_dir), **options)
 
 
 @query(scan_sql("SELECT seq_ordinal, motif_idx, score, start, strand FROM hits"))
@@ -292,20 +308,20 @@ def motif_scan_ambiguous(spark, sf_dir):
 
 @query(scan_sql("SELECT seq_ordinal, motif_idx, concat_ws(' ', start, strand) AS start FROM hits", source="clean"))
 def motif_starts_text(spark, sf_dir):
-    hits = scan.scan_top(fx.clean_sequences(spark, sf_dir), _motifs(spark))
+    hits = scan.scan_top(fx.clean_sequences(spark, sf_dir), _motifs(spark, sf_dir))
     return hits.select("seq_ordinal", "motif_idx", s.start_text(F.col("start"), F.col("strand")).alias("start"))
 
 
 @query(scan_sql("SELECT seq_ordinal, motif_idx, strand, start, score FROM windows JOIN motifs USING (motif_idx) WHERE known = width"))
 def motif_scan_tracks(spark, sf_dir):
-    tracks = scan.scan_tracks(fx.sequences(spark, sf_dir), _motifs(spark))
+    tracks = scan.scan_tracks(fx.sequences(spark, sf_dir), _motifs(spark, sf_dir))
     rows = tracks.select("seq_ordinal", "motif_idx", "strand", F.posexplode("scores").alias("start", "score"))
     return rows.where("score IS NOT NULL").withColumn("start", F.col("start").cast("long"))
 
 
-@query(scan_sql("SELECT seq_ordinal, " + ", ".join(f"max(CASE WHEN motif_idx = {i} THEN score END) AS \"{n}\"" for i, (n, _, _) in enumerate(fx.MOTIFS)) + " FROM hits GROUP BY seq_ordinal"))
+@query(scan_sql("SELECT seq_ordinal, " + ", ".join(f"max(CASE WHEN motif_idx = {i} THEN score END) AS \"{n}\"" for i, (n, *_) in enumerate(fx.ANCHORS)) + " FROM hits GROUP BY seq_ordinal"))
 def features_wide(spark, sf_dir):
-    return scan.features_wide(_top(spark, sf_dir), fx.motifs(spark))
+    return scan.features_wide(_top(spark, sf_dir), fx.motifs(spark, sf_dir))
 
 
 @query(
@@ -313,7 +329,7 @@ def features_wide(spark, sf_dir):
 UNION ALL SELECT seq_ordinal, max(CASE WHEN motif_idx = 2 THEN score END), NULL, 0 FROM hits GROUP BY seq_ordinal""")
 )
 def features_union(spark, sf_dir):
-    wide = scan.features_wide(_top(spark, sf_dir), fx.motifs(spark))
+    wide = scan.features_wide(_top(spark, sf_dir), fx.motifs(spark, sf_dir))
     return scan.union_features(wide.select("seq_ordinal", "SEA", "TEA"), wide.select("seq_ordinal", "SEA"))
 
 
@@ -326,8 +342,8 @@ def labels_union(spark, sf_dir):
 # motif texts
 
 
-def _as_text(spark: SparkSession, text) -> DataFrame:
-    rows = _motifs(spark).select(F.col("name").alias("path"), text.alias("value"))
+def _as_text(spark: SparkSession, sf_dir: str, text) -> DataFrame:
+    rows = _motifs(spark, sf_dir).select(F.col("name").alias("path"), text.alias("value"))
     return rows
 
 
@@ -337,7 +353,7 @@ _JASPAR = """concat('>', matrix_id, ' ', name, (SELECT string_agg(concat(chr(10)
 
 @query(sql(f"SELECT name AS path, {_JASPAR} AS value FROM motifs m"))
 def jaspar_text(spark, sf_dir):
-    return _as_text(spark, writers.jaspar_text(F.col("matrix_id"), F.col("name"), F.col("counts")))
+    return _as_text(spark, sf_dir, writers.jaspar_text(F.col("matrix_id"), F.col("name"), F.col("counts")))
 
 
 _HOMER = """concat('>', matrix_id, chr(9), name, chr(9), '7.5', (SELECT string_agg(concat(chr(10), line), '' ORDER BY pos)
@@ -358,9 +374,10 @@ def homer_to_jaspar(spark, sf_dir):
     return convert.homer_to_jaspar(jaspar_to_homer(spark, sf_dir))
 
 
+#: A text's numbers are rounded, and normalised again where they are read: plain2 and plain3.
 _MEME = f"""concat('{writers.MEME_HEAD}', chr(10), 'MOTIF ', name, ' ', matrix_id, chr(10), chr(10), 'letter-probability matrix: alength= 4 w= ', width, ' nsites= 20 E= 0',
   (SELECT string_agg(concat(chr(10), line), '' ORDER BY pos)
-  FROM (SELECT pos, string_agg(printf('%.6f', p), chr(9) ORDER BY base) AS line FROM plain c WHERE c.motif_idx = m.motif_idx GROUP BY pos)))"""
+  FROM (SELECT pos, string_agg(printf('%.6f', p), chr(9) ORDER BY base) AS line FROM plain2 c WHERE c.motif_idx = m.motif_idx GROUP BY pos)))"""
 
 
 @query(sql(f"SELECT name AS path, {_MEME} AS value FROM motifs m"))
@@ -368,7 +385,7 @@ def homer_to_meme(spark, sf_dir):
     return convert.homer_to_meme(jaspar_to_homer(spark, sf_dir))
 
 
-@query(sql(f"SELECT name AS path, {_HOMER} AS value FROM motifs m WHERE name NOT LIKE '% %'"))
+@query(sql(f"SELECT name AS path, {_HOMER.replace('FROM plain c', 'FROM plain3 c')} AS value FROM motifs m WHERE name NOT LIKE '% %'"))
 def meme_to_homer(spark, sf_dir):
     return convert.meme_to_homer(homer_to_meme(spark, sf_dir).where("path NOT LIKE '% %'"), 7.5)
 
@@ -378,22 +395,22 @@ def meme_to_homer(spark, sf_dir):
 
 @query(sql("SELECT a.motif_idx AS i, b.motif_idx AS j FROM motifs a JOIN motifs b ON a.motif_idx < b.motif_idx"))
 def motif_pairs(spark, sf_dir):
-    return align.motif_pairs(_motifs(spark)).select("i", "j")
+    return align.motif_pairs(_motifs(spark, sf_dir)).select("i", "j")
 
 
 @query()
 def motif_local_align(spark, sf_dir):
-    return align.aligned_motifs(_motifs(spark))
+    return align.aligned_motifs(_motifs(spark, sf_dir))
 
 
 @query()
 def motif_global_align(spark, sf_dir):
-    return align.aligned_motifs(_motifs(spark), "global")
+    return align.aligned_motifs(_motifs(spark, sf_dir), "global")
 
 
 @query()
 def motif_similarity(spark, sf_dir):
-    return align.motif_similarity(_motifs(spark))
+    return align.motif_similarity(_motifs(spark, sf_dir))
 
 
 #: A similarity that SQL has too: the closeness of consecutive motif widths and indices.
@@ -402,8 +419,8 @@ _R_SQL = f"SELECT a.motif_idx AS i, b.motif_idx AS j, {_R} AS r FROM motifs a JO
 _FULL = f"sim AS ({_R_SQL}), both_ways AS (SELECT * FROM sim UNION ALL SELECT j, i, r FROM sim UNION ALL SELECT motif_idx, motif_idx, 1.0 FROM motifs)"
 
 
-def _sim(spark: SparkSession) -> DataFrame:
-    wide = _motifs(spark).select("motif_idx", F.size("pwm").alias("width"))
+def _sim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = _motifs(spark, sf_dir).select("motif_idx", F.size("pwm").alias("width"))
     return wide.alias("a").join(wide.alias("b"), F.expr("a.motif_idx < b.motif_idx")).select(F.expr("a.motif_idx").alias("i"), F.expr("b.motif_idx").alias("j"), F.expr(_R.replace("8.0", "8D").replace("50.0", "50D")).alias("r"))
 
 
@@ -413,7 +430,7 @@ def _with(body: str, extra: str) -> str:
 
 @query(_with("SELECT i, j, r FROM both_ways", _FULL))
 def similarity_symmetric(spark, sf_dir):
-    return align.symmetric(_sim(spark), _motifs(spark))
+    return align.symmetric(_sim(spark, sf_dir), _motifs(spark, sf_dir))
 
 
 @query(
@@ -423,12 +440,12 @@ def similarity_symmetric(spark, sf_dir):
     )
 )
 def similarity_histogram(spark, sf_dir):
-    return align.histogram(_sim(spark))
+    return align.histogram(_sim(spark, sf_dir))
 
 
 @query(_with("SELECT * FROM (SELECT i, CAST(row_number() OVER (PARTITION BY i ORDER BY r DESC, j) AS INTEGER) AS rank, j, r FROM both_ways) WHERE rank <= 3", _FULL))
 def related_top(spark, sf_dir):
-    return align.related(align.symmetric(_sim(spark), _motifs(spark)), 3)
+    return align.related(align.symmetric(_sim(spark, sf_dir), _motifs(spark, sf_dir)), 3)
 
 
 _TOP = "top AS (SELECT * FROM (SELECT i, row_number() OVER (PARTITION BY i ORDER BY r DESC, j) AS rank, j FROM both_ways) WHERE rank <= 3)"
@@ -436,34 +453,34 @@ _TOP = "top AS (SELECT * FROM (SELECT i, row_number() OVER (PARTITION BY i ORDER
 
 @query(_with("SELECT a.i, CAST(a.rank AS INTEGER) AS row_rank, CAST(b.rank AS INTEGER) AS column_rank, v.r FROM top a JOIN top b ON a.i = b.i JOIN both_ways v ON v.i = a.j AND v.j = b.j", f"{_FULL}, {_TOP}"))
 def related_matrix(spark, sf_dir):
-    return align.related_matrix(align.symmetric(_sim(spark), _motifs(spark)), 3)
+    return align.related_matrix(align.symmetric(_sim(spark, sf_dir), _motifs(spark, sf_dir)), 3)
 
 
 @query(_with("SELECT i, j, r, CAST(round(r / (SELECT max(r) FROM both_ways) * 100) AS INTEGER) AS percent FROM both_ways", _FULL))
 def heat_percent(spark, sf_dir):
-    return align.heat_percent(align.symmetric(_sim(spark), _motifs(spark)))
+    return align.heat_percent(align.symmetric(_sim(spark, sf_dir), _motifs(spark, sf_dir)))
 
 
 @query()
 def leaf_order(spark, sf_dir):
-    rows = cluster.linkage(_sim(spark), _motifs(spark)).orderBy("step").collect()  # one row per motif
+    rows = cluster.linkage(_sim(spark, sf_dir), _motifs(spark, sf_dir)).orderBy("step").collect()  # one row per motif
     order = cluster.leaf_order(len(rows) + 1, [(r.a, r.b, r.height, r.size) for r in rows])
     return spark.createDataFrame(list(enumerate(order)), "place int, motif int")
 
 
 @query()
 def linkage(spark, sf_dir):
-    return cluster.linkage(_sim(spark), _motifs(spark))
+    return cluster.linkage(_sim(spark, sf_dir), _motifs(spark, sf_dir))
 
 
 @query()
 def cluster_cut(spark, sf_dir):
-    return cluster.cut(_sim(spark), _motifs(spark), 0.8)
+    return cluster.cut(_sim(spark, sf_dir), _motifs(spark, sf_dir), 0.8)
 
 
 @query(sql("SELECT cluster_id, string_agg(CAST(motif_idx AS VARCHAR), ',' ORDER BY motif_idx) AS members FROM clusters GROUP BY cluster_id HAVING count(*) > 1"))
 def cluster_members(spark, sf_dir):
-    found = cluster.members(fx.clusters(spark))
+    found = cluster.members(fx.clusters(spark, sf_dir))
     return found.select("cluster_id", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
@@ -474,7 +491,7 @@ families AS (SELECT cluster_id, coalesce(arg_min(family, motif_idx) FILTER (WHER
 
 @query(_with("SELECT * FROM families", _FAMILY))
 def cluster_family(spark, sf_dir):
-    return cluster.family_of(fx.clusters(spark), fx.motifs(spark), fx.metadata(spark))
+    return cluster.family_of(fx.clusters(spark, sf_dir), fx.motifs(spark, sf_dir), fx.metadata(spark, sf_dir))
 
 
 @query(
@@ -487,34 +504,34 @@ FROM families f WHERE (SELECT count(*) FROM clusters c WHERE c.cluster_id = f.cl
     )
 )
 def consensus_names(spark, sf_dir):
-    return cluster.consensus_names(fx.clusters(spark), fx.motifs(spark), fx.metadata(spark))
+    return cluster.consensus_names(fx.clusters(spark, sf_dir), fx.motifs(spark, sf_dir), fx.metadata(spark, sf_dir))
 
 
 @query(sql("SELECT motif_idx, name FROM motifs WHERE motif_idx NOT IN (SELECT motif_idx FROM clusters WHERE cluster_id IN (SELECT cluster_id FROM clusters GROUP BY cluster_id HAVING count(*) > 1))"))
 def unmerged(spark, sf_dir):
-    return cluster.unmerged(fx.clusters(spark), fx.motifs(spark)).select("motif_idx", "name")
+    return cluster.unmerged(fx.clusters(spark, sf_dir), fx.motifs(spark, sf_dir)).select("motif_idx", "name")
 
 
 @query()
 def consensus_motifs(spark, sf_dir):
-    return _cells(cluster.consensus_motifs(fx.clusters(spark), _motifs(spark)).withColumnRenamed("cluster_id", "motif_idx"), "pwm", "p").withColumnRenamed("motif_idx", "cluster_id")
+    return _cells(cluster.consensus_motifs(fx.clusters(spark, sf_dir), _motifs(spark, sf_dir)).withColumnRenamed("cluster_id", "motif_idx"), "pwm", "p").withColumnRenamed("motif_idx", "cluster_id")
 
 
 @query()
 def library_union(spark, sf_dir):
-    return cluster.curated_library(fx.clusters(spark), _motifs(spark), fx.metadata(spark)).select("name", "matrix_id", "merged", F.size("pwm").alias("width"))
+    return cluster.curated_library(fx.clusters(spark, sf_dir), _motifs(spark, sf_dir), fx.metadata(spark, sf_dir)).select("name", "matrix_id", "merged", F.size("pwm").alias("width"))
 
 
 @query(sql("SELECT name AS motif, coalesce(gene, 'Unknown') AS genes, width FROM motifs LEFT JOIN metadata USING (name)"))
 def annotate_unknown(spark, sf_dir):
-    rows = _motifs(spark).select(F.col("name").alias("motif"), F.size("pwm").alias("width"))
-    return learn.annotate_genes(rows, fx.metadata(spark), on_missing="unknown")
+    rows = _motifs(spark, sf_dir).select(F.col("name").alias("motif"), F.size("pwm").alias("width"))
+    return learn.annotate_genes(rows, fx.metadata(spark, sf_dir), on_missing="unknown")
 
 
 @query(sql("SELECT name AS motif, gene AS genes, width FROM motifs JOIN metadata USING (name)"))
 def annotate_genes(spark, sf_dir):
-    rows = _motifs(spark).join(fx.metadata(spark).select("name"), "name", "left_semi").select(F.col("name").alias("motif"), F.size("pwm").alias("width"))
-    return learn.annotate_genes(rows, fx.metadata(spark))
+    rows = _motifs(spark, sf_dir).join(fx.metadata(spark, sf_dir).select("name"), "name", "left_semi").select(F.col("name").alias("motif"), F.size("pwm").alias("width"))
+    return learn.annotate_genes(rows, fx.metadata(spark, sf_dir))
 
 
 # learning
@@ -617,10 +634,10 @@ def feature_significance(spark, sf_dir):
 
 @query()
 def pipeline_peaks_vs_background(spark, sf_dir):
-    return peaks_vs_background(fx.peaks(spark, sf_dir), fx.contigs(spark, sf_dir), fx.motifs(spark), iterations=2)["coefficients"]
+    return peaks_vs_background(fx.peaks(spark, sf_dir), fx.contigs(spark, sf_dir), fx.motifs(spark, sf_dir), iterations=2)["coefficients"]
 
 
 @query()
 def pipeline_peaks_vs_peaks(spark, sf_dir):
     second = fx.background_intervals(spark, sf_dir).select(F.col("cand_id").alias("interval_id"), "chrom", (F.col("st") + 1).alias("st"), (F.col("en") + 1).alias("en"))
-    return peaks_vs_peaks(fx.peaks(spark, sf_dir), second, fx.contigs(spark, sf_dir), fx.motifs(spark), iterations=2)["significance"]
+    return peaks_vs_peaks(fx.peaks(spark, sf_dir), second, fx.contigs(spark, sf_dir), fx.motifs(spark, sf_dir), iterations=2)["significance"]

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,13 +10,17 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import matrix as m
 from seqloom.functions import sequence as s
-from seqloom.operators import align, background, cluster, intervals, learn, scan
+from seqloom.operators import align, background, cluster, gc, intervals, learn, scan, select
+from seqloom.operators.cut import cut
 from seqloom.plans import fixtures as fx
 from seqloom.plans.pipelines import with_pssm
 from seqloom.sources import readers, writers
 from seqloom.streaming.scan import stream_matches
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
 def motif(spark, *columns, idx=0):
     return spark.createDataFrame([(idx, [list(map(float, c)) for c in columns])], "motif_idx int, pssm array<array<double>>")
 
@@ -61,8 +66,8 @@ def test_scan_equals_a_naive_one(spark):
     seqs = ["".join(r.choice("ACGT") for _ in range(r.randrange(0, 60))) for _ in range(200)]
     df = spark.createDataFrame(list(enumerate(seqs)), "seq_ordinal long, seq string")
     for parts in (1, 7):
-        got = {(x.seq_ordinal, x.motif_idx): tuple(x)[2:] for x in scan.scan_top(df.repartition(parts), with_pssm(fx.motifs(spark))).collect()}
-        for i, pssm in scan.collect_matrices(with_pssm(fx.motifs(spark))):
+        got = {(x.seq_ordinal, x.motif_idx): tuple(x)[2:] for x in scan.scan_top(df.repartition(parts), with_pssm(fx.motifs(spark, SMALL))).collect()}
+        for i, pssm in scan.collect_matrices(with_pssm(fx.motifs(spark, SMALL))):
             for n, seq in enumerate(seqs):
                 want = (None, None, None)
                 if len(seq) >= len(pssm):
@@ -73,7 +78,7 @@ def test_scan_equals_a_naive_one(spark):
 
 def test_scan_of_the_reverse_complement_scores_the_same(spark):
     seqs = fx.clean_sequences(spark, "/root/testdata/sf0.001")
-    motifs = with_pssm(fx.motifs(spark))
+    motifs = with_pssm(fx.motifs(spark, SMALL))
     a = scan.scan_top(seqs, motifs).select("seq_ordinal", "motif_idx", "score")
     b = scan.scan_top(seqs.withColumn("seq", s.reverse_complement(F.col("seq"))), motifs).select("seq_ordinal", "motif_idx", "score")
     assert a.exceptAll(b).count() == 0
@@ -87,7 +92,7 @@ def test_large_libraries_are_refused(spark, monkeypatch):
 
 def test_streams_scan_like_batches(spark, tmp_path):
     seqs = fx.clean_sequences(spark, "/root/testdata/sf0.001").repartition(3)
-    motifs = with_pssm(fx.motifs(spark))
+    motifs = with_pssm(fx.motifs(spark, SMALL))
     seqs.write.parquet(f"{tmp_path}/in")
     q = stream_matches(spark.readStream.schema(seqs.schema).parquet(f"{tmp_path}/in"), motifs, f"{tmp_path}/out", f"{tmp_path}/state")
     q.awaitTermination(120)
@@ -118,36 +123,131 @@ def test_interval_edges(spark):
     assert {x.interval_id for x in intervals.extraction_rejects(df, contigs).collect()} == {2, 4, 5, 6}
 
 
+def _some_intervals(r, n, longest):
+    out = []
+    for i in range(n):
+        st = r.randrange(1, 300_000) if r.random() < 0.7 else r.choice([1, 65_536, 65_537, 131_072])
+        out.append((i, r.choice(["c", "c", "c", "d", "e"]), st, st + r.choice([-3, 0, 1, 40, longest])))
+    return out
+
+
+def test_overlaps_equal_all_pairs(spark):
+    """Empty and touching intervals, hot places, intervals as long as a contig."""
+    r = random.Random(8)
+    targets = _some_intervals(r, 300, 250_000) + [(900, "c", 1, 2**33), (901, "c", 2**33, 2**33 + 5), (902, None, 3, 9)]
+    cands = _some_intervals(r, 300, 250_000) + [(900, "d", 0, 2**34), (901, "c", 2**33 + 1, 2**33 + 2), (902, "unknown", 3, 9), (903, None, 3, 9)]
+    pairs = {(c[0], t[0]) for c in cands for t in targets if c[1] is not None and c[1] == t[1] and c[3] > c[2] and t[3] > t[2] - 1 and c[2] < t[3] and c[3] > t[2] - 1}
+    a = spark.createDataFrame(cands, "cand_id long, chrom string, st long, en long").repartition(3)
+    b = spark.createDataFrame(targets, "interval_id long, chrom string, st long, en long").repartition(4)
+    got = intervals.overlap_pairs(a, b).collect()
+    assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == pairs
+    counts = {c[0]: sum(p[0] == c[0] for p in pairs) for c in cands}
+    assert {x.cand_id: x.overlaps for x in intervals.overlap_counts(a, b).collect()} == counts
+    assert {x.cand_id for x in intervals.without_overlap(a, b).collect()} == {c for c, n in counts.items() if not n}
+    none = b.limit(0)
+    assert intervals.overlap_pairs(a, none).count() == 0 and intervals.without_overlap(a, none).count() == len(cands)
+
+
+def test_long_intervals_are_few_rows_of_the_index(spark):
+    df = spark.createDataFrame([(1, "c", 5, 240_000_000)], "cand_id long, chrom string, st long, en long")
+    assert intervals._above(intervals._index(df), True).count() <= len(intervals.LEVELS)
+
+
+def test_extraction_across_chunks(spark):
+    r = random.Random(3)
+    seq = "".join(r.choice("ACGT") for _ in range(1000))
+    contigs = spark.createDataFrame([("c", seq, 1000)], "chrom string, seq string, size long")
+    rows = [(i, "c", r.randrange(1, 1100), 0) for i in range(80)]
+    rows = [(i, c, st, st + r.choice([1, 10, 49, 50, 51, 300, 5000])) for i, c, st, _ in rows] + [(200, "c", 1, 1001), (201, "c", 50, 51)]
+    df = spark.createDataFrame(rows, "interval_id long, chrom string, st long, en long")
+    want = {i: seq[st - 1 : en - 1] for i, _, st, en in rows if seq[st - 1 : en - 1]}
+    for overlap in (0, 20):
+        chunks = intervals.chunk_contigs(contigs, 50, overlap)
+        assert {x.interval_id: x.seq for x in intervals.extract_from_chunks(df, chunks, 50, overlap).collect()} == want
+
+
+def test_nth_smallest(spark):
+    r = random.Random(4)
+    rows = [(g, r.choice([5, -(2**62), 2**62, r.randrange(-(10**15), 10**15), r.randrange(3000)])) for g in "ab" for _ in range(500)] + [("a", None), ("c", 7)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    ordered = {g: sorted(v for x, v in rows if x == g and v is not None) for g in "abc"}
+    for n in (1, 2, 250, 500):
+        got = select.nth_smallest(df, "g", "v", {"a": n, "b": 501 - n, "c": 2, "d": 1})
+        assert got == {"a": ordered["a"][n - 1], "b": ordered["b"][500 - n]}
+    assert select.nth_smallest(df, "g", "v", {"c": 1}) == {"c": 7} and select.nth_smallest(df, "g", "v", {}) == {}
+
+
+@pytest.mark.parametrize("bins", [1, 3, 10, 60])
+def test_gc_bins_with_ties(spark, bins):
+    r = random.Random(bins)
+    rows = [(i * 7 % 1009, r.choice(["GGGG", "GATT", "AATT", "AATG", "GCAT", "GCAA"] + ["CATA"] * 9)) for i in range(50)]
+    df = spark.createDataFrame(rows, "interval_id long, seq string").repartition(4)
+    ordered = sorted(rows, key=lambda x: (sum(b in "GC" for b in x[1]) / 4, x[0]))
+    want = {x[0]: i + 1 for i, part in enumerate(np.array_split(np.array(ordered, dtype=object), bins)) for x in part}
+    binned = gc.gc_bins(df, bins)
+    assert {x.interval_id: x.bin for x in binned.collect()} == want
+    plan = binned._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "rangepartitioning" not in plan and "InMemory" not in plan
+
+
 def test_background_keeps_its_promises(spark):
     sf = "/root/testdata/sf0.01"
     targets, contigs = fx.peaks(spark, sf), fx.contigs(spark, sf)
     chosen, report = background.random_background(targets, contigs, seed=2)
-    rows = chosen.select("cand_id", "chrom", "st", "en").persist()
+    rows = cut(chosen.select("cand_id", "chrom", "st", "en"))
     assert intervals.without_overlap(rows, targets).count() == rows.count() > 0
     assert rows.groupBy("cand_id").count().where("count > 1").count() == 0
     found = {x.bin: x[1] for x in chosen.groupBy("bin").count().collect()}
-    # a bin whose GC few places have may stay short after all rounds; the report says so
-    assert all(x.found == found.get(x.bin, 0) <= x.need for x in report.collect())
+    assert all(x.found == found[x.bin] == x.need for x in report.collect())
 
 
-def test_background_fills_every_bin(spark):
+@pytest.mark.parametrize("chunk", [1000, 1 << 16])
+def test_background_draws_from_all_places(spark, chunk):
+    """Every chosen place fits by brute force; where a bin needs more than fit, all are taken in turn; chunks change nothing."""
     r = np.random.default_rng(5)
-    names = [("c1", 90_000), ("c2", 150_000)]  # longer than a chunk
-    seqs = [(c, "".join(r.choice(list("ACGT"), n)), n) for c, n in names]
+    names = [("c1", 9_000), ("c2", 15_000), ("short", 40)]
+    seqs = [(c, "".join(r.choice(list("ACGTN"), n, p=[0.3, 0.2, 0.2, 0.28, 0.02])), n) for c, n in names]
+    of = dict((c, x) for c, x, _ in seqs)
+    contigs = spark.createDataFrame(seqs, "chrom string, seq string, size long")
+    at = r.integers(1, 8_000, 60)
+    rows = [(i, f"c{i % 2 + 1}", int(x), int(x) + 50) for i, x in enumerate(at)] + [(70, "c2", 9_000, 9_050)]
+    targets = spark.createDataFrame(rows, "interval_id long, chrom string, st long, en long")
+    extra = targets.unionByName(spark.createDataFrame([(99, "c1", 9_500, 9_900)], "interval_id long, chrom string, st long, en long"))
+    chosen, report = background.random_background(extra, contigs, ratio=40.0, bins=4, chunk=chunk)
+    got = chosen.collect()
+    assert all(x.need == x.found for x in report.collect()) and sorted(x.cand_id for x in got) == list(range(sum(x.need for x in report.collect())))
+    taken = {c: np.zeros(n + 1000, bool) for c, n in names}
+    for _, c, st, en in rows:
+        taken[c][st - 1 : en] = True
+    assert all(x.en - x.st == 50 and x.seq == of[x.chrom][x.st : x.en + 1] and len(x.seq) == 51 for x in got)
+    assert not any(taken[x.chrom][x.st : x.en].any() for x in got)
+    lengths = [len(of[c][st - 1 : en - 1]) for _, c, st, en in rows]
+    assert set(lengths) == {50}
+    gcs = sorted((round(sum(b in "GC" for b in of[c][st - 1 : en - 1]) / 50, 6), i) for i, c, st, en in rows)
+    tolerance = round((gcs[-1][0] - gcs[0][0]) / 8, 6)
+    for k, part in enumerate(np.array_split(np.array(gcs), 4)):
+        mid = round((sum(round(g * 50) for g, _ in part) + 0.1) / (50 * len(part) + 0.1), 6)
+        fits = {(c, p) for c, n in names for p in range(n - 50) if not taken[c][p : p + 50].any() and of[c][p : p + 51].count("N") <= 25 and abs(round(sum(b in "GC" for b in of[c][p : p + 51]) / 50, 6) - mid) <= tolerance}
+        here = [(x.chrom, x.st) for x in got if x.bin == k + 1]
+        assert set(here) <= fits and len(set(here)) == min(len(here), len(fits))
+        times = Counter(here)
+        assert max(times.values()) - min(times.values()) <= 1
+
+
+def test_background_contigs_are_equally_likely(spark):
+    r = np.random.default_rng(7)
+    seqs = [(c, "".join(r.choice(list("ACGT"), n)), n) for c, n in (("a", 2_000), ("b", 60_000))]
     contigs = spark.createDataFrame(seqs, "chrom string, seq string, size long")
-    at = r.integers(1, 80_000, 203)
-    targets = spark.createDataFrame([(i, f"c{i % 2 + 1}", int(x), int(x) + 200) for i, x in enumerate(at)], "interval_id long, chrom string, st long, en long")
-    chosen, report = background.random_background(targets, contigs, ratio=1.5, bins=4, oversample=3)
-    rows, of = chosen.collect(), dict((c, s) for c, s, _ in seqs)
-    assert sorted(tuple(x) for x in report.collect()) == [(1, 77, 77), (2, 77, 77), (3, 77, 77), (4, 75, 75)]
-    assert len({x.cand_id for x in rows}) == len(rows) == 306
-    assert all(x.en - x.st == 200 and x.seq == of[x.chrom][x.st : x.en + 1] for x in rows)
+    targets = spark.createDataFrame([(i, "b", 100 + 7 * i, 130 + 7 * i) for i in range(40)], "interval_id long, chrom string, st long, en long")
+    chosen, _ = background.random_background(targets, contigs, ratio=10.0, bins=1)
+    by = {x.chrom: x[1] for x in chosen.groupBy("chrom").count().collect()}
+    assert abs(by["a"] - by["b"]) < 0.25 * (by["a"] + by["b"])  # lengths are as 1 to 30
 
 
 def test_background_without_room(spark):
     contigs = spark.createDataFrame([("c", "ACGT" * 30, 120)], "chrom string, seq string, size long")
     schema = "interval_id long, chrom string, st long, en long"
-    chosen, report = background.random_background(spark.createDataFrame([(1, "c", 1, 120)], schema), contigs, rounds=2)
+    chosen, report = background.random_background(spark.createDataFrame([(1, "c", 1, 120)], schema), contigs)
     assert chosen.count() == 0 and [tuple(x) for x in report.collect()] == [(1, 1, 0)]
     chosen, report = background.random_background(spark.createDataFrame([], schema), contigs)
     assert chosen.count() == 0 and report.count() == 0
@@ -248,7 +348,7 @@ def test_readers_and_writers_round_trip(spark, tmp_path):
     assert tuple(readers.read_genome(spark, str(tmp_path / "g")).first()) == ("chr1", "ACGTAC", 6)
     (tmp_path / "s.fa").write_text(">a b c\nAC\nGT\n>d\nTT\n")
     assert [(x.seq_id, x.seq) for x in readers.read_fasta(spark, str(tmp_path / "s.fa")).collect()] == [("a", "ACGT"), ("d", "TT")]
-    motifs = fx.motifs(spark)
+    motifs = fx.motifs(spark, SMALL)
     (tmp_path / "m").mkdir()
     texts = motifs.select("motif_idx", writers.jaspar_text(F.col("matrix_id"), F.regexp_replace("name", " .*", ""), F.col("counts")).alias("t")).collect()
     for x in texts:
