@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators import logistic
 from seqloom.operators.cut import cut
 from seqloom.operators.select import nth_smallest
 
@@ -45,7 +46,7 @@ def standardize(features: DataFrame, by: list[str], column: str = "value") -> Da
 def roc_auc(scores: DataFrame) -> DataFrame:
     """One row `auc` of `(label, score)`: pairs ranked right, ties half; equal scores are grouped first."""
     groups = scores.groupBy("score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    ranked = _running(groups, ["neg"], ascending=True)
+    ranked = _running(groups, ["neg"], [F.col("score").asc()])
     right = F.sum(F.col("pos") * (F.col("_neg") - F.col("neg") / 2))
     return ranked.agg(F.try_divide(right, F.sum("pos") * F.sum("neg")).alias("auc"))
 
@@ -53,16 +54,15 @@ def roc_auc(scores: DataFrame) -> DataFrame:
 def average_precision(scores: DataFrame) -> DataFrame:
     """One row `average_precision`: precision at each distinct threshold, weighted by the recall gained there."""
     groups = scores.groupBy("score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    ranked = _running(groups, ["pos", "n"], ascending=False)
+    ranked = _running(groups, ["pos", "n"], [F.col("score").desc()])
     return ranked.agg(F.try_divide(F.sum(F.col("pos") * F.col("_pos") / F.col("_n")), F.sum("pos")).alias("average_precision"))
 
 
-def _running(groups: DataFrame, columns: list[str], ascending: bool) -> DataFrame:
-    """Adds running sums `_<column>` by score: within ranges in parallel, then offsets of one row per range."""
+def _running(groups: DataFrame, columns: list[str], order: list[Column]) -> DataFrame:
+    """Adds running sums `_<column>` in `order`: within ranges in parallel, then offsets of one row per range."""
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = F.col("score").asc() if ascending else F.col("score").desc()
-    ranged = cut(groups.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
-    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = cut(groups.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = ranged.groupBy("_part").agg(*(F.sum(c).alias(f"_o_{c}") for c in columns))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_part", *(F.coalesce(F.sum(f"_o_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in columns))
@@ -109,49 +109,66 @@ def predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -500, 500)))
 
 
-def fit_l1_distributed(rows: DataFrame, c: float = 1.0) -> tuple[list[float], float]:
-    """The same model by MLlib for tables too large for one task: coefficients and intercept.
+def _packed(rows: DataFrame, trains: Column) -> DataFrame:
+    """What a pass reads: `(label, x, trains array<boolean>)`; rows without features or label take no part."""
+    return rows.where("x IS NOT NULL AND label IS NOT NULL").select(F.col("label").cast("double").alias("label"), "x", trains.alias("trains"))
+
+
+def fit_l1_distributed(rows: DataFrame, c: float = 1.0, tol: float = 1e-9) -> tuple[list[float], float]:
+    """`fit_l1` over partitioned `rows (x array<double>, label)`: coefficients and intercept."""
+    k = rows.select(F.max(F.size("x"))).first()[0] or 0
+    data = _packed(rows, F.array(F.lit(True))).persist()
+    w, _ = logistic.fit(data, np.zeros(1, int), logistic.no_scale(k, 1), c=c, tol=tol)
+    data.unpersist()
+    return [float(v) for v in w[0, :-1]], float(w[0, -1])
 
-    `rows (x array<double>, label)`. A constant 1 is appended as a feature, and the rows of every other
-    key are negated, features and label, which leaves the loss as it is and the feature not constant.
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    flip = F.pmod(F.xxhash64("x"), F.lit(2)) == 1
-    one = F.concat("x", F.array(F.lit(1.0)))
-    data = rows.select(
-        array_to_vector(F.when(flip, F.transform(one, lambda v: -v)).otherwise(one)).alias("features"),
-        F.when(flip, 1 - F.col("label")).otherwise(F.col("label")).cast("double").alias("label"),
-    )
-    model = LogisticRegression(fitIntercept=False, standardization=False, elasticNetParam=1.0, regParam=1 / (rows.count() * c), tol=1e-10, maxIter=500).fit(data)
-    weights = model.coefficients.toArray()
-    del vector_to_array
-    return [float(v) for v in weights[:-1]], float(weights[-1])
+
+def _splits(rows: DataFrame, fraction: float, seed: int, iterations: int) -> Column:
+    """Whether a row trains, for each iteration."""
+    last = split_cuts(rows, fraction, seed, list(range(iterations)))
+    return F.array(*(_split_number("key", seed, i) > last[i] for i in range(iterations)))
 
 
 def train_classifier(rows: DataFrame, names: list[str], *, iterations: int = 5, test_size: float = 0.8, seed: int = 0, scale: bool = False) -> DataFrame:
     """`(iteration, motif, coefficient, roc_auc, precision)`: repeated hold-out of the sparse model.
 
-    `rows (key, label, x array<double>)`. Each iteration is one task over the rows of its split;
-    feature tables that outgrow a task belong to `fit_l1_distributed`. Features are used as they are
-    unless `scale`.
+    `rows (key, label, x array<double>)`, keys distinct. The models of all iterations are fitted together over
+    partitioned rows. Features are used as they are unless `scale`, by the training rows.
     """
-    splits = None
-    for i in range(iterations):
-        part = train_test_split(rows, test_size, seed, i).withColumn("iteration", F.lit(i))
-        splits = part if splits is None else splits.unionByName(part)
+    spark, k = rows.sparkSession, len(names)
+    trains = _splits(rows, test_size, seed, iterations)
+    data = _packed(rows, trains).persist()
+    units = logistic.train_scale(data, k, iterations) if scale else logistic.no_scale(k, iterations)
+    w, _ = logistic.fit(data, np.arange(iterations), units)
+    raw = units.raw(w, np.arange(iterations))
+    # a row per iteration: its score is a sum over features, in their order
+    models = F.array(*(F.struct(F.lit(i).alias("iteration"), F.lit(float(raw[i, -1])).alias("b"), F.array(*(F.lit(float(v)) for v in raw[i, :-1])).alias("a")) for i in range(iterations)))
+    each = data.select("label", "x", F.explode(F.filter(models, lambda m: ~F.element_at("trains", m["iteration"] + 1))).alias("m"))
+    z = F.aggregate(F.zip_with("x", "m.a", lambda x, a: x * a), F.col("m.b"), lambda s, v: s + v)
+    scores = each.select(F.col("m.iteration").alias("iteration"), "label", (1 / (1 + F.exp(-z))).alias("score"))
+    quality = _metrics(scores)
+    weights = spark.createDataFrame([(i, n, float(w[i, j])) for i in range(iterations) for j, n in enumerate(names)], "iteration int, motif string, coefficient double")
+    out = cut(weights.join(F.broadcast(quality), "iteration", "left").select("iteration", "motif", "coefficient", "roc_auc", "precision"))  # a row per iteration
+    data.unpersist()
+    return out
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("key")
-        x, y, test = np.array([*map(list, f["x"])], float), f["label"].to_numpy(), f["is_test"].to_numpy()
-        if scale:
-            x = _scaled(x, x[~test])
-        w = fit_l1(x[~test], y[~test])
-        p = predict(x[test], w)
-        return pd.DataFrame({"iteration": int(f["iteration"].iloc[0]), "motif": names, "coefficient": w[:-1], "roc_auc": auc_of(y[test], p), "precision": precision_of(y[test], p)})
 
-    return splits.groupBy("iteration").applyInPandas(run, "iteration int, motif string, coefficient double, roc_auc double, precision double")
+def _metrics(scores: DataFrame) -> DataFrame:
+    """`(iteration, roc_auc, precision)` of `(iteration, label, score)`, as `roc_auc` and `average_precision` define them; NaN without both labels.
+
+    All iterations are one running sum, from the highest score down; what earlier iterations add is taken off.
+    """
+    groups = scores.groupBy("iteration", "score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    ranked = _running(groups, ["pos", "neg"], [F.col("iteration"), F.col("score").desc()])
+    totals = groups.groupBy("iteration").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    before = Window.orderBy("iteration").rowsBetween(Window.unboundedPreceding, -1)  # a row per iteration
+    totals = totals.select("iteration", "all_pos", "all_neg", *(F.coalesce(F.sum(f"all_{c}").over(before), F.lit(0)).alias(f"off_{c}") for c in ("pos", "neg")))
+    rows = ranked.join(F.broadcast(totals), "iteration").withColumn("tp", F.col("_pos") - F.col("off_pos")).withColumn("fp", F.col("_neg") - F.col("off_neg"))
+    below = F.col("all_neg") - F.col("fp") + F.col("neg") / 2
+    out = rows.groupBy("iteration").agg(
+        F.try_divide(F.sum(F.col("pos") * below), F.first("all_pos") * F.first("all_neg")).alias("roc_auc"), F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.first("all_pos")).alias("precision")
+    )
+    return out.select("iteration", *(F.coalesce(c, F.lit(float("nan"))).alias(c) for c in ("roc_auc", "precision")))
 
 
 def auc_of(y: np.ndarray, p: np.ndarray) -> float:
@@ -169,86 +186,52 @@ def precision_of(y: np.ndarray, p: np.ndarray) -> float:
     return float((np.diff(np.r_[0, hits]) * hits / n).sum() / hits[-1]) if len(hits) and hits[-1] else float("nan")
 
 
-def _scaled(x: np.ndarray, base: np.ndarray) -> np.ndarray:
-    std = base.std(axis=0)
-    return (x - base.mean(axis=0)) / np.where(std > 0, std, 1)
-
-
 def chi2_survival(stat: float) -> float:
     """P(chi-square with one degree > stat); 1 for a negative or undefined statistic."""
     return math.erfc(math.sqrt(stat / 2)) if stat > 0 else 1.0
 
 
 def chi2_survival_column(stat: Column) -> Column:
-    """The same over a column, in Arrow batches."""
+    """The same over a column, in Arrow batches; equal statistics are computed once."""
 
     @F.pandas_udf("double")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(chi2_survival, na_action="ignore")
+        codes, values = pd.factorize(s)  # nulls and NaN get -1
+        return pd.Series(np.array([*map(chi2_survival, values), np.nan])[codes], index=s.index).where(codes >= 0)
 
     return run(stat)
 
 
-def _likelihood(y: np.ndarray, p: np.ndarray) -> float:
-    with np.errstate(divide="ignore"):
-        return float(np.log(np.where(y == 1, p, 1 - p)).sum())
-
-
 def feature_significance(rows: DataFrame, names: list[str], *, iterations: int = 5, test_size: float = 0.2, seed: int = 0) -> DataFrame:
     """`(iteration, motif, statistic, p_value)`: likelihood-ratio test of each feature by leaving it out.
 
-    Fits use standardised training rows; likelihoods use all rows, standardised by all rows. The full
-    fit of an iteration is one task; reduced fits are dealt to tasks by (iteration, feature), start
-    from the full weights, and are skipped where the full weight is 0, as leaving it out changes nothing.
+    Fits use training rows standardised by themselves; likelihoods use all rows, standardised by all rows.
+    The full models of all iterations are fitted first. Then all reduced models, one per feature whose full
+    weight isn't 0, are columns of one weight matrix: each step reads the rows once, whatever the number
+    of features. Leaving out a feature of weight 0 changes nothing.
     """
     k = len(names)
-    splits = None
-    for i in range(iterations):
-        part = train_test_split(rows, test_size, seed, i).withColumn("iteration", F.lit(i))
-        splits = part if splits is None else splits.unionByName(part)
-
-    def prepared(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        f = f.sort_values("key")
-        x, y, test = np.array([*map(list, f["x"])], float), f["label"].to_numpy(), f["is_test"].to_numpy()
-        return _scaled(x[~test], x[~test]), y[~test], _scaled(x, x), y
-
-    def full(f: pd.DataFrame) -> pd.DataFrame:
-        train, ty, everything, y = prepared(f)
-        w = fit_l1(train, ty, tol=1e-6)
-        return pd.DataFrame({"iteration": [int(f["iteration"].iloc[0])], "weights": [w.tolist()], "likelihood": [_likelihood(y, predict(everything, w))]})
-
-    fits = splits.groupBy("iteration").applyInPandas(full, "iteration int, weights array<double>, likelihood double").persist()
-    groups = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    tasks = fits.withColumn("feature", groups).where("weights[feature] <> 0")
-
-    def reduced(key, f: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(f) and len(wanted):
-            train, ty, everything, y = prepared(f)
-            for t in wanted.itertuples():
-                rest = [j for j in range(k) if j != t.feature]
-                w = fit_l1(train[:, rest], ty, tol=1e-6, start=np.array(t.weights)[[*rest, k]])
-                out.append((int(t.iteration), int(t.feature), -2 * (_likelihood(y, predict(everything[:, rest], w)) - t.likelihood)))
-        return pd.DataFrame(out, columns=["iteration", "feature", "statistic"])
-
-    blocks = max(1, min(k, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = splits.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    stats = (
-        dealt.groupBy("iteration", "block")
-        .cogroup(tasks.withColumn("block", F.pmod("feature", F.lit(blocks))).groupBy("iteration", "block"))
-        .applyInPandas(reduced, "iteration int, feature int, statistic double")
-    )
-    named = F.element_at(F.array(*map(F.lit, names)), F.col("feature") + 1)
-    every = fits.withColumn("feature", groups).select("iteration", "feature")
-    return every.join(stats, ["iteration", "feature"], "left").select(
-        "iteration", named.alias("motif"), F.coalesce("statistic", F.lit(0.0)).alias("statistic"), chi2_survival_column(F.coalesce("statistic", F.lit(0.0))).alias("p_value")
-    )
+    data = _packed(rows, _splits(rows, test_size, seed, iterations)).persist()
+    units, whole = logistic.train_scale(data, k, iterations), logistic.train_scale(data, k, iterations, everything=True)
+    full, curvatures = logistic.fit(data, np.arange(iterations), units, tol=1e-7)
+    left_out = [(i, j) for i in range(iterations) for j in range(k) if full[i, j] != 0]
+    statistics = np.zeros((iterations, k))
+    if left_out:
+        split, feature = np.array(left_out).T
+        live = np.ones((len(split), k + 1), bool)
+        live[np.arange(len(split)), feature] = False
+        reduced, _ = logistic.fit(data, split, units, tol=1e-7, start=full[split], live=live, curvatures=curvatures)
+        both = logistic.likelihoods(data, np.vstack([full, reduced]), np.r_[np.arange(iterations), split], whole)
+        statistics[split, feature] = -2 * (both[iterations:] - both[:iterations][split])
+    data.unpersist()
+    out = rows.sparkSession.createDataFrame([(i, names[j], float(statistics[i, j])) for i in range(iterations) for j in range(k)], "iteration int, motif string, statistic double")
+    return out.withColumn("p_value", chi2_survival_column(F.col("statistic")))
 
 
 def variance_inflation(rows: DataFrame, names: list[str], limit: float = 100.0) -> DataFrame:
     """`(motif, vif)`: 1 / (1 - R2) of each feature on the others, from one pass over the rows.
 
-    Exact collinearity, and a constant feature, give `limit`. `rows (x array<double>)`; only sums of
+    Exact collinearity, and a constant feature, give `limit`. All come from one eigendecomposition. `rows (x array<double>)`; only sums of
     features and of their products, k * (k + 3) / 2 numbers, reach the driver.
     """
     k = len(names)
@@ -272,15 +255,11 @@ def variance_inflation(rows: DataFrame, names: list[str], limit: float = 100.0)
     std = np.sqrt(np.maximum(np.diag(cov), 0))
     out = np.full(k, limit)
     live = np.flatnonzero(std > 1e-12)
-    corr = cov[np.ix_(live, live)] / np.outer(std[live], std[live])
-    for a, i in enumerate(live):
-        rest = [b for b in range(len(live)) if b != a]
-        if rest:
-            beta = np.linalg.lstsq(corr[np.ix_(rest, rest)], corr[rest, a], rcond=1e-10)[0]
-            r2 = float(corr[rest, a] @ beta)
-        else:
-            r2 = 0.0
-        out[i] = limit if r2 >= 1 - 1e-10 else 1 / (1 - r2)
+    # one factorization for all features: the diagonal of the inverse, and who takes part in a direction without variance
+    values, vectors = np.linalg.eigh(cov[np.ix_(live, live)] / np.outer(std[live], std[live]))
+    null = values < 1e-10 * max(1, len(live))
+    free = (vectors[:, null] ** 2).sum(axis=1) < 1e-9
+    out[live[free]] = (vectors[free][:, ~null] ** 2 / values[~null]).sum(axis=1)
     return rows.sparkSession.createDataFrame(list(zip(names, map(float, out), strict=True)), "motif string, vif double")
 
 

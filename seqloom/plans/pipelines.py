@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.matrix import log_odds, normalize_columns, pseudocount
 from seqloom.operators.background import random_background
+from seqloom.operators.cut import cut
 from seqloom.operators.intervals import extract_sequences
 from seqloom.operators.learn import feature_significance, train_classifier
 from seqloom.operators.scan import scan_top
@@ -31,7 +32,7 @@ def create_features(positive: DataFrame, negative: DataFrame, motifs: DataFrame,
 
 def _models(features: DataFrame, motifs: DataFrame, significance: bool, iterations: int, test_size: float, seed: int) -> dict[str, DataFrame]:
     names = [r[0] for r in motifs.select("name").orderBy("motif_idx").collect()]
-    features = features.persist()
+    features = cut(features)
     out = {"features": features, "coefficients": train_classifier(features, names, iterations=iterations, test_size=test_size, seed=seed)}
     if significance:
         out["significance"] = feature_significance(features, names, iterations=iterations, seed=seed)

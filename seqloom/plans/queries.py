@@ -374,10 +374,10 @@ def homer_to_jaspar(spark, sf_dir):
     return convert.homer_to_jaspar(jaspar_to_homer(spark, sf_dir))
 
 
-#: A text's numbers are rounded, and normalised again where they are read: plain2 and plain3.
+#: A text's numbers are rounded, and the HOMER writer normalises them again: plain2.
 _MEME = f"""concat('{writers.MEME_HEAD}', chr(10), 'MOTIF ', name, ' ', matrix_id, chr(10), chr(10), 'letter-probability matrix: alength= 4 w= ', width, ' nsites= 20 E= 0',
   (SELECT string_agg(concat(chr(10), line), '' ORDER BY pos)
-  FROM (SELECT pos, string_agg(printf('%.6f', p), chr(9) ORDER BY base) AS line FROM plain2 c WHERE c.motif_idx = m.motif_idx GROUP BY pos)))"""
+  FROM (SELECT pos, string_agg(printf('%.6f', p), chr(9) ORDER BY base) AS line FROM plain c WHERE c.motif_idx = m.motif_idx GROUP BY pos)))"""
 
 
 @query(sql(f"SELECT name AS path, {_MEME} AS value FROM motifs m"))
@@ -385,7 +385,7 @@ def homer_to_meme(spark, sf_dir):
     return convert.homer_to_meme(jaspar_to_homer(spark, sf_dir))
 
 
-@query(sql(f"SELECT name AS path, {_HOMER.replace('FROM plain c', 'FROM plain3 c')} AS value FROM motifs m WHERE name NOT LIKE '% %'"))
+@query(sql(f"SELECT name AS path, {_HOMER.replace('FROM plain c', 'FROM plain2 c')} AS value FROM motifs m WHERE name NOT LIKE '% %'"))
 def meme_to_homer(spark, sf_dir):
     return convert.meme_to_homer(homer_to_meme(spark, sf_dir).where("path NOT LIKE '% %'"), 7.5)
 
@@ -611,9 +611,24 @@ def _names() -> list[str]:
     return [f"f{i}" for i in range(fx.FEATURES)]
 
 
-@query()
+#: The correlations are swept by each feature in turn, which leaves the negative inverse.
+_VIF_SQL = f""", swept AS (
+  WITH RECURSIVE places AS (SELECT unnest(range(1, {fx.FEATURES} + 1)) AS i),
+  pairs AS (SELECT a.i, b.i AS j, corr(x[a.i], x[b.i]) AS r FROM feats, places a, places b GROUP BY a.i, b.i),
+  steps AS (
+    SELECT 0 AS k, list(line ORDER BY i) AS m FROM (SELECT i, list(r ORDER BY j) AS line FROM pairs GROUP BY i)
+    UNION ALL
+    SELECT k + 1, list_transform(m, lambda line, i: list_transform(line, lambda v, j: CASE
+      WHEN i = k + 1 AND j = k + 1 THEN -1 / v
+      WHEN i = k + 1 OR j = k + 1 THEN v / m[k + 1][k + 1]
+      ELSE v - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] END)) FROM steps WHERE k < {fx.FEATURES})
+  SELECT m FROM steps WHERE k = {fx.FEATURES})
+SELECT concat('f', i - 1) AS motif, round(-m[i][i], 6) AS vif FROM swept, (SELECT unnest(range(1, {fx.FEATURES} + 1)) AS i)"""
+
+
+@query(sql("SELECT 1").replace("SELECT 1\n", _VIF_SQL + "\n"))
 def vif_all(spark, sf_dir):
-    return learn.variance_inflation(fx.features(spark, sf_dir), _names())
+    return learn.variance_inflation(fx.features(spark, sf_dir), _names()).withColumn("vif", F.round("vif", 6))
 
 
 @query()

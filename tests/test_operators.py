@@ -14,7 +14,7 @@ from seqloom.operators import align, background, cluster, gc, intervals, learn,
 from seqloom.operators.cut import cut
 from seqloom.plans import fixtures as fx
 from seqloom.plans.pipelines import with_pssm
-from seqloom.sources import readers, writers
+from seqloom.sources import fasta_source, readers, writers
 from seqloom.streaming.scan import stream_matches
 
 
@@ -301,7 +301,99 @@ def test_distributed_model_equals_the_local_one(spark):
     data = rows.orderBy("key").collect()
     w = learn.fit_l1(np.array([x.x for x in data]), np.array([x.label for x in data]), tol=1e-10, rounds=20_000)
     coefficients, intercept = learn.fit_l1_distributed(rows)
-    assert np.array([*coefficients, intercept]) == pytest.approx(w, abs=1e-3)
+    assert np.array([*coefficients, intercept]) == pytest.approx(w, abs=1e-6)
+
+
+def _toy(spark, n=240, k=5, seed=11):
+    """A table with a constant feature, a null row and two that are alike."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, k)) * [1, 3, 0.2, 1, 10] + [0, 5, 0, 0, -3]
+    x[:, 3] = 2.0
+    y = (x[:, 0] + 0.3 * x[:, 1] - 1.5 + r.logistic(size=n) > 0).astype(int)
+    rows = [(i, int(b), list(map(float, a))) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    return x, y, spark.createDataFrame([*rows, (n, 1, None)], "key long, label int, x array<double>").repartition(3)
+
+
+def _trained(df, fraction, seed, i):
+    last = learn.split_cuts(df, fraction, seed, [i])[i]
+    rows = df.where("x IS NOT NULL").select("key", (learn._split_number("key", seed, i) > last).alias("t")).collect()
+    return np.array([t for _, t in sorted(map(tuple, rows))])
+
+
+@pytest.mark.parametrize("scale", [False, True])
+def test_hold_out_equals_plain_fits(spark, scale):
+    x, y, df = _toy(spark)
+    got = {(r.iteration, r.motif): r for r in learn.train_classifier(df, list("abcde"), iterations=3, test_size=0.4, seed=7, scale=scale).collect()}
+    assert len(got) == 15
+    for i in range(3):
+        t = _trained(df, 0.4, 7, i)
+        assert (~t).sum() in (96, 97)  # the row without features may be one of the 97 tested
+        unit = np.where(x[t].std(axis=0) > 1e-9, x[t].std(axis=0), 1)
+        z = (x - x[t].mean(axis=0)) / unit if scale else x
+        w = learn.fit_l1(z[t], y[t], tol=1e-12, rounds=200_000)
+        p = learn.predict(z[~t], w)
+        for j, name in enumerate("abcde"):
+            r = got[i, name]
+            assert r.coefficient == pytest.approx(w[j], abs=1e-6)
+            assert (r.roc_auc, r.precision) == pytest.approx((learn.auc_of(y[~t], p), learn.precision_of(y[~t], p)), abs=1e-9)
+
+
+def test_leave_one_out_equals_plain_fits(spark):
+    x, y, df = _toy(spark, seed=12)
+    got = {(r.iteration, r.motif): r for r in learn.feature_significance(df, list("abcde"), iterations=2, seed=3).collect()}
+    for i in range(2):
+        t = _trained(df, 0.2, 3, i)
+        scaled = lambda base: (x - base.mean(axis=0)) / np.where(base.std(axis=0) > 1e-9, base.std(axis=0), 1)
+        z, all_z = scaled(x[t]), scaled(x)
+        likelihood = lambda w, a: float(np.log(np.where(y == 1, learn.predict(a, w), 1 - learn.predict(a, w))).sum())
+        full = learn.fit_l1(z[t], y[t], tol=1e-12, rounds=200_000)
+        for j, name in enumerate("abcde"):
+            rest = [c for c in range(5) if c != j]
+            w = learn.fit_l1(z[t][:, rest], y[t], tol=1e-12, rounds=200_000)
+            want = -2 * (likelihood(w, all_z[:, rest]) - likelihood(full, all_z)) if full[j] else 0.0
+            assert got[i, name].statistic == pytest.approx(want, abs=1e-4)
+            assert got[i, name].p_value == pytest.approx(learn.chi2_survival(got[i, name].statistic), abs=1e-12)
+
+
+def test_collinearity_equals_plain_regressions(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(300, 6)) @ r.normal(size=(6, 6)) + 4
+    got = {v.motif: v.vif for v in learn.variance_inflation(spark.createDataFrame([(list(map(float, a)),) for a in x], "x array<double>").repartition(3), list("abcdef"), limit=1e9).collect()}
+    for j, name in enumerate("abcdef"):
+        rest = np.column_stack([np.delete(x, j, axis=1), np.ones(300)])
+        error = x[:, j] - rest @ np.linalg.lstsq(rest, x[:, j], rcond=None)[0]
+        assert got[name] == pytest.approx(x[:, j].var() / error.var(), rel=1e-6)
+
+
+@pytest.mark.parametrize("range_bytes", [1, 2, 3, 7, 20, 64, 10**6])
+def test_fasta_by_byte_ranges(spark, tmp_path, range_bytes):
+    """Headers and lines cut at any byte, records without letters, text before a header, no last newline."""
+    texts = {"a.fa": ">one two > three\nACGT\nAC\n\nGT\n>empty\n>last é\n" + "ACGTT\n" * 9 + "GG", "b.fa": ">x\r\nAC GT\r\n>y\r\n", "c.fa": ""}
+    if range_bytes >= 7:
+        texts["d.fa"] = "stray\n>z\nTT\n"
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    want = []
+    for name, text in texts.items():
+        for i, record in enumerate(text.replace("\r", "").split("\n>" if not text.startswith(">") else ">")[1:] if name != "a.fa" else ["one two > three\nACGT\nAC\n\nGT\n", "empty\n", "last é\n" + "ACGTT\n" * 9 + "GG"]):
+            head, _, body = record.partition("\n")
+            want.append((name, i + 1, head.split()[0], "".join(body.split())))
+    got = fasta_source.read_records(spark, str(tmp_path), range_bytes)
+    assert sorted((x.file.rsplit("/", 1)[-1], x.record_no, x.seq_id, x.seq) for x in got.collect()) == sorted(want)
+    if range_bytes == 7:
+        tasks = fasta_source.read_stretches(spark, f"file://{tmp_path}/a.fa", 7).select("range_no").distinct().count()
+        assert tasks > 5
+
+
+@pytest.mark.parametrize(("range_bytes", "size", "overlap"), [(5, 4, 0), (17, 10, 6), (64, 7, 30), (10**6, 50, 10)])
+def test_genome_chunks_equal_the_whole_file_reader(spark, tmp_path, range_bytes, size, overlap):
+    r = random.Random(size)
+    for name, n in (("chr1", 203), ("chr2", 40), ("chr3", 1)):
+        seq = "".join(r.choice("acgtN") for _ in range(n))
+        (tmp_path / f"{name}.fa").write_text(f">{name} some words\n" + "\n".join(seq[i : i + 9] for i in range(0, n, 9)) + "\n")
+    want = intervals.chunk_contigs(readers.read_genome(spark, str(tmp_path)), size, overlap).collect()
+    got = fasta_source.read_genome_chunks(spark, str(tmp_path), size, overlap, range_bytes).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
 def test_planted_feature_is_found(spark):
