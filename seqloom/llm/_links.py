@@ -4,7 +4,8 @@
 least of its heads; one pair of any two components that are left; the other pairs of different components.
 A bucket whose members are all in one component is settled, since further pairs would change no class. Of
 the other buckets every pair of members in different components is verified, except those that `plausible`
-or their lengths rule out, so classes are those of an exhaustive comparison of each bucket.
+or their lengths rule out, so classes are those of an exhaustive comparison of each bucket. Pairs are made only
+between members outside a bucket's largest component and its other members.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def classes(
     open_buckets = table(star.join(heads.where("p <> q"), ["a", "b"], "left_semi").select("bucket").distinct(), f"{name}-open")
     here = star.join(open_buckets, "bucket", "left_semi").join(heads, ["a", "b"]).select("bucket", F.col("b").alias("id"), F.col("q").alias("component"), *(["info"] if carried else []))
     here = table(here if carried else here.join(info, "id"), f"{name}-here")
-    return merged(found, verify(_rest(here, similarity, plausible)))
+    return merged(found, verify(_rest(here, similarity, may_link)))
 
 
 def _one_each(pairs: DataFrame) -> DataFrame:
@@ -95,19 +96,22 @@ def _one_each(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.min(F.struct("a", "b")).alias("x")).select("x.a", "x.b")
 
 
-def _rest(here: DataFrame, similarity: float, plausible: Callable[[Column, Column], Column]) -> DataFrame:
+def _rest(here: DataFrame, similarity: float, may_link: Callable[[Column, Column], Column]) -> DataFrame:
     """All pairs `(a, b)` of `here (bucket, id, component, info)` in a bucket but not in a component that may be linked.
 
-    Lengths fall into ranges by powers of a ratio a little below `similarity`, so those of linked members
-    lie in one range or in adjacent ones, and a bucket is dealt out by them.
+    Of two members in different components one at least is outside the bucket's largest component, so those
+    outside are joined with all, and a large group of copies isn't paired with itself. Lengths fall into ranges by
+    powers of a ratio a little below `similarity`, so those of linked members lie in one range or in adjacent ones.
     """
     ratio = -math.log(similarity - 0.01) if similarity > 0.02 else math.inf
     at = F.floor(F.log(F.greatest(F.col("info.n"), F.lit(1)).cast("double")) / F.lit(ratio))
-    short = here.select("bucket", at.alias("range"), F.col("id").alias("x"), F.col("component").alias("p"), F.col("info").alias("i"))
-    long = here.select("bucket", F.explode(F.array(at, at - 1)).alias("range"), F.col("id").alias("y"), F.col("component").alias("q"), F.col("info").alias("j"))
-    before = (F.col("i.n") < F.col("j.n")) | (F.col("i.n") == F.col("j.n")) & (F.col("x") < F.col("y"))
-    may = before & (F.col("p") != F.col("q")) & plausible(F.col("i"), F.col("j"))
-    return short.join(long, ["bucket", "range"]).where(may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sizes = here.groupBy("bucket", "component").count()
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("x")).select("bucket", F.col("x.component").alias("main"))
+    outside = here.join(main, "bucket").where("component <> main")
+    ends = outside.select("bucket", F.explode(F.array(at - 1, at, at + 1)).alias("range"), F.col("id").alias("x"), F.col("component").alias("p"), F.col("info").alias("i"))
+    every = here.select("bucket", at.alias("range"), F.col("id").alias("y"), F.col("component").alias("q"), F.col("info").alias("j"))
+    pairs = ends.join(every, ["bucket", "range"]).where((F.col("p") != F.col("q")) & may_link(F.col("i"), F.col("j")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
