@@ -143,7 +143,7 @@ metadata AS (SELECT name, concat('GENE_', n % 4) AS gene, CASE n % 3 WHEN 0 THEN
 pc AS (SELECT motif_idx, floor(0.25 * sqrt(sum(value) / (max(pos) + 1))) AS pc FROM cells GROUP BY motif_idx),
 pwm AS (SELECT motif_idx, pos, base, (value + pc) / sum(value + pc) OVER (PARTITION BY motif_idx, pos) AS p FROM cells JOIN pc USING (motif_idx)),
 plain AS (SELECT motif_idx, pos, base, value / sum(value) OVER (PARTITION BY motif_idx, pos) AS p FROM cells),
-plain2 AS (SELECT motif_idx, pos, base, round(p, 6) / sum(round(p, 6)) OVER (PARTITION BY motif_idx, pos) AS p FROM plain),
+plain2 AS (SELECT motif_idx, pos, base, p / sum(p) OVER (PARTITION BY motif_idx, pos) AS p FROM (SELECT motif_idx, pos, base, CAST(printf('%.6f', p) AS DOUBLE) AS p FROM plain)),
 pssm AS (SELECT motif_idx, pos, base, CASE WHEN p <= 0 THEN CAST('-inf' AS DOUBLE) ELSE log2(p / 0.25) END AS s FROM pwm),
 feats AS (SELECT vec_id AS key, label % 2 AS label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
 scores AS (SELECT label, round(1 / (1 + exp(-(x[1] * 3.0 + x[2] * -2.0 + x[3] * 1.5 + x[4] * 4.0))), 2) AS score FROM feats)

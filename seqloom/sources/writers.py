@@ -59,12 +59,12 @@ def jaspar_counts_text(matrix_id: Column, name: Column, pwm: Column) -> Column:
 
 def homer_text(matrix_id: Column, name: Column, counts: Column, threshold: float) -> Column:
     """A tabbed header with the threshold, and a normalised row per position."""
-    rows = F.transform(normalize_columns(counts), lambda col: F.array_join(F.transform(col, lambda x: F.format_string("%.6f", x)), "\t"))
+    rows = F.transform(normalize_columns(counts), lambda col: F.array_join(F.transform(col, lambda x: F.format_string("%.6f", F.bround(x, 6))), "\t"))
     return F.concat(F.concat_ws("\t", F.concat(F.lit(">"), matrix_id), name, F.lit(str(threshold))), F.lit("\n"), F.array_join(rows, "\n"))
 
 
 def meme_text(matrix_id: Column, name: Column, pwm: Column) -> Column:
-    rows = F.transform(pwm, lambda col: F.array_join(F.transform(col, lambda x: F.format_string("%.6f", x)), "\t"))
+    rows = F.transform(pwm, lambda col: F.array_join(F.transform(col, lambda x: F.format_string("%.6f", F.bround(x, 6))), "\t"))
     head = F.format_string("letter-probability matrix: alength= 4 w= %d nsites= 20 E= 0", F.size(pwm))
     return F.concat(F.lit(MEME_HEAD + "\nMOTIF "), name, F.lit(" "), matrix_id, F.lit("\n\n"), head, F.lit("\n"), F.array_join(rows, "\n"))
 
