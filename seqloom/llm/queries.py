@@ -44,6 +44,22 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_log(rows.unionByName(more)))
 
 
+#: Order of a conversation's rows, and how much longer escaping makes a string: one for a backslash and for a control string.
+_TURNS = "turn NULLS FIRST, role, text"
+_OP4_SQL = rf"""
+WITH rows AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+sized AS (SELECT *, list_sum(list_transform([role, text], lambda x: length(x) + len(regexp_extract_all(x, '\\|</?turn>')))) AS chars,
+  length(role) - length(replace(role, chr(10), '')) AS newlines FROM rows)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY {_TURNS})) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY {_TURNS}) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars + newlines + {len(chat.OPEN) + len(chat.CLOSE) + 2}) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category probabilities and flags of every document."""
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
@@ -64,6 +80,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+_OP7_SQL = """
+WITH payloads AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM payloads)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, nullif(first, page_id) AS refers_to FROM firsts
+"""
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base features and verdict of every document."""
     found = quality.quality_verdicts(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -292,6 +315,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_chat_format": _OP4_SQL,
+    "op7_warc": _OP7_SQL,
     "op8_quality": _op8_sql(),
     "op10_url_filter": _OP10_SQL,
     "op11_importance": _op11_sql(),
