@@ -1,7 +1,9 @@
-"""Motif clusters: complete linkage, cuts, consensus motifs and their names.
+"""Motif clusters: complete linkage, cuts, clades, consensus motifs and their names.
 
-The linkage runs on the driver over a library's condensed dissimilarities, a few million numbers at
-most; `MAX_MOTIFS` is checked.
+The linkage merges all pairs of reciprocal nearest neighbours at once, round by round, until few are left. Of two pairs the one with the
+lower height goes first, then that of the least first members. A cluster is named by its least member while it grows, and
+merging only raises heights, so a pair of reciprocal neighbours stays one until it is merged: the tree is that of
+merging one least pair at a time. Pairs that aren't given are infinitely far apart, so a cut needs the pairs up to its height only.
 """
 
 from __future__ import annotations
@@ -13,8 +15,12 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import safe_name
 from seqloom.operators.align import merge
+from seqloom.operators.cut import cut as checkpointed
+from seqloom.operators.gc import global_rank
 
-MAX_MOTIFS = 3000
+
+#: Most edges that are merged in memory, some 600 motifs of which all pairs are left; a round over more is a Spark job.
+LOCAL_EDGES = 200_000
 
 
 def dissimilarity(r: Column) -> Column:
@@ -24,63 +30,156 @@ def dissimilarity(r: Column) -> Column:
 
 
 def complete_linkage(n: int, pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, float, int]]:
-    """Merges `(a, b, height, size)`; motifs are 0 to n - 1, the k-th merge makes cluster n + k. Least indices go first on ties."""
-    d = np.full((n, n), np.inf)
-    for i, j, x in pairs:
-        d[i, j] = d[j, i] = x
-    name, size, out = list(range(n)), [1] * n, []
-    alive = np.ones(n, bool)
-    for step in range(n - 1):
-        masked = np.where(alive[:, None] & alive[None, :], d, np.inf)
-        np.fill_diagonal(masked, np.inf)
-        i, j = np.unravel_index(int(masked.argmin()), masked.shape)
-        i, j = int(min(i, j)), int(max(i, j))
-        out.append((min(name[i], name[j]), max(name[i], name[j]), float(masked[i, j]), size[i] + size[j]))
+    """The tree from pairs in memory, in the order of the merges: `(a, b, height, size)`, the k-th merge makes cluster n + k."""
+    name, out = list(range(n)), []
+    for step, (i, j, height, size) in enumerate(_least_first([(i, j, d, 1, 1) for i, j, d in pairs])):
+        out.append((min(name[i], name[j]), max(name[i], name[j]), height, size))
+        name[i] = n + step
+    return out
+
+
+def _least_first(edges: list[tuple[int, int, float, int, int]]) -> list[tuple[int, int, float, int]]:
+    """`(lo, hi, height, size)` of edges `(i, j, d, n_i, n_j)` in memory, one least pair at a time."""
+    size = {i: n for e in edges for i, n in ((e[0], e[3]), (e[1], e[4]))}
+    ids = sorted(size)
+    place = {x: k for k, x in enumerate(ids)}
+    d = np.full((len(ids), len(ids)), np.inf)
+    for i, j, x, *_ in edges:
+        d[place[i], place[j]] = d[place[j], place[i]] = x
+    out = []
+    while len(ids) and np.isfinite(d.min()):
+        i, j = sorted(map(int, np.unravel_index(int(d.argmin()), d.shape)))
+        height, size[ids[i]] = float(d[i, j]), size[ids[i]] + size[ids[j]]
+        out.append((ids[i], ids[j], height, size[ids[i]]))
         d[i, :] = d[:, i] = np.maximum(d[i, :], d[j, :])
-        alive[j] = False
-        name[i], size[i] = n + step, size[i] + size[j]
+        d[j, :] = d[:, j] = d[i, i] = np.inf
     return out
 
 
-def _linked(pairs: DataFrame, motifs: DataFrame) -> tuple[list[int], list[tuple[int, int, float, int]]]:
-    ids = [r[0] for r in motifs.select("motif_idx").orderBy("motif_idx").limit(MAX_MOTIFS + 1).collect()]
-    if len(ids) > MAX_MOTIFS:
-        raise ValueError(f"more than {MAX_MOTIFS} motifs")
-    place = {m: k for k, m in enumerate(ids)}
-    rows = pairs.select("i", "j", F.round(dissimilarity(F.col("r")), 9).alias("d")).collect()  # n (n - 1) / 2 rows
-    return ids, complete_linkage(len(ids), [(place[r.i], place[r.j], r.d) for r in rows])
+def _heights(pairs: DataFrame) -> DataFrame:
+    """Clusters of one motif each: `(i, j, d, n_i, n_j)`, i < j; of repeated pairs the farthest counts."""
+    ends = pairs.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.round(dissimilarity(F.col("r")), 9).alias("d"))
+    return ends.groupBy("i", "j").agg(F.max("d").alias("d")).select("i", "j", "d", F.lit(1).cast("long").alias("n_i"), F.lit(1).cast("long").alias("n_j"))
+
+
+def merges(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """`(lo, hi, height, size, round)` of the complete linkage over `edges (i, j, d, n_i, n_j)`.
+
+    lo and hi are the least members of the two clusters, lo < hi; the new cluster is lo. A round takes every pair
+    that is the nearest of both its ends, so at least the least pair of all; once no more than `local` edges are left,
+    they are merged in memory, to the same tree. Clusters without a common edge are never merged.
+    """
+    spark, kind = edges.sparkSession, edges.schema["i"].dataType.simpleString()
+    done, number = None, 0
+    while True:
+        rest = edges.select("i", "j", "d", "n_i", "n_j").limit(local + 1).collect()  # bounded
+        if len(rest) <= local:
+            last = [(*m, number + k) for k, m in enumerate(_least_first([tuple(x) for x in rest]))]
+            last = spark.createDataFrame(last, f"lo {kind}, hi {kind}, height double, size long, round int")
+            return last if done is None else done.unionByName(last)
+        key = F.struct("d", "i", "j").alias("key")
+        nearest = edges.select(F.explode(F.array("i", "j")).alias("end"), key).groupBy("end").agg(F.min("key").alias("key"))
+        mutual = nearest.groupBy("key").count().where("count = 2").select("key.i", "key.j", F.lit(True).alias("now"))
+        marked = checkpointed(edges.join(mutual, ["i", "j"], "left"))
+        now = marked.where("now").select(F.col("i").alias("lo"), F.col("j").alias("hi"), F.col("d").alias("height"), (F.col("n_i") + F.col("n_j")).alias("size"), F.lit(number).alias("round"))
+        done = now if done is None else done.unionByName(now)
+        edges, number = _contracted(marked.drop("now"), now), number + 1
+
+
+def _contracted(edges: DataFrame, now: DataFrame) -> DataFrame:
+    """The edges between the clusters after the merges `now`; two clusters keep one only if all pairs of their parts had one."""
+    to = now.select(F.explode(F.array("lo", "hi")).alias("old"), F.col("lo").alias("new"), "size")
+    for end, n in (("i", "n_i"), ("j", "n_j")):
+        place = to.select(F.col("old").alias(end), F.col("new").alias(f"{end}_new"), F.col("size").alias(f"{n}_new"))
+        edges = edges.join(place, end, "left").withColumn(f"parts_{end}", F.when(F.col(f"{end}_new").isNull(), 1).otherwise(2))
+        edges = edges.withColumn(end, F.coalesce(f"{end}_new", end)).withColumn(n, F.coalesce(f"{n}_new", n)).drop(f"{end}_new", f"{n}_new")
+    first = F.col("i") < F.col("j")
+    both = edges.where("i <> j").select(
+        F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "d",
+        F.when(first, F.col("n_i")).otherwise(F.col("n_j")).alias("n_i"), F.when(first, F.col("n_j")).otherwise(F.col("n_i")).alias("n_j"),
+        (F.col("parts_i") * F.col("parts_j")).alias("parts"),
+    )
+    found = both.groupBy("i", "j").agg(F.max("d").alias("d"), F.max("n_i").alias("n_i"), F.max("n_j").alias("n_j"), F.max("parts").alias("parts"), F.count("*").alias("edges"))
+    return found.where("edges = parts").drop("parts", "edges")
 
 
 def linkage(pairs: DataFrame, motifs: DataFrame) -> DataFrame:
-    """`(step, a, b, height, size)` over motif positions in index order."""
-    _, merges = _linked(pairs, motifs)
-    return pairs.sparkSession.createDataFrame([(k, *m) for k, m in enumerate(merges)], "step int, a int, b int, height double, size int")
+    """`(step, a, b, height, size)`: motifs are 0 to n - 1 in index order, step k makes cluster n + k of clusters a < b.
+
+    Steps go by height, then size, then least members. No pairs, no rows.
+    """
+    n = motifs.count()
+    steps = global_rank(merges(_heights(pairs)), ["height", "size", "lo", "hi"], "step").withColumn("step", (F.col("step") - 1).cast("int"))
+    place = global_rank(motifs.select("motif_idx"), ["motif_idx"], "place").select(F.col("motif_idx").alias("cluster"), (F.col("place") - 1).cast("int").alias("place"))
+    # what a cluster was before a merge: the merge that made it, as the last one under its name, or a motif
+    uses = steps.select("step", "round", F.explode(F.array("lo", "hi")).alias("cluster"), F.col("lo").alias("made"))
+    uses = uses.withColumn("before", F.lag("step").over(Window.partitionBy("cluster").orderBy("round"))).join(place, "cluster")
+    names = uses.select("step", F.coalesce(F.col("before") + n, "place").alias("name")).groupBy("step").agg(F.min("name").alias("a"), F.max("name").alias("b"))
+    return steps.join(names, "step").select("step", "a", "b", "height", F.col("size").cast("int").alias("size"))
 
 
 def leaf_order(n: int, merges: list[tuple[int, int, float, int]]) -> list[int]:
-    """Leaves of the tree from left to right."""
+    """Leaves of a tree in memory from left to right."""
     members = {i: [i] for i in range(n)}
     for k, (a, b, *_) in enumerate(merges):
         members[n + k] = members.pop(a) + members.pop(b)
     return [x for m in members.values() for x in m]
 
 
+def leaf_places(tree: DataFrame, n: int) -> DataFrame:
+    """`(place, motif)` of the leaves of a `linkage` tree of n motifs from left to right, a cluster's part a before its part b.
+
+    A leaf's place is the sum of the sizes left of it on its way to the root; ways are halved with each round. Where
+    the linkage left several trees, they follow one another by the numbers of their roots.
+    """
+    spark = tree.sparkSession
+    made = tree.select((F.col("step") + n).alias("node"), "a", "b", F.col("size").cast("long").alias("size"))
+    sizes = made.select("node", "size").unionByName(spark.range(n).select(F.col("id").cast("int").alias("node"), F.lit(1).cast("long").alias("size")))
+    left = made.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("left")), "a")
+    up = left.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).cast("long").alias("shift")), F.struct(F.col("b").alias("node"), F.col("left").alias("shift")))).alias("x"), F.col("node").alias("parent"))
+    ways = checkpointed(sizes.select("node").join(up.select("x.node", "x.shift", "parent"), "node", "left").select("node", F.coalesce("parent", "node").alias("parent"), F.coalesce("shift", F.lit(0)).alias("shift")))
+    while True:
+        above = ways.select(F.col("node").alias("parent"), F.col("parent").alias("next"), F.col("shift").alias("more"))
+        longer = checkpointed(ways.join(above, "parent").select("node", F.col("next").alias("parent"), (F.col("shift") + F.when(F.col("parent") == F.col("node"), 0).otherwise(F.col("more"))).alias("shift"), (F.col("next") != F.col("parent")).alias("moved")))
+        ways = longer.drop("moved")
+        if longer.where("moved").isEmpty():
+            break
+    return global_rank(ways.where(F.col("node") < n), ["parent", "shift"], "place").select((F.col("place") - 1).cast("int").alias("place"), F.col("node").cast("int").alias("motif"))
+
+
+def _labelled(motifs: DataFrame, found: DataFrame) -> DataFrame:
+    """`(motif_idx, head)`: the least member of each motif's cluster after the merges `found`."""
+    heads = checkpointed(motifs.select("motif_idx").join(found.select(F.col("hi").alias("motif_idx"), F.col("lo").alias("to")), "motif_idx", "left").select("motif_idx", F.coalesce("to", "motif_idx").alias("head")))
+    while True:  # a motif's way to its head is halved with each round
+        next_ = heads.select(F.col("motif_idx").alias("head"), F.col("head").alias("to"))
+        longer = checkpointed(heads.join(next_, "head").select("motif_idx", F.col("to").alias("head"), (F.col("to") != F.col("head")).alias("moved")))
+        heads = longer.drop("moved")
+        if longer.where("moved").isEmpty():
+            return heads
+
+
 def cut(pairs: DataFrame, motifs: DataFrame, threshold: float) -> DataFrame:
-    """`(motif_idx, cluster_id)`: merges up to the height 1 - threshold hold; clusters count from 0 by least member."""
-    ids, merges = _linked(pairs, motifs)
-    root = list(range(2 * len(ids)))
-    for k, (a, b, height, _) in enumerate(merges):
-        if height <= 1 - threshold + 1e-12:
-            root[a] = root[b] = len(ids) + k
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    number: dict[int, int] = {}
-    rows = [(m, number.setdefault(find(k), len(number))) for k, m in enumerate(ids)]
-    return pairs.sparkSession.createDataFrame(rows, "motif_idx int, cluster_id int")
+    """`(motif_idx, cluster_id)`: merges up to the height 1 - threshold hold; clusters count from 0 by least member.
+
+    Only pairs up to that height are read, since no higher one can be part of a merge.
+    """
+    heads = _labelled(motifs, merges(_heights(pairs).where(F.col("d") <= 1 - threshold + 1e-12)))
+    number = global_rank(heads.where("motif_idx = head").select("head"), ["head"], "number")
+    return heads.join(number, "head").select("motif_idx", (F.col("number") - 1).cast("int").alias("cluster_id"))
+
+
+def clades(pairs: DataFrame, motifs: DataFrame, height: float) -> DataFrame:
+    """`(motif_idx, place, clade)`: motifs as a dendrogram has them from left to right, and those under one branch below `height`.
+
+    Clades count from 1 by their first place; a motif that no merge below `height` takes has none.
+    """
+    n = motifs.count()
+    index = global_rank(motifs.select("motif_idx"), ["motif_idx"], "motif").withColumn("motif", (F.col("motif") - 1).cast("int"))
+    places = leaf_places(linkage(pairs, motifs), n).join(index, "motif").select("motif_idx", "place")
+    heads = _labelled(motifs, merges(_heights(pairs).where(F.col("d") < height))).join(places, "motif_idx")
+    several = heads.groupBy("head").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    number = global_rank(several.select("head", "first"), ["first"], "clade").select("head", F.col("clade").cast("int").alias("clade"))
+    return heads.join(number, "head", "left").select("motif_idx", "place", "clade")
 
 
 def members(clusters: DataFrame, least: int = 2) -> DataFrame:

@@ -228,13 +228,8 @@ def feature_significance(rows: DataFrame, names: list[str], *, iterations: int =
     return out.withColumn("p_value", chi2_survival_column(F.col("statistic")))
 
 
-def variance_inflation(rows: DataFrame, names: list[str], limit: float = 100.0) -> DataFrame:
-    """`(motif, vif)`: 1 / (1 - R2) of each feature on the others, from one pass over the rows.
-
-    Exact collinearity, and a constant feature, give `limit`. All come from one eigendecomposition. `rows (x array<double>)`; only sums of
-    features and of their products, k * (k + 3) / 2 numbers, reach the driver.
-    """
-    k = len(names)
+def _second_moments(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Covariances (k x k) and deviations of `rows (x array<double>)`; only sums of features and of their products, k * (k + 3) / 2 numbers, reach the driver."""
     cells = [(i, j) for i in range(k) for j in range(i, k)]
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,7 +247,24 @@ def variance_inflation(rows: DataFrame, names: list[str], limit: float = 100.0)
     for (i, j), v in zip(cells, values[k + 1 :], strict=True):
         q[i, j] = q[j, i] = v
     cov = q / n - np.outer(s / n, s / n)
-    std = np.sqrt(np.maximum(np.diag(cov), 0))
+    return cov, np.sqrt(np.maximum(np.diag(cov), 0))
+
+
+def feature_correlation(rows: DataFrame, k: int) -> DataFrame:
+    """`(i, j, r)` of every two of the k features, i < j, to six decimals, from one pass over the rows; null where one is constant. Rows without features take no part."""
+    cov, std = _second_moments(rows, k)
+    r = [(i, j, float(round(cov[i, j] / (std[i] * std[j]), 6)) if min(std[i], std[j]) > 1e-12 else None) for i in range(k) for j in range(i + 1, k)]
+    return rows.sparkSession.createDataFrame(r, "i int, j int, r double")
+
+
+def variance_inflation(rows: DataFrame, names: list[str], limit: float = 100.0) -> DataFrame:
+    """`(motif, vif)`: 1 / (1 - R2) of each feature on the others, from one pass over the rows.
+
+    Exact collinearity, and a constant feature, give `limit`. All come from one eigendecomposition. `rows (x array<double>)`; only sums of
+    features and of their products, k * (k + 3) / 2 numbers, reach the driver.
+    """
+    k = len(names)
+    cov, std = _second_moments(rows, k)
     out = np.full(k, limit)
     live = np.flatnonzero(std > 1e-12)
     # one factorization for all features: the diagonal of the inverse, and who takes part in a direction without variance

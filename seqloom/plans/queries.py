@@ -461,23 +461,92 @@ def heat_percent(spark, sf_dir):
     return align.heat_percent(align.symmetric(_sim(spark, sf_dir), _motifs(spark, sf_dir)))
 
 
-@query()
+#: Complete linkage in SQL, one least pair at a time, over `edges (i, j, d)` between `leaves (idx)`: `tree` as `linkage` has it.
+_LINKAGE = """state(k, i, j, d, n_i, n_j) AS (
+  SELECT 0, i, j, d, 1, 1 FROM edges
+  UNION ALL
+  SELECT k + 1, least(x, y), greatest(x, y), max(d), max(CASE WHEN x < y THEN n_x ELSE n_y END), max(CASE WHEN x < y THEN n_y ELSE n_x END)
+  FROM (SELECT k, d, CASE WHEN i = hi THEN lo ELSE i END AS x, CASE WHEN j = hi THEN lo ELSE j END AS y,
+               CASE WHEN i IN (lo, hi) THEN size ELSE n_i END AS n_x, CASE WHEN j IN (lo, hi) THEN size ELSE n_j END AS n_y
+        FROM state, (SELECT p.i AS lo, p.j AS hi, p.n_i + p.n_j AS size FROM (SELECT arg_min({'i': i, 'j': j, 'n_i': n_i, 'n_j': n_j}, {'d': d, 'i': i, 'j': j}) AS p FROM state)))
+  WHERE x <> y GROUP BY k, least(x, y), greatest(x, y)),
+merged AS (SELECT k, p.i AS lo, p.j AS hi, p.d AS height, p.n AS size FROM (SELECT k, arg_min({'i': i, 'j': j, 'd': d, 'n': n_i + n_j}, {'d': d, 'i': i, 'j': j}) AS p FROM state GROUP BY k)),
+steps AS (SELECT *, row_number() OVER (ORDER BY height, size, lo, hi) - 1 AS step FROM merged),
+places AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS place, count(*) OVER () AS n FROM leaves),
+named AS (SELECT step, coalesce(lag(step) OVER (PARTITION BY c ORDER BY k) + n, place) AS name FROM (SELECT step, k, unnest([lo, hi]) AS c FROM steps) JOIN places ON idx = c),
+tree AS (SELECT CAST(step AS INTEGER) AS step, CAST(min(name) AS INTEGER) AS a, CAST(max(name) AS INTEGER) AS b, height, CAST(size AS INTEGER) AS size FROM named JOIN steps USING (step) GROUP BY step, height, size),
+paths(node, path) AS (
+  SELECT (SELECT max(n) FROM places) + max(step), CAST([] AS INTEGER[]) FROM tree
+  UNION ALL SELECT unnest([a, b]), unnest([list_append(path, 0), list_append(path, 1)]) FROM paths JOIN tree ON node = step + (SELECT max(n) FROM places)),
+ordered AS (SELECT CAST(row_number() OVER (ORDER BY path) - 1 AS INTEGER) AS place, CAST(node AS INTEGER) AS motif FROM paths WHERE node < (SELECT max(n) FROM places)),
+chain(idx, head) AS (SELECT idx, idx FROM leaves UNION ALL SELECT c.idx, lo FROM chain c JOIN merged ON hi = head AND height {below}),
+heads AS (SELECT idx, min(head) AS head FROM chain GROUP BY idx)"""
+
+
+def _linkage_sql(pairs: str, leaves: str, body: str, below: str = "<= 2") -> str:
+    edges = f"edges AS (SELECT i, j, CASE WHEN r IS NULL OR isnan(r) THEN 1 ELSE round(1 - abs(r), 9) END AS d FROM ({pairs}))"
+    return _with(body, f"{edges}, leaves AS ({leaves}), {_LINKAGE.replace('{below}', below)}").replace("WITH seqs", "WITH RECURSIVE seqs", 1)
+
+
+_LEAVES = "SELECT motif_idx AS idx FROM motifs"
+_CUT = "SELECT idx AS motif_idx, CAST(dense_rank() OVER (ORDER BY head) - 1 AS INTEGER) AS cluster_id FROM heads"
+_TREE = "SELECT step, a, b, height, size FROM tree"
+
+
+@query(_linkage_sql(_R_SQL, _LEAVES, "SELECT place, motif FROM ordered"))
 def leaf_order(spark, sf_dir):
-    rows = cluster.linkage(_sim(spark, sf_dir), _motifs(spark, sf_dir)).orderBy("step").collect()  # one row per motif
-    order = cluster.leaf_order(len(rows) + 1, [(r.a, r.b, r.height, r.size) for r in rows])
-    return spark.createDataFrame(list(enumerate(order)), "place int, motif int")
+    motifs = _motifs(spark, sf_dir)
+    return cluster.leaf_places(cluster.linkage(_sim(spark, sf_dir), motifs), motifs.count())
 
 
-@query()
+@query(_linkage_sql(_R_SQL, _LEAVES, _TREE))
 def linkage(spark, sf_dir):
     return cluster.linkage(_sim(spark, sf_dir), _motifs(spark, sf_dir))
 
 
-@query()
+@query(_linkage_sql(_R_SQL, _LEAVES, _CUT, "<= 1 - 0.8 + 1e-12"))
 def cluster_cut(spark, sf_dir):
     return cluster.cut(_sim(spark, sf_dir), _motifs(spark, sf_dir), 0.8)
 
 
+#: The same over all features, by how they go together in all rows.
+_FEATURE_R = f"SELECT a.i, b.i AS j, round(corr(x[a.i + 1], x[b.i + 1]), 6) AS r FROM feats, range({fx.FEATURES}) a(i), range({fx.FEATURES}) b(i) WHERE a.i < b.i GROUP BY a.i, b.i"
+_FEATURE_LEAVES = f"SELECT i AS idx FROM range({fx.FEATURES}) t(i)"
+
+
+def _feature_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    ids = spark.range(fx.FEATURES).select(F.col("id").cast("int").alias("motif_idx"))
+    return learn.feature_correlation(fx.features(spark, sf_dir), fx.FEATURES), ids
+
+
+@query(sql(f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, r FROM ({_FEATURE_R})"))
+def feature_correlation(spark, sf_dir):
+    return _feature_pairs(spark, sf_dir)[0]
+
+
+@query(_linkage_sql(_FEATURE_R, _FEATURE_LEAVES, _TREE))
+def feature_linkage(spark, sf_dir):
+    return cluster.linkage(*_feature_pairs(spark, sf_dir))
+
+
+@query(_linkage_sql(_FEATURE_R, _FEATURE_LEAVES, _CUT.replace("idx AS", "CAST(idx AS INTEGER) AS"), "<= 1 - 0.1 + 1e-12"))
+def feature_clusters(spark, sf_dir):
+    return cluster.cut(*_feature_pairs(spark, sf_dir), 0.1)
+
+
+@query(
+    _linkage_sql(
+        _FEATURE_R,
+        _FEATURE_LEAVES,
+        """, sized AS (SELECT CAST(idx AS INTEGER) AS motif_idx, o.place, min(o.place) OVER w AS first, count(*) OVER w AS n FROM heads JOIN places p USING (idx) JOIN ordered o ON o.motif = p.place WINDOW w AS (PARTITION BY head))
+SELECT motif_idx, place, CAST(CASE WHEN n > 1 THEN (SELECT count(DISTINCT x.first) FROM sized x WHERE x.n > 1 AND x.first <= s.first) END AS INTEGER) AS clade FROM sized s""",
+        "< 0.9",
+    )
+)
+def feature_clades(spark, sf_dir):
+    return cluster.clades(*_feature_pairs(spark, sf_dir), 0.9)
+
+
 @query(sql("SELECT cluster_id, string_agg(CAST(motif_idx AS VARCHAR), ',' ORDER BY motif_idx) AS members FROM clusters GROUP BY cluster_id HAVING count(*) > 1"))
 def cluster_members(spark, sf_dir):
     found = cluster.members(fx.clusters(spark, sf_dir))

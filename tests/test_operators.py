@@ -284,6 +284,37 @@ def test_complete_linkage():
     assert sorted(cluster.leaf_order(n, merges)) == list(range(n))
 
 
+@pytest.mark.parametrize("kind", ["distinct", "ties", "sparse", "empty"])
+def test_linkage_by_rounds_equals_one_pair_at_a_time(spark, kind):
+    r = np.random.default_rng(8)
+    n = 0 if kind == "empty" else 9
+    edges = [(3 * i + 1, 3 * j + 1, round(float(r.random()), 1 if kind == "ties" else 6), 1, 1) for i in range(n) for j in range(i + 1, n) if kind != "sparse" or r.random() < 0.6]
+    frame = spark.createDataFrame(edges, "i int, j int, d double, n_i long, n_j long")
+    # one pair at a time by plain sets; clusters without an edge between two of their members stay apart
+    d = {(i, j): x for i, j, x, *_ in edges}
+    far = lambda a, b: max(d.get((min(x, y), max(x, y)), math.inf) for x in a for y in b)
+    groups, want = [{3 * i + 1} for i in range(n)], []
+    while len(groups) > 1:
+        height, _, _, a, b = min((far(a, b), min(a), min(b), a, b) for a in groups for b in groups if min(a) < min(b))
+        if height == math.inf:
+            break
+        want.append((min(a), min(b), height, len(a | b)))
+        groups = [g for g in groups if g not in (a, b)] + [a | b]
+    for local in (0, 8, 1000):
+        got = cluster.merges(frame, local).select("lo", "hi", "height", "size").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_cut_and_clades_without_pairs(spark):
+    motifs = spark.createDataFrame([(7,), (2,), (4,)], "motif_idx int")
+    pairs = spark.createDataFrame([(2, 4, -0.9), (4, 2, -0.9), (2, 7, None)], "i int, j int, r double")
+    assert sorted(map(tuple, cluster.cut(pairs, motifs, 0.8).collect())) == [(2, 0), (4, 0), (7, 1)]
+    assert sorted(map(tuple, cluster.cut(pairs.limit(0), motifs, 0.8).collect())) == [(2, 0), (4, 1), (7, 2)]
+    assert sorted((x.motif_idx, x.clade) for x in cluster.clades(pairs, motifs, 0.5).collect()) == [(2, 1), (4, 1), (7, None)]
+    assert cluster.linkage(pairs.limit(0), motifs).count() == 0
+    assert sorted(map(tuple, cluster.leaf_places(cluster.linkage(pairs.limit(0), motifs), 3).collect())) == [(0, 0), (1, 1), (2, 2)]
+
+
 def test_sparse_model_meets_its_optimality_conditions():
     r = np.random.default_rng(5)
     x = r.normal(size=(200, 6))
