@@ -241,3 +241,22 @@ def curated_library(clusters: DataFrame, motifs: DataFrame, metadata: DataFrame)
     first = named.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("cluster_id"))).where("_n = 1")
     left = unmerged(clusters, motifs).select("name", "matrix_id", F.lit(False).alias("merged"), "pwm")
     return first.select("name", "matrix_id", F.lit(True).alias("merged"), "pwm").unionByName(left)
+
+
+def motif_list(clusters: DataFrame, motifs: DataFrame, metadata: DataFrame) -> DataFrame:
+    """`(place, name, matrix_id, gene, family)`: the curated library's motif list with its metadata, places from 0.
+
+    First the consensus motifs by cluster, with the ids of their members; then the motifs left alone by
+    name and index, with their name as id. An empty library gives no rows.
+    """
+    merged = consensus_names(clusters, motifs, metadata).join(family_of(clusters, motifs, metadata).select("cluster_id", "family"), "cluster_id")
+    merged = merged.select(F.lit(0).alias("part"), F.lit("").alias("key"), F.col("cluster_id").cast("long").alias("at"), "name", "matrix_id", F.col("genes").alias("gene"), "family")
+    alone = with_metadata(unmerged(clusters, motifs).select("motif_idx", "name"), metadata)
+    alone = alone.select(F.lit(1).alias("part"), F.col("name").alias("key"), F.col("motif_idx").cast("long").alias("at"), "name", F.col("name").alias("matrix_id"), "gene", "family")
+    placed = global_rank(merged.unionByName(alone), ["part", "key", "at"], "place")
+    return placed.select((F.col("place") - 1).cast("int").alias("place"), "name", "matrix_id", "gene", "family")
+
+
+def list_lines(listed: DataFrame) -> DataFrame:
+    """`(number, name)` of a `motif_list` by name, counted from 1; equal names keep their places."""
+    return global_rank(listed.select("name", "place"), ["name", "place"], "number").select(F.col("number").cast("int").alias("number"), "name")

@@ -576,6 +576,29 @@ def consensus_names(spark, sf_dir):
     return cluster.consensus_names(fx.clusters(spark, sf_dir), fx.motifs(spark, sf_dir), fx.metadata(spark, sf_dir))
 
 
+#: `listed`: names of clusters of two or more as `consensus_names` has them, and then the motifs left alone.
+_LISTED = f"""{_FAMILY},
+large AS (SELECT cluster_id FROM clusters GROUP BY cluster_id HAVING count(*) > 1),
+listed AS (
+  SELECT CAST(row_number() OVER (ORDER BY part, key, nr) - 1 AS INTEGER) AS place, name, matrix_id, gene, family FROM (
+    SELECT 0 AS part, '' AS key, f.cluster_id AS nr,
+      replace(replace(replace(replace(replace(concat(f.family, '_', row_number() OVER (PARTITION BY f.family ORDER BY f.first_member), '_merged'), '/', ''), ' ', '_'), '(', '_'), ')', '_'), '__', '_') AS name,
+      (SELECT string_agg(matrix_id, '|' ORDER BY motif_idx) FROM fam x WHERE x.cluster_id = f.cluster_id) AS matrix_id,
+      (SELECT string_agg(gene, '_' ORDER BY gene) FROM (SELECT DISTINCT gene FROM fam x WHERE x.cluster_id = f.cluster_id ORDER BY gene LIMIT 10)) AS gene, f.family
+    FROM families f SEMI JOIN large USING (cluster_id)
+    UNION ALL SELECT 1, name, motif_idx, name, name, gene, family FROM fam ANTI JOIN large USING (cluster_id)))"""
+
+
+@query(_with("SELECT * FROM listed", _LISTED))
+def motif_list(spark, sf_dir):
+    return cluster.motif_list(fx.clusters(spark, sf_dir), fx.motifs(spark, sf_dir), fx.metadata(spark, sf_dir))
+
+
+@query(_with("SELECT CAST(row_number() OVER (ORDER BY name, place) AS INTEGER) AS number, name FROM listed", _LISTED))
+def motif_list_lines(spark, sf_dir):
+    return cluster.list_lines(motif_list(spark, sf_dir))
+
+
 @query(sql("SELECT motif_idx, name FROM motifs WHERE motif_idx NOT IN (SELECT motif_idx FROM clusters WHERE cluster_id IN (SELECT cluster_id FROM clusters GROUP BY cluster_id HAVING count(*) > 1))"))
 def unmerged(spark, sf_dir):
     return cluster.unmerged(fx.clusters(spark, sf_dir), fx.motifs(spark, sf_dir)).select("motif_idx", "name")

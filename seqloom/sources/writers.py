@@ -72,3 +72,10 @@ def meme_text(matrix_id: Column, name: Column, pwm: Column) -> Column:
 def write_motifs(motifs: DataFrame, text: Column, path: str) -> None:
     """One text record per motif."""
     motifs.select(text.alias("value")).write.text(path, lineSep="\n\n")
+
+
+def write_motif_list(listed: DataFrame, path: str) -> None:
+    """The `motif_list` of a library as two tables in its order: names with ids, without a header, and names with genes and families."""
+    ordered = listed.repartitionByRange("place").sortWithinPartitions("place")
+    ordered.select("name", "matrix_id").write.csv(f"{path}/list", sep="\t")
+    ordered.select(F.col("name").alias("Name"), F.col("gene").alias("Gene"), F.col("family").alias("Family")).write.csv(f"{path}/metadata", sep="\t", header=True)

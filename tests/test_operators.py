@@ -315,6 +315,21 @@ def test_cut_and_clades_without_pairs(spark):
     assert sorted(map(tuple, cluster.leaf_places(cluster.linkage(pairs.limit(0), motifs), 3).collect())) == [(0, 0), (1, 1), (2, 2)]
 
 
+def test_motif_list_is_written_in_order(spark, tmp_path):
+    motifs = spark.createDataFrame([(0, "b", "M0"), (1, "c", "M1"), (2, "a", "M2"), (3, "B", "M3")], "motif_idx int, name string, matrix_id string")
+    clusters = spark.createDataFrame([(0, 5), (1, 4), (2, 3), (3, 5)], "motif_idx int, cluster_id int")
+    metadata = spark.createDataFrame([("b", "G1", "ETS"), ("B", "G0", "ETS"), ("a", "G2", "Homeo")], "name string, gene string, family string")
+    listed = cluster.motif_list(clusters, motifs, metadata)
+    want = [(0, "ETS_1_merged", "M0|M3", "G0_G1", "ETS"), (1, "a", "a", "G2", "Homeo"), (2, "c", "c", "Unknown", "Unknown")]
+    assert sorted(map(tuple, listed.collect())) == want
+    assert sorted(map(tuple, cluster.list_lines(listed).collect())) == [(1, "ETS_1_merged"), (2, "a"), (3, "c")]
+    writers.write_motif_list(listed, f"file://{tmp_path}/out")
+    back = lambda part: [x for f in sorted((tmp_path / "out" / part).glob("part-*")) for x in f.read_text().splitlines()]
+    assert back("list") == ["\t".join(x[1:3]) for x in want]
+    assert [x for x in back("metadata") if x != "Name\tGene\tFamily"] == ["\t".join((x[1], x[3], x[4])) for x in want]
+    assert cluster.motif_list(clusters.limit(0), motifs.limit(0), metadata).count() == 0
+
+
 def test_sparse_model_meets_its_optimality_conditions():
     r = np.random.default_rng(5)
     x = r.normal(size=(200, 6))
