@@ -268,6 +268,19 @@ def test_alignment_properties():
     assert align.merge([x]) is None and align.merge([x, x]) == pytest.approx(align.trim_left(x))
 
 
+def test_alignment_of_batches_equals_that_of_pairs():
+    r = np.random.default_rng(11)
+    pairs = [(r.dirichlet([0.3] * 4, r.integers(1, 14)), r.dirichlet([0.3] * 4, r.integers(1, 14))) for _ in range(align.BATCH + 40)]
+    for a, _ in pairs[::7]:
+        a[len(a) // 2] = 0.25  # a column that correlates with none
+    pairs.append((np.full((3, 4), 0.25), pairs[0][1]))
+    for mode, one in (("local", align.align_local), ("global", align.align_global)):
+        for (a, b), got in zip(pairs, align.align_many(pairs, mode), strict=True):
+            assert all(np.array_equal(x, y) for x, y in zip(one(a, b), got, strict=True))
+    assert np.array_equal(align.similarities(pairs), [align.similarity(a, b) for a, b in pairs], equal_nan=True)
+    assert align.align_many([]) == [] and align.similarities([]) == []
+
+
 def test_complete_linkage():
     r = np.random.default_rng(4)
     n = 30
