@@ -2,14 +2,13 @@
 
 Numbers, units after numbers and names (capitalised words within a sentence) become typed slots.
 Windows of eight canonical words of each benchmark item are joined by hash with those of every
-document, once with names as slots and once with names as words. Matches are gathered per document,
+document: with names as slots, with names as words, and with all words as they are, so verbatim copies
+are found however many numbers, units and names they hold. Matches are gathered per document,
 item and offset between them; where slots were filled anew, the same benchmark value has to
-correspond to the same document value throughout, and the other way round. A document is
+correspond to the same document value throughout, and the other way round. A template has to agree
+in literal words, too: in `literal_share` of a window's words, be they of one window or of several, or in all
+literal words of an item where the match covers 13 of its words. A document is
 contaminated by an item if the accepted matches cover 13 of the item's words, or all of a shorter item.
-
-With `every_window`, as in the query and the pipeline, windows of exact words are joined besides, so
-verbatim copies are found however many numbers, units and names they hold, and windows poor in literal
-words count as templates where a richer one matches at the same offset.
 """
 
 from __future__ import annotations
@@ -21,8 +20,8 @@ from seqloom.llm._scratch import let, small, table
 
 WINDOW = 8
 COVERED = 13
-#: Share of a window's words that have to be literal.
-LITERAL = 0.6
+#: A template agrees in so large a part of a window's words, counted over the whole match: eight words, five of them literal.
+LITERAL_SHARE = 0.6
 NUMBER_WORDS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
     "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
@@ -92,20 +91,20 @@ def _each(hashes: Column, window: int) -> Column:
     """array<struct<at, hash>> of the windows of a text's hashed words; at counts from 0."""
     return F.when(
         F.size(hashes) >= window,
-        F.transform(F.sequence(F.lit(0), F.size(hashes) - window), lambda i: F.struct(i.alias("at"), F.xxhash64(*(F.get(hashes, i + k) for k in range(window))).alias("hash"))),
+        F.transform(F.sequence(F.lit(0), F.size(hashes) - window), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i + 1, window)).alias("hash"))),
     ).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
 
 
-def _windows(text: Column, window: int, exact: bool = False) -> Column:
-    """The windows of a text, both ways where it has names; with `exact`, those of its words where it has numbers, too."""
+def _windows(text: Column, window: int) -> Column:
+    """The windows of a text with names as words; where it has names, those with names as slots, too; where it has numbers, those of its exact words."""
     each = lambda hashes: _each(hashes, window)
 
-    def both(plain: Column) -> Column:
+    def all_ways(plain: Column) -> Column:
         other = lambda hashes: F.filter(let(hashes, each), lambda x, i: x["hash"] != F.get(plain, i)["hash"])
         out = F.when(text.rlike(_MAY_NAME), F.concat(plain, other(_names_hashed(text)))).otherwise(plain)
-        return F.when(F.lower(text).rlike(_MAY_COUNT), F.concat(out, other(_exact_hashed(text)))).otherwise(out) if exact else out
+        return F.when(F.lower(text).rlike(_MAY_COUNT), F.concat(out, other(_exact_hashed(text)))).otherwise(out)
 
-    return let(let(_slots_hashed(text), each), both)
+    return let(let(_slots_hashed(text), each), all_ways)
 
 
 def _words(rows: DataFrame, key: str) -> DataFrame:
@@ -123,35 +122,40 @@ def contaminated(
     item_text_col: str = "text",
     window: int = WINDOW,
     covered: int = COVERED,
-    every_window: bool = False,
+    literal_share: float = LITERAL_SHARE,
 ) -> DataFrame:
     """`(<id_col>, item_id, matched_words, item_words, slots, reparameterised)` for each contaminated pair.
 
     Items shorter than a window are compared as one window of their own length. Null texts and ids
     take no part; rows of one id are one document, repeated items one item. Whole texts are read.
-    Without `every_window`, windows with fewer than `LITERAL` literal words take no part.
+    Windows without any literal word, such as a row of numbers, are found as exact words only.
     """
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     words = table(_words(items, "item").distinct(), "items")
-    lengths = words.groupBy("item").agg((F.max("at") + 1).alias("item_words"))
+    lengths = words.groupBy("item").agg((F.max("at") + 1).alias("item_words"), F.sum(F.col("kind").isin("w", "p").cast("long")).alias("item_literals"))
     short = lengths.where(F.col("item_words") < window).select("item_words").distinct()
     sizes = sorted([window, *(r[0] for r in short.collect())])  # fewer than `window` numbers
     literal = lambda kinds: F.size(F.filter(F.slice("m", F.col("w.at") + 1, F.col("size")), lambda x: x["kind"].isin(*kinds)))
-    #: windows, the kinds of words that stay words in them, whether all do
-    ways = [(lambda text, size: _windows(text, size), "w", False)]
-    if every_window:
-        ways = [(lambda text, size, h=h: _each(h(text), size), kinds, h is _exact_hashed) for h, kinds in ((_slots_hashed, "wp"), (_names_hashed, "w"), (_exact_hashed, "wpnu"))]
+    #: windows, and the kinds of words that stay words in them
+    ways = ((_slots_hashed, "wp"), (_names_hashed, "w"), (_exact_hashed, "wpnu"))
     keys = None
     for size in sizes:
-        for windows, kinds, exact in ways:
+        for hashed, kinds in ways:
             part = (
                 items.select("item", "text", _marked(F.col("text")).alias("m"))
                 .where(F.size("m") >= window if size == window else F.size("m") == size)
-                .select("item", "m", F.lit(size).alias("size"), F.explode(windows(F.col("text"), size)).alias("w"))
-                .withColumn("n_literal", literal(kinds))
-                .where(F.col("n_literal") >= (1 if every_window else LITERAL * size))
-                .select("item", "size", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), F.lit(exact).alias("exact"), (F.col("n_literal") >= LITERAL * size).alias("rich"), (literal("w") >= LITERAL * size).alias("strict"))
+                .select("item", "m", F.lit(size).alias("size"), F.explode(_each(hashed(F.col("text")), size)).alias("w"))
+                .where(literal(kinds) >= 1)
+                .select(
+                    "item",
+                    "size",
+                    F.col("w.at").alias("item_at"),
+                    F.col("w.hash").alias("hash"),
+                    F.lit(hashed is _exact_hashed).alias("exact"),
+                    (literal(kinds) >= literal_share * size).alias("rich"),
+                    (literal("w") >= literal_share * size).alias("strict"),
+                )
             )
             keys = part if keys is None else keys.unionByName(part)
     keys = table(keys.distinct(), "item-windows")
@@ -162,7 +166,7 @@ def contaminated(
         here = small(keys.where(F.col("size") == size).select("item", "size", "item_at", "hash", "exact", "rich", "strict"), n_keys)
         part = (
             # an outer explode: for the inner one the optimizer would compute the windows again in a filter
-            docs.select("doc", F.explode_outer(_windows(F.col("text"), size, every_window)).alias("w"))
+            docs.select("doc", F.explode_outer(_windows(F.col("text"), size)).alias("w"))
             .select("doc", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"))
             .join(here, "hash")
             .select("doc", "item", (F.col("at") - F.col("item_at")).alias("offset"), "item_at", "size", "exact", "rich", "strict")
@@ -170,10 +174,10 @@ def contaminated(
         found = part if found is None else found.unionByName(part)
     matches = table(found.distinct(), "windows-found")
 
-    # rich templates are judged alone, too, first without names as literal words, so that others beside them only add
+    # windows rich in literal words are judged alone, too, first without names as such words, so that poorer ones beside them only add
     judged = F.when(F.col("exact"), F.array(F.lit("exact"))).when(F.col("strict"), F.array(F.lit("strict"), F.lit("rich"), F.lit("all"))).when(F.col("rich"), F.array(F.lit("rich"), F.lit("all"))).otherwise(F.array(F.lit("all")))
     matches = matches.withColumn("way", F.explode(judged))
-    places = matches.select("doc", "item", "offset", "way", "rich", F.explode(F.sequence("item_at", F.col("item_at") + F.col("size") - 1)).alias("at")).distinct()
+    places = matches.select("doc", "item", "offset", "way", "size", F.explode(F.sequence("item_at", F.col("item_at") + F.col("size") - 1)).alias("at")).distinct()
     ids = table(matches.select("doc").distinct(), "docs-found")
     theirs = _words(docs.join(small(ids, ids.count()), "doc", "left_semi"), "doc").select("doc", F.col("at").alias("doc_at"), F.col("low").alias("doc_low")).distinct()
     slots = (
@@ -187,17 +191,18 @@ def contaminated(
             F.countDistinct("kind", "doc_low").alias("doc_values"),
             F.countDistinct("kind", "low", "doc_low").alias("couples"),
             F.max((F.col("low") != F.col("doc_low")).cast("int")).alias("changed"),
+            F.countDistinct(F.when((F.col("kind") == "p") & (F.col("low") == F.col("doc_low")), F.col("at"))).alias("names_kept"),
         )
     )
-    covers = places.groupBy("doc", "item", "offset", "way").agg(F.collect_set("at").alias("at"), F.max("rich").alias("rich"))  # an item's words at most
-    accepted = covers.join(slots, ["doc", "item", "offset", "way"], "left").where(
-        F.col("rich") & (F.col("slots").isNull() | (F.col("changed") == 0) | ((F.col("couples") == F.col("values")) & (F.col("couples") == F.col("doc_values"))))
-    )
+    covers = places.groupBy("doc", "item", "offset", "way").agg(F.collect_set("at").alias("at"), F.max("size").alias("size"))  # an item's words at most
+    literals = F.size("at") - F.coalesce("slots", F.lit(0)) + F.coalesce("names_kept", F.lit(0))
+    told = (literals >= F.lit(literal_share) * F.col("size")) | ((literals >= F.col("item_literals")) & (F.size("at") >= covered))
+    one_to_one = F.col("slots").isNull() | (F.col("changed") == 0) | ((F.col("couples") == F.col("values")) & (F.col("couples") == F.col("doc_values")))
+    accepted = covers.join(slots, ["doc", "item", "offset", "way"], "left").join(small(lengths, n_keys), "item").where((F.col("way") == "exact") | (told & one_to_one))
     return (
-        accepted.select("doc", "item", "slots", "changed", F.explode("at").alias("at"))
-        .groupBy("doc", "item")
+        accepted.select("doc", "item", "item_words", "slots", "changed", F.explode("at").alias("at"))
+        .groupBy("doc", "item", "item_words")
         .agg(F.countDistinct("at").alias("matched_words"), F.max(F.coalesce("slots", F.lit(0))).alias("slots"), F.max(F.coalesce("changed", F.lit(0))).alias("changed"))
-        .join(small(lengths, n_keys), "item")
         .where(F.col("matched_words") >= F.least(F.lit(covered), F.col("item_words")))
         .select(
             F.col("doc").alias(id_col),
