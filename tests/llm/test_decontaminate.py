@@ -1,3 +1,4 @@
+import random
 import re
 
 from seqloom.llm import decontaminate as d
@@ -33,7 +34,7 @@ def test_inconsistent_slots_are_rejected(spark):
 def test_short_items_and_odd_rows(spark):
     items = [(1, "only five words in here"), (2, ""), (3, None), (None, ITEM), (4, "12 13 14 15 16 17 18 19 20"), (1, "only five words in here")]
     docs = [(1, "We say only five words, in here."), (2, None), (None, ITEM), (3, "12 13 14 15 16 17 18 19 20"), (4, "x " * 50_000 + "only five words in here"), (1, "")]
-    assert set(found(spark, docs, items)) == {(1, 1), (4, 1)}
+    assert set(found(spark, docs, items)) == {(1, 1), (3, 4), (4, 1)}  # a row of numbers as it is
     assert found(spark, [], items) == {} and found(spark, docs, []) == {}
 
 
@@ -64,11 +65,76 @@ def test_items_dense_in_slots_are_found_verbatim(spark):
     edge = "Add 12 km 15 kg 7 and 9 then tell the class which of them is the larger"
     items = [(1, numbers), (2, names), (3, edge)]
     docs = [(1, f"So: {numbers}."), (2, f"They say {names} again."), (3, "21 22 23 24 25 26 27 28 29"), (4, f"Now {edge}"), (5, "So " + edge.replace("12", "31").replace(" 9", " 8"))]
-    assert set(found(spark, docs, items, every_window=True)) == {(1, 1), (2, 2), (4, 3), (5, 3)}
-    assert (1, 1) not in found(spark, docs, items)
+    assert set(found(spark, docs, items)) == {(1, 1), (2, 2), (4, 3), (5, 3)}
 
 
 def test_poor_windows_do_not_undo_rich_ones(spark):
     item = ITEM + " He notes 4 kg 16 cm 4 lb then"
     doc = item.replace("Maria", "Zoe").replace("120", "77").replace("4 kg 16 cm 4 lb", "5 kg 16 cm 8 lb")
-    assert set(found(spark, [(1, doc)], [(1, item)])) == set(found(spark, [(1, doc)], [(1, item)], every_window=True)) == {(1, 1)}
+    assert set(found(spark, [(1, doc)], [(1, item)])) == {(1, 1)}
+
+
+DENSE = "Pack 12 kg 7 cm 3 lb with 9 mg 14 km 2 g over 5 h 8 min then 21 ml"
+
+
+def test_items_dense_in_numbers_are_found_with_other_numbers(spark):
+    """No window of the item has five literal words; those of the whole match count."""
+    other = DENSE.replace("12", "40").replace(" 7", " 71").replace("14", "33").replace(" 2 ", " 6 ")
+    mixed_up = other.replace("71", "40")  # two values become one
+    numbers = " ".join(str(i) for i in range(100, 120))
+    docs = [(1, f"Well, {other} again"), (2, f"Well, {mixed_up} again"), (3, numbers), (4, other.replace("Pack", "Bring").replace("over", "under"))]
+    assert set(found(spark, docs, [(1, DENSE), (2, " ".join(str(i) for i in range(20)))])) == {(1, 1)}
+
+
+def _kinds(text):
+    """(kind, lower word) of each word, by plain rules."""
+    out, low_before, first = [], None, True
+    for t in re.findall(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]", text):
+        low = t.lower()
+        number = low[0].isdigit() or low in d.NUMBER_WORDS
+        if t in ".!?\n":
+            low_before, first = t, True
+            continue
+        counted = low_before is not None and (low_before[0].isdigit() or low_before in d.NUMBER_WORDS)
+        name = not first and re.fullmatch("[A-Z][a-z]+", t)
+        out.append(("n" if number else "u" if low in d.UNITS and counted else "p" if name else "w", low))
+        low_before, first = low, False
+    return out
+
+
+def test_templates_equal_brute_force(spark):
+    """Items against documents that hold them with slots filled anew, some inconsistently; names are slots throughout."""
+    draw = random.Random(5)
+    plain, names = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)], ["Ada", "Bo", "Cy", "Dee", "Eve", "Flo", "Gus"]
+    items, docs = [], []
+    for i in range(40):
+        words = [draw.choice(plain) for _ in range(24)]
+        for at in draw.sample(range(1, 24), 8):
+            words[at] = draw.choice(names) if draw.random() < 0.5 else str(draw.randrange(2, 60))
+        items.append((i, " ".join(words)))
+        used = sorted({w for w in words if w in names}), sorted({w for w in words if w.isdigit()})
+        swap = dict(zip(used[0], draw.sample([n + "x" for n in names], len(used[0])), strict=True)) | dict(zip(used[1], map(str, draw.sample(range(100, 900), len(used[1]))), strict=True))
+        if i % 3 == 0 and len(used[1]) > 1:
+            swap[used[1][0]] = swap[used[1][1]]
+        docs.append((i, "See " + " ".join(swap.get(w, w) for w in words) + " end"))
+
+    def hit(item, doc):
+        a, b = _kinds(item), _kinds(doc)
+        slot = lambda x: x if x[0] == "w" else (x[0], None)
+        whole = 0
+        for offset in range(-len(a), len(b)):
+            at = set()
+            for i in range(len(a) - 7):
+                if 0 <= i + offset and i + offset + 8 <= len(b) and all(slot(a[i + k]) == slot(b[i + k + offset]) for k in range(8)):
+                    at |= set(range(i, i + 8))
+            couples = {(a[i], b[i + offset]) for i in at if a[i][0] != "w"}
+            fits = len({x for x, _ in couples}) == len({y for _, y in couples}) == len(couples)
+            if fits and sum(a[i][0] == "w" for i in at) >= 5:
+                whole = max(whole, len(at))
+        return whole >= min(13, len(a))
+
+    want = {(n, i) for n, doc in docs for i, item in items if hit(item, doc)}
+    got = set(found(spark, docs, items))
+    assert {(i, i) for i in range(40) if i % 3} <= want
+    # windows rich in literal words are judged alone besides, so an inconsistent slot elsewhere need not clear a document
+    assert want <= got and all(a == b for a, b in got)
