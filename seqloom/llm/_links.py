@@ -22,7 +22,9 @@ from seqloom.llm._scratch import BROADCAST_KEYS, discard, small, table
 def shared(members: DataFrame, name: str) -> DataFrame:
     """The `members (bucket, id, ...)` that are not alone in their bucket; only bucket numbers are shuffled to find them."""
     buckets = table(members.groupBy("bucket").count().where("count > 1").select("bucket"), f"{name}-buckets")
-    return table(members.join(small(buckets, buckets.count(), BROADCAST_KEYS), "bucket", "left_semi"), f"{name}-members")
+    out = table(members.join(small(buckets, buckets.count(), BROADCAST_KEYS), "bucket", "left_semi"), f"{name}-members")
+    discard(buckets)
+    return out
 
 
 def classes(
@@ -40,7 +42,7 @@ def classes(
 
     members: distinct `(bucket, id)`, or `(bucket, id, info)`: then no pair is verified that its infos rule out.
     verify: takes distinct pairs `(a, b)`, a < b, and returns those that are linked. prepare: called before, once,
-    with the distinct ids (column `id`) that any later pair is made of. info: `(id, info)` where
+    with a table of the distinct ids (column `id`) that any later pair is made of. info: `(id, info)` where
     members have none. Infos are structs with the length `n`. known: further links `(a, b)`. Of
     linked members, the shorter one has `similarity` of the longer one's length at least, and `plausible` of their
     infos, the shorter one's first, is true. Empty members give no rows.
@@ -57,15 +59,20 @@ def classes(
     else:
         star = table(star.select("bucket", "a", F.col("id").alias("b"), "n", F.lit(True).alias("may")), f"{name}-star")
     if prepare:
-        prepare(star.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        # the heads from their buckets, once each, and every other member
+        prepare(table(groups.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct(), f"{name}-ids"))
+    discard(groups)
     pairs = table(star.where("may").select("a", "b").distinct(), f"{name}-pairs")
 
     def merged(found: DataFrame, links: DataFrame) -> DataFrame:
         """The components with more links; `found` itself if there are none."""
         links = table(links, f"{name}-links")
-        if not links.limit(1).count():
-            return found
-        return table(components(links.unionByName(found.select(F.col("component").alias("a"), F.col("id").alias("b"))), name), f"{name}-found")
+        out = found
+        if links.limit(1).count():
+            out = table(components(links.unionByName(found.select(F.col("component").alias("a"), F.col("id").alias("b"))), name), f"{name}-found")
+            discard(found)
+        discard(links)
+        return out
 
     def placed(of: DataFrame, found: DataFrame) -> DataFrame:
         """`of (a, b)` with their components p and q."""
@@ -79,16 +86,24 @@ def classes(
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = table(verify(first), f"{name}-links")
     found = table(components(links if known is None else links.unionByName(known), name), f"{name}-found")
+    discard(links)
     others = table(apart(pairs.join(first, ["a", "b"], "left_anti"), found), f"{name}-others")
+    discard(pairs)
     one = table(_one_each(others), f"{name}-one")
     found = merged(found, verify(one))
     found = merged(found, verify(apart(others.select("a", "b").join(one, ["a", "b"], "left_anti"), found).select("a", "b")))
-    star = star.where("n > 2")  # the only pair of a smaller bucket has been verified
-    heads = table(placed(star.select("a", "b").distinct(), found), f"{name}-heads")
-    open_buckets = table(star.join(heads.where("p <> q"), ["a", "b"], "left_semi").select("bucket").distinct(), f"{name}-open")
-    here = star.join(open_buckets, "bucket", "left_semi").join(heads, ["a", "b"]).select("bucket", F.col("b").alias("id"), F.col("q").alias("component"), *(["info"] if carried else []))
+    discard(others)
+    discard(one)
+    larger = star.where("n > 2")  # the only pair of a smaller bucket has been verified
+    heads = table(placed(larger.select("a", "b").distinct(), found), f"{name}-heads")
+    open_buckets = table(larger.join(heads.where("p <> q"), ["a", "b"], "left_semi").select("bucket").distinct(), f"{name}-open")
+    here = larger.join(open_buckets, "bucket", "left_semi").join(heads, ["a", "b"]).select("bucket", F.col("b").alias("id"), F.col("q").alias("component"), *(["info"] if carried else []))
     here = table(here if carried else here.join(info, "id"), f"{name}-here")
-    return merged(found, verify(_rest(here, similarity, may_link)))
+    for done in (star, heads, open_buckets):
+        discard(done)
+    found = merged(found, verify(_rest(here, similarity, may_link)))
+    discard(here)
+    return found
 
 
 def _one_each(pairs: DataFrame) -> DataFrame:

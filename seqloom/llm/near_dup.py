@@ -2,13 +2,14 @@
 
 A document's k-mers are its runs of five words, each labelled with how often it has occurred so
 far. Under each of `sketches` hash functions the `picks` smallest labelled k-mers are taken and put
-back in text order; the ordered tuple is a sketch. A text of up to `SHORT` words, of whose few k-mers one
-edit can change all, has sketches of runs of two words besides. Two documents become candidates if one
+back in text order; the ordered tuple is a sketch. There are `EDITED_SKETCHES` sketches of runs of three words
+besides, since random edits all over a text spare few runs of five. A text of up to `SHORT` words, of whose few k-mers one
+edit can change all, has sketches of runs of two words, too. Two documents become candidates if one
 sketch agrees, and are linked if the edit similarity of their word sequences, 1 - distance / longer
-length, is `similarity` or more. With 48 sketches of 2 picks a pair that shares a part s of its k-mers
-becomes a candidate with a probability of 1 - (1 - s * s) ** 48: 1 - 1e-21 for 0.8, 0.999 for 0.37, 0.86 for
-0.2, 0.11 for 0.05. Where every fifth word is replaced at random, which is the edit similarity of 0.8, s is 0.2;
-where every tenth is, s is 0.42. Raise `picks` with the corpus: each further pick divides chance meetings by ten or so.
+length, is `similarity` or more. With n sketches of 2 picks a pair that shares a part s of its k-mers
+becomes a candidate with a probability of 1 - (1 - s * s) ** n. Where every fifth word is replaced at random, which is
+the edit similarity of 0.8, s is some 0.2 for five words and 0.34 for three, but varies from pair to pair; the tests
+measure what is found there. Raise `picks` with the corpus: each further pick divides chance meetings by ten or so.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm._links import classes, shared
-from seqloom.llm._scratch import BROADCAST_KEYS, let, small, table
+from seqloom.llm._scratch import BROADCAST_KEYS, discard, let, small, table
 
 WORDS = 5
 SIMILARITY = 0.8
-SKETCHES = 48
+SKETCHES = 32
 PICKS = 2
-#: Texts of up to so many words have sketches of shorter k-mers besides.
+#: Sketches of shorter k-mers, which a text with edits all over keeps.
+EDITED_WORDS, EDITED_SKETCHES = 3, 24
+#: Texts of up to so many words have sketches of still shorter ones.
 SHORT, SHORT_WORDS, SHORT_SKETCHES = 40, 2, 16
 #: Counters of a text's words by their hashes, which bound the words that two texts share. Seven lie in a long, each of
 #: eight bits below a spare one; one that is full counts for any number.
@@ -137,21 +140,24 @@ def alike(a: list, b: list, similarity: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def _sketched(k: int, sketches: int, picks: int, similarity: float):
+def text_sketches(tokens: np.ndarray, k: int = WORDS, sketches: int = SKETCHES, picks: int = PICKS, similarity: float = SIMILARITY) -> np.ndarray:
+    """All sketches of a text: of runs of k words, of three, and of two if it is short."""
     # the longer text of a pair whose shorter one is short has this many words at most
     short = SHORT / similarity if similarity else np.inf
+    found = [order_minhash(tokens, k, sketches, picks), order_minhash(tokens, EDITED_WORDS, EDITED_SKETCHES, picks, 1 << 33)]
+    if len(tokens) <= short:
+        found.append(order_minhash(tokens, SHORT_WORDS, SHORT_SKETCHES, picks, 1 << 32))
+    return np.concatenate(found)
 
-    def values_of(tokens: np.ndarray) -> np.ndarray:
-        found = order_minhash(tokens, k, sketches, picks)
-        return np.r_[found, order_minhash(tokens, SHORT_WORDS, SHORT_SKETCHES, picks, 1 << 32)] if len(tokens) <= short else found
 
+def _sketched(k: int, sketches: int, picks: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
             lists = batch.column("tokens")
             flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             ends = np.cumsum(np.r_[0, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)])
-            values = [values_of(flat[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            values = [text_sketches(flat[i:j], k, sketches, picks, similarity) for i, j in zip(ends[:-1], ends[1:], strict=True)]
             sizes = np.cumsum([0, *map(len, values)]).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *values]).view(np.int64)))
             counts = [np.bincount((flat[i:j] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) for i, j in zip(ends[:-1], ends[1:], strict=True)]
@@ -207,14 +213,14 @@ def near_duplicate_classes(
         .join(texts.select(F.col("first").alias("id"), "text_hash"), ["id", "text_hash"], "left_semi")
         .select("id", info.alias("info"), F.explode("sketches").alias("bucket"))
     )
-    members = shared(members, "omh").distinct()  # rows that are repeated
+    members = shared(members, "omh")
 
     held = {}
 
     def prepare(ids: DataFrame) -> None:
         """Words of all documents that are ever compared, once."""
-        ids = table(ids, "omh-ids")
         words_of = rows.where("text IS NOT NULL").join(small(ids, ids.count(), BROADCAST_KEYS), "id", "left_semi").select("id", F.struct(F.md5("text"), plain.alias("words")).alias("x"))
+        held["ids"] = ids
         held["words"] = table(words_of.groupBy("id").agg(F.min("x").alias("x")).select("id", "x.words"), "omh-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -246,7 +252,10 @@ def near_duplicate_classes(
         fits = long["n"] - short["n"] <= most
         return F.when(fits, (long["n"] - words_shared <= most) | full).otherwise(False)
 
-    found = classes(members, verify, None, "omh", known, similarity=similarity, plausible=plausible, prepare=prepare)
+    # rows that are repeated count once
+    found = classes(members.distinct(), verify, None, "omh", known, similarity=similarity, plausible=plausible, prepare=prepare)
+    for done in (members, held["ids"], held["words"]):
+        discard(done)
     first = texts.join(found, texts["first"] == found["id"], "left").select("text_hash", F.coalesce("component", "first").alias("class_id"))
     return (
         sketched.select("id", "text_hash")
