@@ -32,39 +32,77 @@ for _i, _b in enumerate(b"ACGT"):
     _CODES[_b] = _CODES[_b + 32] = _i
 
 
-def window_scores(codes: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """Sum of log-odds of each window; a window with another letter scores minus infinity."""
-    width = len(matrix)
-    n = max(0, len(codes) - width + 1)
-    table = np.column_stack([matrix, np.full(width, -np.inf)])
-    out = np.zeros(n)
-    for k in range(width):
-        out += table[k][codes[k : k + n]]
-    return out
+#: So many letters of a window are looked up at once.
+SPELT = 8
+#: Letters of the sequences that are scanned together; longer ones go alone.
+LETTERS = 1 << 18
 
 
-def _batch_codes(seqs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all sequences with a separator after each, their starts and lengths."""
-    data = [s.encode("ascii", "replace") for s in seqs]
-    codes = _CODES[np.frombuffer(b"".join(x + b"." for x in data), np.uint8)] if data else np.zeros(0, np.uint8)
+def _parts(seqs: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First and last sequence of each part of a batch, codes of its sequences with a separator after each, their starts and lengths."""
+    data = [(s or "").encode("ascii", "replace") for s in seqs]
     lengths = np.array([len(x) for x in data], np.int64)
-    return codes, np.r_[0, np.cumsum(lengths + 1)][:-1].astype(np.int64), lengths
+    part = np.cumsum(lengths + 1) // LETTERS
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(data)] if data else [0]
+    for a, b in zip(edges, edges[1:], strict=False):
+        codes = _CODES[np.frombuffer(b".".join(data[a:b]) + b".", np.uint8)]
+        yield a, b, codes, np.r_[0, np.cumsum(lengths[a:b] + 1)][:-1], lengths[a:b]
+
+
+def _spelt(codes: np.ndarray, widths: set[int]) -> dict[int, np.ndarray]:
+    """Per width up to `SPELT` that the motifs need, the number that the letters from each place on spell; `4 ** width` where one isn't A, C, G or T."""
+    widths, out = {min(w, SPELT) for w in widths}, {}
+    numbers, odd = np.zeros(len(codes), np.int32), np.zeros(len(codes), bool)
+    for k in range(max(widths, default=-1) + 1):
+        if k in widths:
+            out[k] = np.where(odd, np.int32(4**k), numbers)
+        n = max(0, len(codes) - k)
+        numbers[:n] = numbers[:n] * 4 + codes[k:]
+        odd[:n] |= codes[k:] == 4
+        odd[n:] = True
+    return out
 
 
-def _best(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum of each sequence's `counts` windows and its first place; -inf and 0 where there is none."""
-    best, place = np.full(len(starts), -np.inf), np.zeros(len(starts), np.int64)
-    some = counts > 0
-    ends = np.cumsum(counts)
-    owner = np.repeat(np.arange(len(starts)), counts)
-    at = np.arange(len(owner)) - np.repeat(ends - counts, counts)
-    valid = scores[starts[owner] + at]
-    if len(valid):
-        best[some] = np.maximum.reduceat(valid, (ends - counts)[some])
-        top = np.flatnonzero(valid == best[owner])
-        who, first = np.unique(owner[top], return_index=True)
-        place[who] = at[top[first]]
-    return best, place
+def window_scores(codes: np.ndarray, matrix: np.ndarray, spelt: dict[int, np.ndarray] | None = None, decimals: int | None = None) -> np.ndarray:
+    """Sum of log-odds of the window at each place, rounded if asked for; one with another letter, or that the end cuts, scores minus infinity."""
+    width = len(matrix)
+    first = min(width, SPELT)
+    table = np.zeros(1)
+    for row in matrix[:first]:  # letter by letter, so sums are added up in the order of places
+        table = (table[:, None] + row).ravel()
+    if decimals is not None and width == first:
+        table = np.round(table, decimals)
+    out = np.append(table, -np.inf)[(spelt or _spelt(codes, {width}))[first]]
+    for k in range(first, width):
+        n = max(0, len(codes) - k)
+        out[:n] += np.append(matrix[k], -np.inf)[codes[k:]]
+        out[n:] = -np.inf
+    return out if decimals is None or width == first else np.round(out, decimals)
+
+
+def _best(scores: tuple[np.ndarray, np.ndarray], starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per sequence the best score over both strands, its first place and whether it is the forward one's, which has to be better."""
+    forward, backward = (np.maximum.reduceat(x, starts) for x in scores)
+    plus = forward > backward
+    best = np.where(plus, forward, backward)
+    whole = lambda x: np.repeat(x, lengths + 1)
+    top = np.flatnonzero(np.where(whole(plus), *scores) == whole(best))
+    at = np.append(top, 0)[np.searchsorted(top, starts)] - starts
+    return best, at, plus
+
+
+def _matches(matrices: list[tuple[int, np.ndarray]], seqs: list[str | None], ambiguous: str, decimals: int) -> Iterator[tuple[int, int, int, tuple[np.ndarray, ...]]]:
+    """Per part of a batch and motif: first and last sequence, motif, and the matches' scores, places, strands and whether the sequence is too short."""
+    for a, b, codes, starts, lengths in _parts(seqs):
+        bad = np.zeros(len(lengths), bool)
+        if ambiguous == "poison":
+            odd = np.add.reduceat((codes == 4).astype(np.int64), starts)
+            bad = odd > 1  # its separator is one
+        spelt = _spelt(codes, {len(m) for _, m in matrices})
+        for index, matrix in matrices:
+            best, at, plus = _best(tuple(window_scores(codes, m, spelt, decimals) for m in (matrix, matrix[::-1, ::-1])), starts, lengths)
+            use = ~bad & (best > 0)
+            yield a, b, index, (np.where(use, best, 0.0), np.where(use, at, -1).astype(np.int32), np.where(use, np.where(plus, "+", "-"), "?"), lengths < len(matrix))
 
 
 def scan_top(seqs: DataFrame, motifs: DataFrame, *, ambiguous: str = "poison", decimals: int = DECIMALS, column: str = "pssm") -> DataFrame:
@@ -80,29 +118,14 @@ def scan_top(seqs: DataFrame, motifs: DataFrame, *, ambiguous: str = "poison", d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("seq_ordinal")
-            codes, starts, lengths = _batch_codes([s or "" for s in batch.column("seq").to_pylist()])
-            bad = np.zeros(len(lengths), bool)
-            if ambiguous == "poison" and len(lengths):
-                odd = np.flatnonzero(codes == 4)
-                owner = np.searchsorted(starts, odd, "right") - 1
-                bad[owner[odd < starts[owner] + lengths[owner]]] = True
-            for index, matrix in matrices.value:
-                counts = np.maximum(0, lengths - len(matrix) + 1)
-                forward, at = _best(np.round(window_scores(codes, matrix), decimals), starts, counts)
-                backward, back_at = _best(np.round(window_scores(codes, matrix[::-1, ::-1]), decimals), starts, counts)
-                use = ~bad & ((forward > 0) | (backward > 0))
-                plus = forward > backward
-                score = np.where(use, np.where(plus, forward, backward), 0.0)
-                start = np.where(use, np.where(plus, at, back_at), -1)
-                strand = np.where(use, np.where(plus, "+", "-"), "?")
-                short = counts == 0
+            for a, b, index, (score, start, strand, short) in _matches(matrices.value, batch.column("seq").to_pylist(), ambiguous, decimals):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids,
-                        pa.array(np.full(len(ids), index, np.int32)),
+                        ids[a:b],
+                        pa.array(np.full(b - a, index, np.int32)),
                         pa.array(score, pa.float64(), mask=short),
-                        pa.array(start.astype(np.int32), mask=short),
-                        pa.array(strand.tolist(), pa.string(), mask=short),
+                        pa.array(start, mask=short),
+                        pa.array(strand.astype(object), pa.string(), mask=short),
                     ],
                     ["seq_ordinal", "motif_idx", "score", "start", "strand"],
                 )
@@ -110,6 +133,23 @@ def scan_top(seqs: DataFrame, motifs: DataFrame, *, ambiguous: str = "poison", d
     return seqs.select(F.col("seq_ordinal").cast("long"), "seq").mapInArrow(run, "seq_ordinal long, motif_idx int, score double, start int, strand string")
 
 
+def scan_scores(seqs: DataFrame, motifs: DataFrame, *, ambiguous: str = "poison", decimals: int = DECIMALS, column: str = "pssm") -> DataFrame:
+    """`(seq_ordinal, x array<double>)`: the scores of `scan_top`, all motifs of a sequence in one row, in index order."""
+    matrices = seqs.sparkSession.sparkContext.broadcast(collect_matrices(motifs, column))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = len(matrices.value)
+            x, odd = np.zeros((batch.num_rows, k)), np.zeros((batch.num_rows, k), bool)
+            found = _matches(matrices.value, batch.column("seq").to_pylist(), ambiguous, decimals)
+            for i, (a, b, _, (score, _, _, short)) in enumerate(found):  # the motifs of each part in turn
+                x[a:b, i % k], odd[a:b, i % k] = score, short
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * k, pa.int32()), pa.array(x.ravel(), mask=odd.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("seq_ordinal"), lists], ["seq_ordinal", "x"])
+
+    return seqs.select(F.col("seq_ordinal").cast("long"), "seq").mapInArrow(run, "seq_ordinal long, x array<double>")
+
+
 def scan_tracks(seqs: DataFrame, motifs: DataFrame, *, decimals: int = DECIMALS, column: str = "pssm") -> DataFrame:
     """`(seq_ordinal, motif_idx, strand, scores array<double>)`: the score of every window on both strands.
 
@@ -119,21 +159,18 @@ def scan_tracks(seqs: DataFrame, motifs: DataFrame, *, decimals: int = DECIMALS,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, seqs_ = batch.column("seq_ordinal").to_pylist(), batch.column("seq").to_pylist()
-            for ordinal, seq in zip(ids, seqs_, strict=True):
-                codes, _, _ = _batch_codes([seq or ""])
-                codes = codes[:-1]
-                rows = []
+            ids = batch.column("seq_ordinal")
+            for a, b, codes, starts, lengths in _parts(batch.column("seq").to_pylist()):
+                spelt = _spelt(codes, {len(m) for _, m in matrices.value})
+                left = np.repeat(starts + lengths, lengths + 1) - np.arange(len(codes))  # letters from each place to its sequence's end
                 for index, matrix in matrices.value:
-                    odd = window_scores(codes, np.zeros_like(matrix)) == -np.inf
+                    counts = np.maximum(0, lengths - len(matrix) + 1)
+                    inside = left >= max(len(matrix), 1)
+                    odd = window_scores(codes, np.zeros_like(matrix), spelt)[inside] == -np.inf
+                    offsets = pa.array(np.r_[0, np.cumsum(counts)], pa.int32())
                     for strand, m in (("+", matrix), ("-", matrix[::-1, ::-1])):
-                        scores = np.round(window_scores(codes, m), decimals)
-                        rows.append((ordinal, index, strand, pa.array(scores, pa.float64(), mask=odd)))
-                columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in columns[3]])], pa.int32()), pa.concat_arrays([pa.array([], pa.float64()), *columns[3]]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), lists], ["seq_ordinal", "motif_idx", "strand", "scores"]
-                )
+                        lists = pa.ListArray.from_arrays(offsets, pa.array(window_scores(codes, m, spelt, decimals)[inside], pa.float64(), mask=odd))
+                        yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(np.full(b - a, index, np.int32)), pa.array([strand] * (b - a)), lists], ["seq_ordinal", "motif_idx", "strand", "scores"])
 
     return seqs.select(F.col("seq_ordinal").cast("long"), "seq").mapInArrow(run, "seq_ordinal long, motif_idx int, strand string, scores array<double>")
 
