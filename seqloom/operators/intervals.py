@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import interval_id, usable_contig
+from seqloom.operators.cut import cut
 
 #: The sweep's blocks of so many places; a task holds the distinct places of one.
 BLOCK = 1 << 16
@@ -77,21 +78,23 @@ def overlap_counts(candidates: DataFrame, targets: DataFrame) -> DataFrame:
     These are the targets that start before its end, less those that end before its start. Starts and ends
     are counted per place, and running sums over a block's places, with the sums of the blocks before it
     passed on, give both numbers: an interval is two rows however long it is, and no pair is made.
+    Rows are dealt out by place before they are counted, so no task that reads a large split keeps all its
+    places, and the sums are written once for all that reads them.
     """
     there = _targets(targets)
     point = lambda rows, pos, s, e: rows.select("chrom", F.col(pos).alias("pos"), F.lit(s).alias("s"), F.lit(e).alias("e"))
     asked = candidates.where("en > st").select("cand_id", "chrom", F.col("st").alias("a"), (F.col("en") - 1).alias("b"))
     places = point(there, "st", 1, 0).unionByName(point(there, "en", 0, 1)).unionByName(point(asked, "a", 0, 0)).unionByName(point(asked, "b", 0, 0))
-    places = places.groupBy("chrom", "pos").agg(F.sum("s").alias("s"), F.sum("e").alias("e")).withColumn("block", F.expr(f"floor(pos / {BLOCK})"))
+    places = places.repartition("chrom", "pos").groupBy("chrom", "pos").agg(F.sum("s").alias("s"), F.sum("e").alias("e")).withColumn("block", F.expr(f"floor(pos / {BLOCK})"))
+    upto = Window.partitionBy("chrom", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    sums = cut(places.select("chrom", "block", "pos", *(F.sum(c).over(upto).alias(c) for c in "se")))
     before = Window.partitionBy("chrom").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = places.groupBy("chrom", "block").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
+    blocks = sums.groupBy("chrom", "block").agg(F.max("s").alias("s"), F.max("e").alias("e"))  # running sums never fall
     blocks = blocks.select("chrom", "block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in "se"))
-    upto = Window.partitionBy("chrom", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    sums = places.select("chrom", "block", "pos", *(F.sum(c).over(upto).alias(c) for c in "se"))
     sums = sums.join(blocks, ["chrom", "block"]).select("chrom", "pos", (F.col("s") + F.col("s0")).alias("s"), (F.col("e") + F.col("e0")).alias("e"))
-    ended = asked.select("cand_id", "chrom", F.col("a").alias("pos")).join(sums, ["chrom", "pos"]).select("cand_id", (-F.col("e")).alias("n"))
-    begun = asked.select("cand_id", "chrom", F.col("b").alias("pos")).join(sums, ["chrom", "pos"]).select("cand_id", F.col("s").alias("n"))
-    counts = begun.unionByName(ended).groupBy("cand_id").agg(F.sum("n").alias("overlaps"))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("pos"), F.lit(False).alias("begun")), F.struct(F.col("b").alias("pos"), F.lit(True).alias("begun"))))
+    both = asked.select("cand_id", "chrom", ends.alias("x")).select("cand_id", "chrom", "x.pos", "x.begun").join(sums, ["chrom", "pos"])
+    counts = both.groupBy("cand_id").agg(F.sum(F.when(F.col("begun"), F.col("s")).otherwise(-F.col("e"))).alias("overlaps"))
     return candidates.select("cand_id").join(counts, "cand_id", "left").select("cand_id", F.coalesce("overlaps", F.lit(0)).alias("overlaps"))
 
 
