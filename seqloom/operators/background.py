@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators.cut import cut
+from seqloom.operators.cut import written
 from seqloom.operators.gc import bin_profile, gc_bins, gc_tolerance, global_rank, mean_length
 from seqloom.operators.intervals import chunk_contigs, extract_sequences
 
 #: Contigs are cut into pieces of so many bases before places are taken from them.
 CHUNK = 1 << 16
+#: Drawn places that a task holds before it hands them on, and one contig's chunk more.
+MOST_ROWS = 50_000
 _LETTERS = np.zeros(256, np.uint8)
 _LETTERS[[ord("G"), ord("C")]] = 1
 _LETTERS[ord("N")] = 2
@@ -66,7 +68,7 @@ def place_hash(places: np.ndarray, contig: int, bin_no: int, seed: int) -> np.nd
 def _fitting(length: int, most_n: int, ranges: list[tuple[int, int, int]]):
     """Places of a chunk that fit a bin; `ranges (bin, least, most)` are counts of G and C."""
 
-    def of(seq: str, size: int, offset: int, chunk: int, cover: int, events: list) -> Iterator[tuple[int, np.ndarray]]:
+    def of(seq: str, size: int, offset: int, chunk: int, cover: int, events: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         n = min(chunk, size - length - offset)
         if n <= 0:
             return
@@ -75,9 +77,8 @@ def _fitting(length: int, most_n: int, ranges: list[tuple[int, int, int]]):
         gc, ns = sums(letters == 1), sums(letters == 2)
         gc, ns = gc[length + 1 : length + 1 + n] - gc[:n], ns[length + 1 : length + 1 + n] - ns[:n]
         steps = np.zeros(n + 1, np.int64)
-        for e in events or ():
-            if e["at"] < n:
-                steps[e["at"]] += e["step"]
+        at = events % chunk
+        np.add.at(steps, at[at < n], (events // chunk)[at < n])
         free = (cover + np.cumsum(steps[:n]) == 0) & (ns <= most_n)
         for bin_no, least, most in ranges:
             at = np.flatnonzero(free & (gc >= least) & (gc <= most))
@@ -91,7 +92,8 @@ def covered_chunks(contigs: DataFrame, targets: DataFrame, length: int, chunk: i
     """`(chrom, no, size, chunk, offset, seq, cover, events)` of the contigs longer than `length`.
 
     A stretch [p, p + length) touches a target [st - 1, en) if st - length <= p < en. cover is the number of
-    targets that hold back the places before the chunk and go on into it, events their changes within.
+    targets that hold back the places before the chunk and go on into it, events their changes within, each a
+    whole number, step * chunk + place.
     """
     numbered = _numbered(contigs.where(F.col("size") > length))
     pieces = chunk_contigs(contigs, chunk, length + 1).join(numbered, "chrom")
@@ -99,34 +101,59 @@ def covered_chunks(contigs: DataFrame, targets: DataFrame, length: int, chunk: i
     ends = there.select("chrom", F.col("a").alias("pos"), F.lit(1).alias("step")).unionByName(there.select("chrom", F.col("b").alias("pos"), F.lit(-1).alias("step")))
     steps = ends.groupBy("chrom", "pos").agg(F.sum("step").alias("step")).where("step <> 0")
     steps = steps.select("chrom", F.expr(f"pos div {chunk}").alias("chunk"), F.expr(f"CAST(pos % {chunk} AS INT)").alias("at"), "step")
-    held = steps.groupBy("chrom", "chunk").agg(F.sum("step").alias("net"), F.collect_list(F.struct("at", "step")).alias("events"))  # distinct places
+    held = steps.groupBy("chrom", "chunk").agg(F.sum("step").alias("net"), F.collect_list(F.expr(f"step * {chunk} + at")).alias("events"))  # distinct places
     known = pieces.select("chrom", "chunk").join(held.select("chrom", "chunk", "net"), ["chrom", "chunk"], "left")
     before = Window.partitionBy("chrom").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     cover = known.select("chrom", "chunk", F.coalesce(F.sum("net").over(before), F.lit(0)).alias("cover"))
     return pieces.join(cover, ["chrom", "chunk"]).join(held.select("chrom", "chunk", "events"), ["chrom", "chunk"], "left").select("chrom", "no", "size", "chunk", "offset", "seq", "cover", "events")
 
 
+def _fits(batch: pa.RecordBatch, fitting, chunk: int) -> Iterator[tuple[int, str, int, int, np.ndarray]]:
+    """`(row, seq, offset, bin, places)` of the pieces in a batch."""
+    numbers = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("size", "offset", "cover"))
+    events = batch.column("events")
+    changes = events.flatten().to_numpy(zero_copy_only=False)
+    ends = np.r_[0, np.cumsum(events.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].tolist()
+    for i, (seq, size, offset, cover) in enumerate(zip(batch.column("seq").to_pylist(), *numbers, strict=True)):
+        for b, at in fitting(seq, size, offset, chunk, cover, changes[ends[i] : ends[i + 1]]):
+            yield i, seq, offset, b, at
+
+
 def _counted(fitting, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"chrom": r["chrom"], "bin": b, "fits": len(at)} for r in batch.to_pylist() for b, at in fitting(r["seq"], r["size"], r["offset"], chunk, r["cover"], r["events"])]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("chrom", pa.string()), ("bin", pa.int32()), ("fits", pa.int64())]))
+            found = [(i, b, len(at)) for i, _, _, b, at in _fits(batch, fitting, chunk)]
+            rows, bins, fits = np.array(found, np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([batch.column("chrom").take(pa.array(rows)), pa.array(bins.astype(np.int32)), pa.array(fits)], ["chrom", "bin", "fits"])
 
     return run
 
 
 def _drawn(fitting, chunk: int, length: int, seed: int, cuts: dict[int, float]):
-    schema = pa.schema([("bin", pa.int32()), ("key", pa.float64()), ("no", pa.int64()), ("chrom", pa.string()), ("st", pa.int64()), ("seq", pa.string())])
+    def rows(batch: pa.RecordBatch, numbers: np.ndarray, parts: list, seqs: list[str]) -> pa.RecordBatch:
+        row, bins, keys, places = (np.concatenate(c) for c in zip(*parts, strict=True))
+        columns = [pa.array(bins.astype(np.int32)), pa.array(keys), pa.array(numbers[row]), batch.column("chrom").take(pa.array(row)), pa.array(places), pa.array(seqs, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["bin", "key", "no", "chrom", "st", "seq"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                rows, counts = [], {x["bin"]: x["fits"] for x in r["counts"]}
-                for b, at in fitting(r["seq"], r["size"], r["offset"], chunk, r["cover"], r["events"]):
-                    keys = -np.log((place_hash(at + r["offset"], r["no"], b, seed) + 0.5) / 4294967296.0) * counts[b]
-                    for p, key in zip(at[keys <= cuts[b]].tolist(), keys[keys <= cuts[b]].tolist(), strict=True):
-                        rows.append({"bin": b, "key": key, "no": r["no"], "chrom": r["chrom"], "st": r["offset"] + p, "seq": r["seq"][p : p + length + 1]})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            numbers = batch.column("no").to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = [{x["bin"]: x["fits"] for x in c} for c in batch.column("counts").to_pylist()]
+            parts, seqs = [], []
+            for i, seq, offset, b, at in _fits(batch, fitting, chunk):
+                n = counts[i][b]
+                hashes = place_hash(at + offset, int(numbers[i]), b, seed)
+                # only keys of hashes that may lie below the cut are worked out
+                some = hashes >= 4294967296.0 * math.exp(-cuts[b] / n) - 2
+                at, keys = at[some], -np.log((hashes[some] + 0.5) / 4294967296.0) * n
+                at, keys = at[keys <= cuts[b]], keys[keys <= cuts[b]]
+                parts.append((np.full(len(at), i), np.full(len(at), b), keys, at + offset))
+                seqs += [seq[p : p + length + 1] for p in at.tolist()]
+                if len(seqs) >= MOST_ROWS:
+                    yield rows(batch, numbers, parts, seqs)
+                    parts, seqs = [], []
+            if parts:
+                yield rows(batch, numbers, parts, seqs)
 
     return run
 
@@ -155,19 +182,20 @@ def random_background(
     n_share: float = 0.5,
     seed: int = 0,
     chunk: int = CHUNK,
+    seqs: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Background `(bin, cand_id, chrom, st, en, seq)` and the shortfall `(bin, need, found)` for targets `(interval_id, chrom, st, en)`.
 
     Each bin needs `ratio` times its targets, rounded up. A stretch [st, en) has the targets' mean length,
     touches no target and fits a bin if its GC is within the tolerance of the bin's; seq is one base longer, and
-    its G, C and N count. No targets, or no contig longer than they are, give no background.
+    its G, C and N count. No targets, or no contig longer than they are, give no background. seqs: what
+    `extract_sequences` gives for the targets, where it has been written already.
     """
     spark = contigs.sparkSession
-    seqs = extract_sequences(targets, contigs).persist()
+    seqs = written(extract_sequences(targets, contigs).select("interval_id", "seq")) if seqs is None else seqs
     profile = {r["bin"]: (r["n"], r["bin_gc"]) for r in bin_profile(gc_bins(seqs, bins)).collect()}  # one row per bin
     length = mean_length(seqs).first()[0] or 0
     tolerance = gc_tolerance(seqs, bins).first()["tolerance"] or 0.0
-    seqs.unpersist()
     need = {b: math.ceil(n * ratio) for b, (n, _) in profile.items()}
     shape = "bin int, cand_id long, chrom string, st long, en long, seq string"
     report = lambda found: spark.createDataFrame([(b, n, found.get(b, 0)) for b, n in sorted(need.items())], "bin int, need long, found long")
@@ -180,13 +208,13 @@ def random_background(
         return spark.createDataFrame([], shape), report({})
 
     fitting = _fitting(length, int(n_share * length), sorted(ranges))
-    pieces = covered_chunks(contigs, targets, length, chunk).persist()
-    fits = pieces.mapInArrow(_counted(fitting, chunk), "chrom string, bin int, fits long").groupBy("chrom", "bin").agg(F.sum("fits").alias("fits")).persist()
+    pieces = written(covered_chunks(contigs, targets, length, chunk))
+    fits = written(pieces.mapInArrow(_counted(fitting, chunk), "chrom string, bin int, fits long").groupBy("chrom", "bin").agg(F.sum("fits").alias("fits")))
     cuts = _cuts(fits, need)
     all_fits = {r["bin"]: r["n"] for r in fits.groupBy("bin").agg(F.sum("fits").alias("n")).collect()}
     keyed = pieces.join(fits.groupBy("chrom").agg(F.collect_list(F.struct("bin", "fits")).alias("counts")), "chrom")
     while True:
-        rows = cut(keyed.mapInArrow(_drawn(fitting, chunk, length, seed, cuts), "bin int, key double, no long, chrom string, st long, seq string"))
+        rows = written(keyed.mapInArrow(_drawn(fitting, chunk, length, seed, cuts), "bin int, key double, no long, chrom string, st long, seq string"))
         got = {r["bin"]: r["count"] for r in rows.groupBy("bin").count().collect()}
         short = [b for b, n in all_fits.items() if got.get(b, 0) < min(n, need[b])]
         if not short:
@@ -202,8 +230,6 @@ def random_background(
     times = F.when(place < part(3), F.expr("sequence(0L, (_need - 1 - _place) div _found)"))
     drawn = ranked.withColumn("_place", place).withColumn("_found", part(2)).withColumn("_need", part(3)).withColumn("_turn", F.explode(times))
     chosen = drawn.select("bin", (part(1) + F.col("_place") + F.col("_turn") * F.col("_found")).alias("cand_id"), "chrom", "st", (F.col("st") + length).alias("en"), "seq")
-    fits.unpersist()
-    pieces.unpersist()
     return chosen, report({b: need[b] for b in got})
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import gc_content, gc_count, letter_count
-from seqloom.operators.cut import cut
+from seqloom.operators.cut import written
 from seqloom.operators.select import nth_smallest
 
 
@@ -55,11 +57,12 @@ def global_rank(rows: DataFrame, order: list[str], name: str = "_rank") -> DataF
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # the id holds the range's number and the place in it
-    ranged = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at")
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per range
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.join(F.broadcast(offsets.select("_part", "_off")), "_part").withColumn(name, F.col("_in") + F.col("_off")).drop("_part", "_in", "_off")
+    counts = sorted(tuple(r) for r in ranged.groupBy("_part").count().collect())  # one row per range
+    before = dict(zip((p for p, _ in counts), accumulate((n for _, n in counts), initial=0), strict=False))
+    offsets = F.array(*(F.lit(before.get(p, 0)).cast("long") for p in range(max(before, default=0) + 1)))
+    return ranged.withColumn(name, F.col("_in") + F.get(offsets, F.col("_part").cast("int"))).drop("_part", "_in")
 
 
 def bin_profile(binned: DataFrame) -> DataFrame:

@@ -116,8 +116,10 @@ def extract_from_chunks(intervals: DataFrame, chunks: DataFrame, size: int, over
     valid = intervals.where("st >= 1 AND en > st").select("interval_id", "chrom", "st", "en").withColumn("chunk", F.expr(f"(st - 1) div {size}"))
     inside = F.expr(f"en - 1 <= (chunk + 1) * {size} + {overlap}")
     named = lambda rows: rows.select("interval_id", "chrom", "st", "en", interval_id(F.col("chrom"), F.col("st"), F.col("en")).alias("seq_id"), "seq").where("seq <> ''")
-    near = valid.where(inside).join(chunks, ["chrom", "chunk"])
-    cut = F.substring(F.col("seq"), (F.col("st") - F.col("offset")).cast("int"), (F.col("en") - F.col("st")).cast("int"))
+    # where every letter is one byte, places are bytes and no letter before them is looked at
+    near = valid.where(inside).join(chunks.withColumn("plain", F.octet_length("seq") == F.length("seq")), ["chrom", "chunk"])
+    at, length = (F.col("st") - F.col("offset")).cast("int"), (F.col("en") - F.col("st")).cast("int")
+    cut = F.when(F.col("plain"), F.substring(F.col("seq").cast("binary"), at, length).cast("string")).otherwise(F.substring("seq", at, length))
     far = valid.where(~inside).withColumn("last", F.expr(f"(en - 2) div {size}")).join(chunks.groupBy("chrom").agg(F.max("chunk").alias("most")), "chrom")
     pieces = far.where("chunk <= most").withColumn("chunk", F.explode(F.expr("sequence(chunk, least(last, most))"))).join(chunks, ["chrom", "chunk"])
     first = F.greatest(F.col("st") - F.col("offset"), F.lit(1))

@@ -27,7 +27,8 @@ def nth_smallest(rows: DataFrame, group: str, value: str, wanted: dict[object, i
     while bounds:
         # the least shift that leaves few enough numbers; a shift, unlike a difference, can't overflow
         shift = {g: next(s for s in range(64) if (hi >> s) - (lo >> s) < BUCKETS) for g, (lo, hi, _) in bounds.items()}
-        table = spark.createDataFrame([(g, lo, hi, shift[g]) for g, (lo, hi, _) in bounds.items()], f"{group} {kind}, _lo long, _hi long, _shift int")
+        row = lambda g, lo, hi: F.struct(F.lit(g).cast(kind).alias(group), F.lit(lo).cast("long").alias("_lo"), F.lit(hi).cast("long").alias("_hi"), F.lit(shift[g]).alias("_shift"))
+        table = spark.range(1).select(F.inline(F.array(*(row(g, lo, hi) for g, (lo, hi, _) in bounds.items()))))
         here = rows.join(F.broadcast(table), group).where(F.col(value).between(F.col("_lo"), F.col("_hi")))  # one row per wanted group
         counts = here.groupBy(group, F.expr(f"shiftright({value}, _shift)").alias("_bucket")).count().collect()
         for g, (lo, hi, n) in list(bounds.items()):

@@ -552,3 +552,21 @@ def test_scores_of_a_sequence_are_one_row(spark):
     top = {(r.seq_ordinal, r.motif_idx): r.score for r in scan.scan_top(seqs, motifs).collect()}
     rows = scan.scan_scores(seqs, motifs).collect()
     assert {(r.seq_ordinal, i): v for r in rows for i, v in enumerate(r.x)} == top and len(rows) == seqs.count()
+
+
+def test_contigs_read_the_texts_once(spark, sf):
+    """Intervals over contigs that are at hand read no text again."""
+    contigs = fx.contigs(spark, sf)
+    for rows in (fx.peaks(spark, sf, contigs), fx.background_intervals(spark, sf, contigs)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and "documents" not in plan and "seq#" not in plan
+    assert sorted(map(tuple, fx.peaks(spark, sf, contigs).collect())) == sorted(map(tuple, fx.peaks(spark, sf).collect()))
+
+
+def test_cut_from_texts_of_other_letters(spark):
+    """Places are letters, not bytes, where a contig holds letters of several bytes."""
+    contigs = spark.createDataFrame([("a", "AÄCGTé" * 5, 30), ("b", "ACGTN" * 6, 30)], "chrom string, seq string, size long")
+    rows = [(i, c, st, st + 4) for i, (c, st) in enumerate((c, st) for c in "ab" for st in range(1, 32))]
+    of = {"a": "AÄCGTé" * 5, "b": "ACGTN" * 6}
+    got = {x.interval_id: x.seq for x in intervals.extract_sequences(spark.createDataFrame(rows, "interval_id long, chrom string, st long, en long"), contigs).collect()}
+    assert got == {i: of[c][st - 1 : en - 1] for i, c, st, en in rows if of[c][st - 1 : en - 1]}
