@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators import logistic
-from seqloom.operators.cut import cut
+from seqloom.operators.cut import cut, written
 from seqloom.operators.select import nth_smallest
 
 
@@ -25,9 +25,14 @@ def _split_number(key: str, seed: int, iteration: int) -> Column:
 
 def split_cuts(rows: DataFrame, fraction: float, seed: int, iterations: list[int], key: str = "key") -> dict[int, int]:
     """Per iteration the last number that is tested: of ceil(fraction * n) rows, found by counts instead of a sort."""
-    n_test = math.ceil(fraction * rows.count() - 1e-9)
-    numbers = F.explode(F.array(*(F.struct(F.lit(i).alias("iteration"), _split_number(key, seed, i).alias("number")) for i in iterations)))
-    found = nth_smallest(rows.select(numbers.alias("x")).select("x.*"), "iteration", "number", dict.fromkeys(iterations, n_test))
+    return _number_cuts(written(rows.select(*(_split_number(key, seed, i).alias(f"n{i}") for i in iterations))), fraction, iterations)
+
+
+def _number_cuts(numbered: DataFrame, fraction: float, iterations: list[int]) -> dict[int, int]:
+    """The same of numbers `n<iteration>` that have been written, since each of the passes over them would hash again."""
+    n_test = math.ceil(fraction * numbered.count() - 1e-9)
+    numbers = F.explode(F.array(*(F.struct(F.lit(i).alias("iteration"), F.col(f"n{i}").alias("number")) for i in iterations)))
+    found = nth_smallest(numbered.select(numbers.alias("x")).select("x.*"), "iteration", "number", dict.fromkeys(iterations, n_test))
     return {i: found.get(i, -1) for i in iterations}
 
 
@@ -61,7 +66,7 @@ def average_precision(scores: DataFrame) -> DataFrame:
 def _running(groups: DataFrame, columns: list[str], order: list[Column]) -> DataFrame:
     """Adds running sums `_<column>` in `order`: within ranges in parallel, then offsets of one row per range."""
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(groups.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    ranged = written(groups.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = ranged.groupBy("_part").agg(*(F.sum(c).alias(f"_o_{c}") for c in columns))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,16 +122,17 @@ def _packed(rows: DataFrame, trains: Column) -> DataFrame:
 def fit_l1_distributed(rows: DataFrame, c: float = 1.0, tol: float = 1e-9) -> tuple[list[float], float]:
     """`fit_l1` over partitioned `rows (x array<double>, label)`: coefficients and intercept."""
     k = rows.select(F.max(F.size("x"))).first()[0] or 0
-    data = _packed(rows, F.array(F.lit(True))).persist()
+    data = logistic.blocks(_packed(rows, F.array(F.lit(True)))).persist()
     w, _ = logistic.fit(data, np.zeros(1, int), logistic.no_scale(k, 1), c=c, tol=tol)
     data.unpersist()
     return [float(v) for v in w[0, :-1]], float(w[0, -1])
 
 
-def _splits(rows: DataFrame, fraction: float, seed: int, iterations: int) -> Column:
-    """Whether a row trains, for each iteration."""
-    last = split_cuts(rows, fraction, seed, list(range(iterations)))
-    return F.array(*(_split_number("key", seed, i) > last[i] for i in range(iterations)))
+def _blocks(rows: DataFrame, fraction: float, seed: int, iterations: int) -> DataFrame:
+    """`logistic.blocks` of the rows, with whether a row trains, for each iteration."""
+    numbered = written(rows.select("label", "x", *(_split_number("key", seed, i).alias(f"n{i}") for i in range(iterations))))
+    last = _number_cuts(numbered, fraction, list(range(iterations)))
+    return logistic.blocks(_packed(numbered, F.array(*(F.col(f"n{i}") > last[i] for i in range(iterations)))))
 
 
 def train_classifier(rows: DataFrame, names: list[str], *, iterations: int = 5, test_size: float = 0.8, seed: int = 0, scale: bool = False) -> DataFrame:
@@ -136,17 +142,11 @@ def train_classifier(rows: DataFrame, names: list[str], *, iterations: int = 5,
     partitioned rows. Features are used as they are unless `scale`, by the training rows.
     """
     spark, k = rows.sparkSession, len(names)
-    trains = _splits(rows, test_size, seed, iterations)
-    data = _packed(rows, trains).persist()
+    data = _blocks(rows, test_size, seed, iterations).persist()
     units = logistic.train_scale(data, k, iterations) if scale else logistic.no_scale(k, iterations)
     w, _ = logistic.fit(data, np.arange(iterations), units)
     raw = units.raw(w, np.arange(iterations))
-    # a row per iteration: its score is a sum over features, in their order
-    models = F.array(*(F.struct(F.lit(i).alias("iteration"), F.lit(float(raw[i, -1])).alias("b"), F.array(*(F.lit(float(v)) for v in raw[i, :-1])).alias("a")) for i in range(iterations)))
-    each = data.select("label", "x", F.explode(F.filter(models, lambda m: ~F.element_at("trains", m["iteration"] + 1))).alias("m"))
-    z = F.aggregate(F.zip_with("x", "m.a", lambda x, a: x * a), F.col("m.b"), lambda s, v: s + v)
-    scores = each.select(F.col("m.iteration").alias("iteration"), "label", (1 / (1 + F.exp(-z))).alias("score"))
-    quality = _metrics(scores)
+    quality = _metrics(logistic.scored(data, raw))
     weights = spark.createDataFrame([(i, n, float(w[i, j])) for i in range(iterations) for j, n in enumerate(names)], "iteration int, motif string, coefficient double")
     out = cut(weights.join(F.broadcast(quality), "iteration", "left").select("iteration", "motif", "coefficient", "roc_auc", "precision"))  # a row per iteration
     data.unpersist()
@@ -154,11 +154,11 @@ def train_classifier(rows: DataFrame, names: list[str], *, iterations: int = 5,
 
 
 def _metrics(scores: DataFrame) -> DataFrame:
-    """`(iteration, roc_auc, precision)` of `(iteration, label, score)`, as `roc_auc` and `average_precision` define them; NaN without both labels.
+    """`(iteration, roc_auc, precision)` of `(iteration, score, pos, neg)`, counts of labels, as `roc_auc` and `average_precision` define them; NaN without both labels.
 
     All iterations are one running sum, from the highest score down; what earlier iterations add is taken off.
     """
-    groups = scores.groupBy("iteration", "score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    groups = written(scores.groupBy("iteration", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     ranked = _running(groups, ["pos", "neg"], [F.col("iteration"), F.col("score").desc()])
     totals = groups.groupBy("iteration").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     before = Window.orderBy("iteration").rowsBetween(Window.unboundedPreceding, -1)  # a row per iteration
@@ -211,7 +211,7 @@ def feature_significance(rows: DataFrame, names: list[str], *, iterations: int =
     of features. Leaving out a feature of weight 0 changes nothing.
     """
     k = len(names)
-    data = _packed(rows, _splits(rows, test_size, seed, iterations)).persist()
+    data = _blocks(rows, test_size, seed, iterations).persist()
     units, whole = logistic.train_scale(data, k, iterations), logistic.train_scale(data, k, iterations, everything=True)
     full, curvatures = logistic.fit(data, np.arange(iterations), units, tol=1e-7)
     left_out = [(i, j) for i in range(iterations) for j in range(k) if full[i, j] != 0]

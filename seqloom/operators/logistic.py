@@ -24,21 +24,34 @@ from pyspark.sql import functions as F
 ROUNDS = 200
 
 
-def _arrays(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features (n x k), labels and train marks (n x splits) of a batch."""
-    n = batch.num_rows
-    flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)
-    return flat("x").astype(float).reshape(n, k), batch.column("label").to_numpy(zero_copy_only=False).astype(float), flat("trains").astype(bool).reshape(n, -1)
+def blocks(rows: DataFrame) -> DataFrame:
+    """`(x, label, trains)` of `rows (label, x, trains)`, packed: a row of bytes per batch, so that no pass turns numbers into Arrow's again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            if batch.num_rows:
+                packed = flat("x").astype(float), batch.column("label").to_numpy(zero_copy_only=False).astype(float), flat("trains").astype(bool)
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in packed], ["x", "label", "trains"])
+
+    return rows.mapInArrow(run, "x binary, label binary, trains binary")
+
+
+def _arrays(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features (n x k), labels and train marks (n x splits) of each block."""
+    for x, y, trains in zip(*(batch.column(c) for c in ("x", "label", "trains")), strict=True):
+        y = np.frombuffer(y.as_buffer(), float)
+        yield np.frombuffer(x.as_buffer(), float).reshape(len(y), k), y, np.frombuffer(trains.as_buffer(), bool).reshape(len(y), -1)
 
 
 def _summed(rows: DataFrame, k: int, of_batch, cells: int) -> np.ndarray:
-    """Sum over all batches of `of_batch(x, y, trains)`, an array of `cells` numbers."""
+    """Sum over all `blocks` of `of_batch(x, y, trains)`, an array of `cells` numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells)
         for batch in batches:
-            if batch.num_rows:
-                total += of_batch(*_arrays(batch, k))
+            for block in _arrays(batch, k):
+                total += of_batch(*block)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "value"])
 
@@ -93,22 +106,26 @@ def train_scale(rows: DataFrame, k: int, splits: int, *, everything: bool = Fals
 
 def loss_and_gradient(rows: DataFrame, w: np.ndarray, split: np.ndarray, scale: Scale, curvature: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Log-loss (models), its gradient (models x features + 1) and curvatures over each model's training rows."""
-    m, k = w.shape[0], w.shape[1] - 1
+    m, k, split = w.shape[0], w.shape[1] - 1, np.asarray(split)
     raw = scale.raw(w, split)
 
     def sums(x, y, trains):
-        z = x @ raw[:, :-1].T + raw[:, -1]
-        sign = np.where(y > 0, -1.0, 1.0)[:, None]
-        here = trains[:, split]
-        loss = (np.logaddexp(0, sign * z) * here).sum(axis=0)
-        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        r = (p - (y > 0)[:, None]) * here
-        parts = [loss, (r.T @ x).ravel(), r.sum(axis=0)]
-        if curvature:
-            one = np.column_stack([x, np.ones(len(x))])
-            d = p * (1 - p) * here
-            parts += [((one * d[:, [i]]).T @ one).ravel() for i in range(m)]
-        return np.concatenate(parts)
+        loss, gx, g1, curves = np.zeros(m), np.zeros((m, k)), np.zeros(m), np.zeros((m if curvature else 0, k + 1, k + 1))
+        for s in np.unique(split):
+            at, here = np.flatnonzero(split == s), trains[:, s]
+            xs, ones = x[here], (y[here] > 0)[:, None]
+            z = xs @ raw[at, :-1].T + raw[at, -1]
+            small = np.exp(-np.abs(z))
+            loss[at] = (np.maximum(np.where(ones, -z, z), 0) + np.log1p(small)).sum(axis=0)
+            p = np.where(z >= 0, 1.0, small) / (1 + small)
+            r = p - ones
+            gx[at], g1[at] = r.T @ xs, r.sum(axis=0)
+            if curvature:
+                one = np.column_stack([xs, np.ones(len(xs))])
+                d = p * (1 - p)
+                for j, i in enumerate(at):
+                    curves[i] = (one * d[:, [j]]).T @ one
+        return np.concatenate([loss, gx.ravel(), g1, curves.ravel()])
 
     got = _summed(rows, k, sums, m * (k + 2) + curvature * m * (k + 1) ** 2)
     g = np.column_stack([got[m : m + m * k].reshape(m, k), got[m + m * k : m * (k + 2)]])
@@ -141,7 +158,7 @@ def _directions(w: np.ndarray, g: np.ndarray, h: np.ndarray, live: np.ndarray, s
 def fit(rows: DataFrame, split: np.ndarray, scale: Scale, *, c: float = 1.0, tol: float = 1e-8, start: np.ndarray | None = None, live: np.ndarray | None = None, curvatures: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """Weights (models x features + 1) that minimise sum |w| + c * log-loss over each model's split, and the last curvature per split.
 
-    `rows (label, x, trains)`. The intercept comes last and is penalised like the others. live marks the
+    rows: `blocks` of `(label, x, trains)`. The intercept comes last and is penalised like the others. live marks the
     weights that may differ from 0. With `curvatures` (per split) none is computed.
     """
     split = np.asarray(split)
@@ -181,6 +198,25 @@ def fit(rows: DataFrame, split: np.ndarray, scale: Scale, *, c: float = 1.0, tol
     return kept, held
 
 
+def scored(rows: DataFrame, raw: np.ndarray) -> DataFrame:
+    """`(iteration, score, pos, neg)`: labels by score of the rows that an iteration's model (row of `raw`, weights of raw features) is tested on, counted per block."""
+    k = raw.shape[1] - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, trains in _arrays(batch, k):
+                for i, w in enumerate(raw):
+                    xs, ys, z = x[~trains[:, i]], y[~trains[:, i]], w[-1]
+                    for j in range(k):  # a sum over features, in their order
+                        z = z + xs[:, j] * w[j]
+                    with np.errstate(over="ignore"):
+                        score, at = np.unique(1 / (1 + np.exp(-z)) * np.ones(len(ys)), return_inverse=True)
+                    pos, neg = (np.bincount(at, weights=v, minlength=len(score)) for v in (ys, 1 - ys))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(score), i, np.int32)), pa.array(score), pa.array(pos), pa.array(neg)], ["iteration", "score", "pos", "neg"])
+
+    return rows.mapInArrow(run, "iteration int, score double, pos double, neg double")
+
+
 def likelihoods(rows: DataFrame, w: np.ndarray, split: np.ndarray, scale: Scale) -> np.ndarray:
     """Log-likelihood of all rows under each model; minus infinity where a row has probability 0."""
     m, k = w.shape[0], w.shape[1] - 1

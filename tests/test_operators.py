@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import matrix as m
 from seqloom.functions import sequence as s
-from seqloom.operators import align, background, cluster, gc, intervals, learn, scan, select
+from seqloom.operators import align, background, cluster, gc, intervals, learn, logistic, scan, select
 from seqloom.operators.cut import cut
 from seqloom.plans import fixtures as fx
 from seqloom.plans.pipelines import with_pssm
@@ -570,3 +570,21 @@ def test_cut_from_texts_of_other_letters(spark):
     of = {"a": "AÄCGTé" * 5, "b": "ACGTN" * 6}
     got = {x.interval_id: x.seq for x in intervals.extract_sequences(spark.createDataFrame(rows, "interval_id long, chrom string, st long, en long"), contigs).collect()}
     assert got == {i: of[c][st - 1 : en - 1] for i, c, st, en in rows if of[c][st - 1 : en - 1]}
+
+
+def test_model_passes_read_packed_rows(spark):
+    """Rows are packed once, many to a block, and scores are counted in the task; the sums are those of the rows."""
+    r = np.random.default_rng(3)
+    x, y, trains = r.normal(size=(500, 3)), r.integers(0, 2, 500), r.random((500, 2)) < 0.5
+    rows = spark.createDataFrame([(float(b), a.tolist(), t.tolist()) for a, b, t in zip(x, y, trains, strict=True)], "label double, x array<double>, trains array<boolean>").repartition(3)
+    packed = logistic.blocks(rows)
+    assert packed.count() == 3
+    w, split = r.normal(size=(3, 4)), np.array([1, 0, 1])
+    loss, g, h = logistic.loss_and_gradient(packed, w, split, logistic.no_scale(3, 2), True)
+    one = np.column_stack([x, np.ones(500)])
+    for m, s in enumerate(split):
+        a, b = one[trains[:, s]], y[trains[:, s]]
+        p = 1 / (1 + np.exp(-a @ w[m]))
+        assert np.isclose(loss[m], -np.log(np.where(b == 1, p, 1 - p)).sum()) and np.allclose(g[m], a.T @ (p - b)) and np.allclose(h[m], a.T @ (a * (p * (1 - p))[:, None]))
+    counts = {v[0]: (v[1], v[2]) for v in logistic.scored(packed, w[:2]).groupBy("iteration").sum("pos", "neg").collect()}
+    assert counts == {i: (y[~trains[:, i]].sum(), (1 - y)[~trains[:, i]].sum()) for i in range(2)}
