@@ -14,6 +14,7 @@ from seqloom.functions import sequence as s
 from seqloom.operators import align, background, cluster, gc, intervals, learn, logistic, scan, select
 from seqloom.operators.cut import cut
 from seqloom.plans import fixtures as fx
+from seqloom.plans import queries
 from seqloom.plans.pipelines import with_pssm
 from seqloom.sources import fasta_source, readers, writers
 from seqloom.streaming.scan import stream_matches
@@ -588,3 +589,11 @@ def test_model_passes_read_packed_rows(spark):
         assert np.isclose(loss[m], -np.log(np.where(b == 1, p, 1 - p)).sum()) and np.allclose(g[m], a.T @ (p - b)) and np.allclose(h[m], a.T @ (a * (p * (1 - p))[:, None]))
     counts = {v[0]: (v[1], v[2]) for v in logistic.scored(packed, w[:2]).groupBy("iteration").sum("pos", "neg").collect()}
     assert counts == {i: (y[~trains[:, i]].sum(), (1 - y)[~trains[:, i]].sum()) for i in range(2)}
+
+
+@pytest.mark.parametrize("name", ["features_wide", "features_union"])
+def test_features_learn_and_scan_once(spark, sf, monkeypatch, name):
+    calls, learn_motifs = [], fx.motifs
+    monkeypatch.setattr(fx, "motifs", lambda *a: calls.append(a) or learn_motifs(*a))
+    out = queries.QUERIES[name](spark, sf)
+    assert len(calls) == 1 and out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 2  # letters, scan
