@@ -211,7 +211,7 @@ def near_duplicate_classes(
     members = (
         sketched.where("id IS NOT NULL")
         .join(texts.select(F.col("first").alias("id"), "text_hash"), ["id", "text_hash"], "left_semi")
-        .select("id", info.alias("info"), F.explode("sketches").alias("bucket"))
+        .select("id", info.alias("info"), F.explode(F.array_distinct("sketches")).alias("bucket"))
     )
     members = shared(members, "omh")
 
@@ -252,8 +252,9 @@ def near_duplicate_classes(
         fits = long["n"] - short["n"] <= most
         return F.when(fits, (long["n"] - words_shared <= most) | full).otherwise(False)
 
-    # rows that are repeated count once
-    found = classes(members.distinct(), verify, None, "omh", known, similarity=similarity, plausible=plausible, prepare=prepare)
+    # rows that are repeated count once; members are many, so they are shuffled for it only if there are such rows
+    repeated = sketched.where("id IS NOT NULL").groupBy("id", "text_hash").count().where("count > 1").limit(1).count()
+    found = classes(members.distinct() if repeated else members, verify, None, "omh", known, similarity=similarity, plausible=plausible, prepare=prepare)
     for done in (members, held["ids"], held["words"]):
         discard(done)
     first = texts.join(found, texts["first"] == found["id"], "left").select("text_hash", F.coalesce("component", "first").alias("class_id"))

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.llm import near_dup
 from seqloom.llm.near_dup import alike, drop_near_duplicates, edit_distance, near_duplicate_classes, order_minhash
 
 
@@ -135,3 +136,18 @@ def test_counters_never_rule_out_a_link(spark):
     docs = [(2 * i + k, t) for i, pair in enumerate(rows) for k, t in enumerate(pair)]
     got = {x.doc_id: x.class_id for x in near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert all(got[2 * i] == got[2 * i + 1] for i in range(len(rows)))
+
+
+def test_members_are_shuffled_for_repeated_rows_only(spark, monkeypatch):
+    plans, classes = [], near_dup.classes
+
+    def seen(members, *args, **options):
+        plans.append(members._jdf.queryExecution().optimizedPlan().toString())
+        return classes(members, *args, **options)
+
+    monkeypatch.setattr(near_dup, "classes", seen)
+    text = "one two three four five six seven eight nine ten"
+    for rows in ([(1, text), (2, text + " more")], [(1, text), (1, text), (2, text + " more")]):
+        got = near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {x.class_id for x in got} == {1} and len(got) == len(rows)
+    assert ["Aggregate" in x for x in plans] == [False, True]
