@@ -41,7 +41,7 @@ def test_large_buckets_are_compared_where_they_meet(spark):
         asked.extend((x.a, x.b) for x in pairs.select("a", "b").collect())
         return pairs.where("(b - a) % 7 = 0")
 
-    at_once = (50, lambda ids: ids.select("id", F.struct("id").alias("detail")).join(info.where("info.n <= 50"), "id").select("id", "detail"), lambda x, y: (y["id"] - x["id"]) % 7 == 0)
+    at_once = (50, lambda ids: ids.select("id", F.struct("id").alias("detail")).join(info.where("info.n <= 50"), "id").select("id", "detail"), lambda x, y: (y["id"] - x["id"]) % 7 == 0, lambda *_: F.lit(True))
     plausible = lambda x, y: x["n"] * 5 >= y["n"] * 4
     found = {x.id: x.component for x in _links.classes(members, verify, info, "test", similarity=0.8, plausible=plausible, at_once=at_once).collect()}
     last = asked[-1:]
